@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op6_token_counts, op9_byte_bpe
+from . import op3_mixture_packing, op6_token_counts, op7_best_fit, op9_byte_bpe, scratch
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -16,6 +16,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixture_packing_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_mixture_packing.pack_mixture(_read(spark, sf_dir, "documents"), JSON, window=1024, end_id=0)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch.new_path(spark, "packed")
+    return op7_best_fit.read_packed(op7_best_fit.write_packed(_read(spark, sf_dir, "documents"), JSON, folder), folder)
+
+
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_token_counts.token_counts(_read(spark, sf_dir, "documents"), JSON, limit=512)
 
@@ -25,7 +34,7 @@ def op9_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_count, op9_byte_bpe_round_trip)}
+    return {f.__name__: f for f in (op3_mixture_packing_pieces, op6_token_count, op7_best_fit_packing, op9_byte_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
