@@ -19,6 +19,6 @@ def new_file(folder: str, stem: str, suffix: str):
     store, path = shared(folder)
     store.create_dir(path, recursive=True)
     name = f"{stem}-{uuid.uuid4().hex[:12]}{suffix}"
-    with store.open_output_stream(f"{path}/.{name}") as out:
+    with store.open_output_stream(f"{path}/.{name}", compression=None) as out:
         yield name, out
     store.move(f"{path}/.{name}", f"{path}/{name}")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_mixture_packing, op6_token_counts, op7_best_fit, op9_byte_bpe, scratch
+from . import op3_mixture_packing, op5_secret_scans, op6_token_counts, op7_best_fit, op8_quality_rules, op9_byte_bpe, op10_warc, scratch
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -25,6 +25,19 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_best_fit.read_packed(op7_best_fit.write_packed(_read(spark, sf_dir, "documents"), JSON, folder), folder)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secret_scans.secret_scan(_read(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
+
+
+def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch.new_path(spark, "bundles")
+    return op10_warc.read_bundles(op10_warc.write_bundles(_read(spark, sf_dir, "pages"), folder, min_bytes=0), folder)
+
+
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_token_counts.token_counts(_read(spark, sf_dir, "documents"), JSON, limit=512)
 
@@ -34,7 +47,7 @@ def op9_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixture_packing_pieces, op6_token_count, op7_best_fit_packing, op9_byte_bpe_round_trip)}
+    return {f.__name__: f for f in (op3_mixture_packing_pieces, op5_secret_scan, op6_token_count, op7_best_fit_packing, op8_quality, op9_byte_bpe_round_trip, op10_warc_bundles)}
 
 
 def oracle_sql() -> dict[str, str]:
