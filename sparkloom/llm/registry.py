@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_toxicity, op3_mixture_packing, op4_pruned_graph, op5_secret_scans, op6_token_counts, op7_best_fit, op8_quality_rules, op9_byte_bpe, op10_warc, scratch
+from . import op1_ngram_jaccard, op2_toxicity, op3_mixture_packing, op4_pruned_graph, op5_secret_scans, op6_token_counts, op7_best_fit, op8_quality_rules, op9_byte_bpe, op10_warc, scratch
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -25,6 +25,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_best_fit.read_packed(op7_best_fit.write_packed(_read(spark, sf_dir, "documents"), JSON, folder), folder)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_ngram_jaccard.ngram_jaccard(_read(spark, sf_dir, "documents")).drop("_row")
+
+
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op9_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity_chain, op3_mixture_packing_pieces, op4_nearest_vectors, op5_secret_scan, op6_token_count, op7_best_fit_packing, op8_quality, op9_byte_bpe_round_trip, op10_warc_bundles)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity_chain, op3_mixture_packing_pieces, op4_nearest_vectors, op5_secret_scan, op6_token_count, op7_best_fit_packing, op8_quality, op9_byte_bpe_round_trip, op10_warc_bundles)}
 
 
 def oracle_sql() -> dict[str, str]:
