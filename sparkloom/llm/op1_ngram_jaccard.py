@@ -140,7 +140,7 @@ def rarity(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def sets_table(docs: DataFrame, n: int) -> DataFrame:
-    """_rid, doc_id, n, copy (128-bit digest of the set), counts (64 ranges) and the set itself; the last two for the
+    """_rid, doc_id, key, n, copy (128-bit digest of the set), counts (64 ranges) and the set itself; the last two for the
     first row of each digest in its task only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +161,9 @@ def sets_table(docs: DataFrame, n: int) -> DataFrame:
                     data.append(raw if first else None)
                 rids = pa.array(range(rid, rid + len(size)), pa.int64())
                 rid += len(size)
-                yield pa.RecordBatch.from_arrays([rids, b.column(0), pa.array(size, pa.int64()), pa.array(copy, pa.binary()), pa.array(counts, pa.binary()), pa.array(data, pa.binary())], names=["_rid", "doc_id", "n", "copy", "counts", "data"])
+                yield pa.RecordBatch.from_arrays([rids, b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(copy, pa.binary()), pa.array(counts, pa.binary()), pa.array(data, pa.binary())], names=["_rid", "doc_id", "key", "n", "copy", "counts", "data"])
 
-    return scratch.table(docs.mapInArrow(run, "_rid long, doc_id long, n long, copy binary, counts binary, data binary"), "jaccard-sets", codec="none")
+    return scratch.table(docs.mapInArrow(run, "_rid long, doc_id long, key string, n long, copy binary, counts binary, data binary"), "jaccard-sets", codec="none")
 
 
 def prefixes(sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
@@ -279,9 +279,10 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, and _row, a number that tells rows apart."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, key=None) -> DataFrame:
+    """_rid, doc_id, key, n and label (the least _rid of the component) of every row."""
+    key = F.lit(None).cast("string") if key is None else key
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
     classes = rarity(own.select("text"), n)
     sets = sets_table(own, n)
     reps = sets.filter("n > 0").groupBy("copy").agg(F.min("_rid").alias("rep"))
@@ -321,9 +322,29 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
             links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(links)
 
-    placed = sets.select("_rid", "doc_id", "n").join(members, "_rid", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = scratch.table(placed.select("_rid", "doc_id", "n", F.coalesce("label", "rep", "_rid").alias("label")), "jaccard-placed")
+    placed = sets.select("_rid", "doc_id", "key", "n").join(members, "_rid", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    return scratch.table(placed.select("_rid", "doc_id", "key", "n", F.coalesce("label", "rep", "_rid").alias("label")), "jaccard-placed")
+
+
+def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    placed = _joined(docs, n, percent, id_col, text_col)
     ids = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(ids, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("_rid").alias("_row"))
+    return placed.join(ids, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+#: Rows of a table that may be broadcast: at about 60 bytes each, 60 MB.
+BROADCAST_ROWS = 1_000_000
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with one of each component: the one with the smallest id, of repeated rows any one."""
+    key = F.md5(F.to_json(F.struct(F.col(id_col).alias("i"), F.col(text_col).alias("t"))))
+    placed = _joined(docs, n, percent, id_col, text_col, key)
+    first = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "_rid"))["_rid"].alias("_rid")).withColumn("stays", F.lit(1))
+    keys = placed.select("_rid", "key").join(first.select("_rid", "stays"), "_rid", "left").groupBy("key").agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
+    touched = scratch.table(keys.filter("stays IS NULL OR rows > 1").select(F.col("key").alias("_key"), F.coalesce("stays", F.lit(0)).alias("_stays")), "jaccard-touched")
+    small = touched.count() <= BROADCAST_ROWS
+    judged = docs.withColumn("_key", key).join(F.broadcast(touched) if small else touched, "_key", "left")
+    alone = judged.filter("_stays IS NULL").select(*docs.columns)
+    return alone.unionByName(judged.filter("_stays = 1").dropDuplicates(["_key"]).select(*docs.columns))

@@ -128,12 +128,8 @@ def robust_estimates(vectors: DataFrame, keys: list[str]) -> DataFrame:
     return params.join(middle, keys).withColumn("scale", F.greatest(scale, F.lit(1.0))).drop("q0")
 
 
-def quality_rules(
-    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cutoff: float = 60.0, min_rows: int = 200,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """Per row: doc_id, the statistics, base_failed, kept and distance2 (null where the base rules fail or no group is large enough);
-    ``carry`` names columns to pass on."""
+def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, cutoff: float, min_rows: int, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """The statistics with base_failed, distance2 and kept; carried columns as _carry_<name>."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     stats = base_statistics(own, "_text")
     stats = stats.withColumn("base_failed", (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat_percent) * F.col("n_words")))
@@ -155,4 +151,22 @@ def quality_rules(
     d2 = F.when(~F.col("base_failed"), _distance(judged, list(FLOORS)) / F.col("scale"))
     judged = judged.withColumn("distance2", d2)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2", *[F.col(f"_carry_{c}").alias(c) for c in carry])
+    return judged.withColumn("kept", kept)
+
+
+def quality_rules(
+    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cutoff: float = 60.0, min_rows: int = 200,
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+) -> DataFrame:
+    """Per row: doc_id, the statistics, base_failed, kept and distance2 (null where the base rules fail or no group is large enough)."""
+    judged = _judged(docs, min_words, max_repeat_percent, cutoff, min_rows, id_col, text_col, lang_col, source_col, ())
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
+def good_documents(
+    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cutoff: float = 60.0, min_rows: int = 200,
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+) -> DataFrame:
+    """The rows that are kept, with all their columns."""
+    judged = _judged(docs, min_words, max_repeat_percent, cutoff, min_rows, id_col, text_col, lang_col, source_col, tuple(docs.columns))
+    return judged.filter("kept").select(*[F.col(f"_carry_{c}").alias(c) for c in docs.columns])

@@ -26,7 +26,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op1_ngram_jaccard.ngram_jaccard(_read(spark, sf_dir, "documents")).drop("_row")
+    return op1_ngram_jaccard.ngram_jaccard(_read(spark, sf_dir, "documents"))
 
 
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
