@@ -48,7 +48,7 @@ class _Hashes(dict):
     """word -> 64-bit hash, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 120_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -163,7 +163,7 @@ def sets_table(docs: DataFrame, n: int) -> DataFrame:
                 rid += len(size)
                 yield pa.RecordBatch.from_arrays([rids, b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(copy, pa.binary()), pa.array(counts, pa.binary()), pa.array(data, pa.binary())], names=["_rid", "doc_id", "key", "n", "copy", "counts", "data"])
 
-    return scratch.table(docs.mapInArrow(run, "_rid long, doc_id long, key string, n long, copy binary, counts binary, data binary"), "jaccard-sets", codec="none")
+    return scratch.table(docs.mapInArrow(run, "_rid long, doc_id long, key string, n long, copy binary, counts binary, data binary"), "jaccard-sets", codec="none", batch=1024)
 
 
 def prefixes(sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
@@ -250,12 +250,41 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
                 yield p.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return scratch.table(rows.mapInArrow(run, "a long, b long"), "jaccard-links", batch=256)
+
+
+#: Links that one task may label: as a dictionary, about 100 MB at most.
+FOREST = 400_000
+
+
+def _forest(edges: DataFrame) -> DataFrame:
+    """node, label of a bounded number of links, by union-find in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while up.get(top, top) != top:
+                top = up[top]
+            while up.get(x, x) != top:
+                up[x], x = top, up[x]
+            return top
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                u, v = root(u), root(v)
+                up[max(u, v)] = min(u, v)
+        nodes = sorted(x for x in up if root(x) != x)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(root, nodes), pa.int64())], names=["node", "label"])
+
+    return scratch.table(edges.coalesce(1).mapInArrow(run, "node long, label long"), "forest")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component), by alternating large and small stars. Each step is a
-    minimum per node, merged on the map side, and a join back; no task holds a component."""
+def components(edges: DataFrame, forest: int = FOREST) -> DataFrame:
+    """node, label (the least node of its component). Up to ``forest`` links are labelled in one task; more go
+    through alternating large and small stars, each step a minimum per node, merged on the map side, and a
+    join back, so that no task holds a component."""
 
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
@@ -264,6 +293,8 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head())
 
     e = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "star")
+    if e.count() <= forest:
+        return _forest(e)
     before = state(e)
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

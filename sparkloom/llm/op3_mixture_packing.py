@@ -184,7 +184,7 @@ def pack_mixture(
     ``targets``: the wanted proportion of each queue; without it, or for queues it lacks, in proportion to
     their tokens. Queues that run dry leave their share to the others, so every token is packed."""
     spark = docs.sparkSession
-    rows = scratch.table(tokenised(docs, path, end_id, id_col, text_col, queue_col), "packing-ids")
+    rows = scratch.table(tokenised(docs, path, end_id, id_col, text_col, queue_col), "packing-ids", batch=2 * ROWS)
     parts = scratch.table(rows.groupBy("part", "queue").agg(F.sum("n").alias("t")), "packing-parts")
     queues = parts.groupBy("queue").agg(F.sum("t").alias("t"))
     total = queues.agg(F.sum("t")).head()[0] or 0

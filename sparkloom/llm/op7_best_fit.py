@@ -128,7 +128,7 @@ def write_packed(
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return scratch.table(rows.mapInArrow(run, "file string, first_sequence long, n_sequences long, n_segments long, n_tokens long"), "packed-manifest")
+    return scratch.table(rows.mapInArrow(run, "file string, first_sequence long, n_sequences long, n_segments long, n_tokens long"), "packed-manifest", batch=1024)
 
 
 def read_packed(manifest: DataFrame, folder: str) -> DataFrame:

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,11 +31,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once and give the reread table."""
+def table(df: DataFrame, name: str, codec: str = "zstd", batch: int | None = None) -> DataFrame:
+    """Write ``df`` once and give the reread table. ``batch``: rows that Python functions get at a time, for wide rows."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    usual = spark.conf.get(_BATCH)
+    try:
+        if batch:
+            spark.conf.set(_BATCH, str(batch))
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 
