@@ -47,6 +47,7 @@ class MergeCounter:
 
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.findall = bytebpe.splitter(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+        self.words = bytebpe._Full(lambda w: self.word(w.encode()), bytebpe.CACHE)
         self.units = bytebpe.Units(self.unit)
 
     def word(self, data: bytes) -> int:
@@ -80,7 +81,7 @@ class MergeCounter:
             words = self.findall(unit)
         else:
             words = [unit[a:b] for _, (a, b) in self.split(unit)]
-        return sum(self.word(w.encode()) for w in words)
+        return sum(map(self.words.__getitem__, words))
 
     def count(self, text: str) -> int:
         parts, n = [text], 0

@@ -61,7 +61,8 @@ class ByteBpe:
                 self.seams.clear()  # a seam may fall to the pair just learnt
             self.ready = r
         self.ready = len(self.table)
-        self.units = bytebpe.Units(self.unit)
+        self.words = bytebpe._Full(lambda w: array("I", self.word(w.encode())).tobytes(), bytebpe.CACHE // 2)
+        self.units = bytebpe.Units(self.unit, bytebpe.CACHE // 2)
 
     ready = -1
 
@@ -125,10 +126,7 @@ class ByteBpe:
         return out
 
     def unit(self, unit: str) -> bytes:
-        ids = array("I")
-        for w in self.findall(unit):
-            ids.extend(self.word(w.encode()))
-        return ids.tobytes()
+        return b"".join(map(self.words.__getitem__, self.findall(unit)))
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 32-bit integers in the machine's (little-endian) order."""
