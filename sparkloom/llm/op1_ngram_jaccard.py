@@ -7,8 +7,8 @@ joined. Where a list of documents shares such a shingle, a pair must pass
 
 * the length filter: the smaller set has 0.8 of the larger or more,
 * the positional filter: what follows the shared shingle in both is enough for the overlap,
-* the suffix filter: over 64 ranges of the hash, the differences of the two sets' counts bound their
-  difference from below,
+* the suffix filter: over ranges of the hash, the differences of the two sets' counts, or of the counts'
+  parities, bound their difference from below,
 
 and is then verified once, on the whole sets.
 
@@ -140,15 +140,15 @@ def rarity(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def sets_table(docs: DataFrame, n: int) -> DataFrame:
-    """_rid, doc_id, key, n, copy (128-bit digest of the set), counts (64 ranges) and the set itself; the last two for the
-    first row of each digest in its task only."""
+    """_rid, doc_id, key, n, copy (128-bit digest of the set), counts (64 ranges), parity (1024 bits) and the set itself; the
+    last three for the first row of each digest in its task only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid, seen = TaskContext.get().partitionId() << 36, set()
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 b = whole.slice(k, 1024)
-                size, copy, counts, data = [], [], [], []
+                size, copy, counts, parity, data = [], [], [], [], []
                 for t in b.column(1):
                     h = shingles(t.as_py(), n)
                     raw = pack48(h)
@@ -158,12 +158,14 @@ def sets_table(docs: DataFrame, n: int) -> DataFrame:
                     size.append(len(h))
                     copy.append(digest)
                     counts.append(np.minimum(np.bincount((h >> np.uint64(42)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes() if first else None)
+                    odd = np.bincount(((h >> np.uint64(20)) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8)).view("<i8").tolist() if first else None)
                     data.append(raw if first else None)
                 rids = pa.array(range(rid, rid + len(size)), pa.int64())
                 rid += len(size)
-                yield pa.RecordBatch.from_arrays([rids, b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(copy, pa.binary()), pa.array(counts, pa.binary()), pa.array(data, pa.binary())], names=["_rid", "doc_id", "key", "n", "copy", "counts", "data"])
+                yield pa.RecordBatch.from_arrays([rids, b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(copy, pa.binary()), pa.array(counts, pa.binary()), pa.array(parity, pa.list_(pa.int64())), pa.array(data, pa.binary())], names=["_rid", "doc_id", "key", "n", "copy", "counts", "parity", "data"])
 
-    return scratch.table(docs.mapInArrow(run, "_rid long, doc_id long, key string, n long, copy binary, counts binary, data binary"), "jaccard-sets", codec="none", batch=1024)
+    return scratch.table(docs.mapInArrow(run, "_rid long, doc_id long, key string, n long, copy binary, counts binary, parity array<long>, data binary"), "jaccard-sets", codec="none", batch=1024)
 
 
 def prefixes(sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
@@ -202,6 +204,14 @@ def _passes(percent: int):
     return length & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
 
 
+def _parity_passes(percent: int):
+    """Each hash that only one of two sets has changes one of 1024 parity bits, so the bits that differ are no
+    more than the difference of the sets; a suffix filter that the join itself can apply."""
+    bits = sum((F.bit_count(F.get("parity", k).bitwiseXOR(F.get("parity2", k))) for k in range(16)), F.lit(0))
+    need = F.ceil((F.lit(percent) * (F.col("n") + F.col("n2"))) / F.lit(100.0 + percent) - F.lit(1e-9))
+    return bits <= F.col("n") + F.col("n2") - 2 * need
+
+
 def _neighbours(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, hits): each document with the one before it and with the head of its list, where their components differ."""
     lists = lists.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0))
@@ -310,7 +320,16 @@ def components(edges: DataFrame, forest: int = FOREST) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, key=None) -> DataFrame:
+#: Rounds before all pairs between different components are verified, and partners of a document in each.
+ROUNDS, PARTNERS = 3, 3
+
+
+def _joined(docs: DataFrame, *args) -> DataFrame:
+    with scratch.passing(docs.sparkSession):
+        return _placed(docs, *args)
+
+
+def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, key=None) -> DataFrame:
     """_rid, doc_id, key, n and label (the least _rid of the component) of every row."""
     key = F.lit(None).cast("string") if key is None else key
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
@@ -329,7 +348,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, k
     sizes = sets.filter("data IS NOT NULL").select(F.col("_rid").alias("rep"), "n", "counts")
 
     labels, done = None, None
-    for round_ in ("best", "best", "all"):
+    for round_ in (*["best"] * ROUNDS, "all"):
         if labels is None:
             tagged = lists.withColumn("label", F.col("rep"))
         else:
@@ -339,10 +358,11 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, k
         if round_ == "best":
             pairs = _neighbours(tagged, percent)
             best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("hits"), "b"))
-            pairs = pairs.withColumn("k", best).filter("k = 1").select("a", "b")
+            pairs = pairs.withColumn("k", best).filter(F.col("k") <= PARTNERS).select("a", "b")
         else:
-            other = tagged.select("g", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
-            pairs = tagged.join(other, (tagged.g == other.g) & (F.col("rep") > F.col("rep2")) & (F.col("label") != F.col("label2")) & _passes(percent))
+            tagged = tagged.join(sets.filter("data IS NOT NULL").select(F.col("_rid").alias("rep"), "parity"), "rep")
+            other = tagged.select("g", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"), F.col("parity").alias("parity2"))
+            pairs = tagged.join(other, (tagged.g == other.g) & (F.col("rep") > F.col("rep2")) & (F.col("label") != F.col("label2")) & _passes(percent) & _parity_passes(percent))
             pairs = pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")

@@ -2,18 +2,20 @@
 
 The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
 machine) a folder of this process is used. Tables are Parquet, committed by Spark, so a lost
-executor costs a rerun of its tasks only. ``clear`` removes what this application wrote; the
-tables must outlive the lazy DataFrames that read them, so nothing is removed earlier.
+executor costs a rerun of its tasks only. ``passing`` removes working tables
+whose readers are done; the others must outlive the lazy DataFrames that read them, until ``clear``.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
+_OPEN: list[list[str]] = []
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -42,11 +44,31 @@ def table(df: DataFrame, name: str, codec: str = "zstd", batch: int | None = Non
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_BATCH, usual)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    for paths in _OPEN:
+        paths.append(path)
+    return out
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables written within are deleted at the end, but for the last one. Only for code whose result is that
+    table alone."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.remove(paths)
+    for path in paths[:-1]:  # the last one is the result
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete every table and file of this application."""
-    jvm, sc = spark._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(folder(spark))
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, folder(spark))
