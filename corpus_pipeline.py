@@ -43,7 +43,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("quality rules", quality), ("toxicity", toxicity), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets), ("packing", packing),
 ]
 
-#: SQL can't express the estimates, the classifier or the tokenizer; tests hold run() against a plain version.
+#: SQL can't express the estimates, the classifier or the tokenizer.
 ORACLE_SQL = None
 
 
