@@ -13,7 +13,8 @@ joined. Where a list of documents shares such a shingle, a pair must pass
 and is then verified once, on the whole sets.
 
 Exact copies are one class before the join. Within a list not all pairs are formed: in the first rounds a
-document meets its neighbour and the list's head, and verified links give components; in the last round
+document meets its neighbour and the list's head, in another order each time, and verified links give
+components, until a round gives few new links; in the last round
 only pairs between different components are left, and all of those are verified. A pair within a component
 can't change the result, so the components are those of all links. A very common shingle's list is cut into
 sub-lists by a hash of the document and their heads are joined again.
@@ -212,13 +213,16 @@ def _parity_passes(percent: int):
     return bits <= F.col("n") + F.col("n2") - 2 * need
 
 
-def _neighbours(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, hits): each document with the one before it and with the head of its list, where their components differ."""
+def _neighbours(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b, hits): each document with the one before it and with the head of its list, where their components differ.
+    Turn 0 goes by size; later ones shuffle documents of like size, so that those who failed meet others."""
     lists = lists.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0))
-    w = Window.partitionBy("g", "salt").orderBy("n", "rep")
+    like = F.floor(F.log("n") * 20 + turn / 3) if turn else F.lit(0).cast("long")
+    lists = lists.withColumns({"like": like, "place": F.xxhash64("rep", F.lit(turn)) if turn else F.col("n")})
+    w = Window.partitionBy("g", "salt", "like").orderBy("place", "rep")
     who = F.struct(F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
     seen = lists.withColumns({"prev": F.lag(who).over(w), "head": F.first(who).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    heads = seen.filter("hot AND prev IS NULL").drop("prev", "head").withColumn("prev", F.lag(who).over(Window.partitionBy("g").orderBy("n", "rep")))
+    heads = seen.filter("hot AND prev IS NULL").drop("prev", "head").withColumn("prev", F.lag(who).over(Window.partitionBy("g", "like").orderBy("place", "rep")))
     heads = heads.withColumn("head", F.col("prev")).select(*seen.columns)
     both = seen.filter("prev IS NOT NULL").unionByName(heads.filter("prev IS NOT NULL"))
     pairs = both.select("rep", "n", "pos", "label", F.explode(F.array_distinct(F.array("prev", "head"))).alias("o")).select("rep", "n", "pos", "label", "o.*")
@@ -320,8 +324,9 @@ def components(edges: DataFrame, forest: int = FOREST) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-#: Rounds before all pairs between different components are verified, and partners of a document in each.
-ROUNDS, PARTNERS = 3, 3
+#: Rounds at most before all pairs between different components are verified, and partners of a document in each.
+#: They end sooner where a round gives under a hundredth of the links known before it.
+ROUNDS, PARTNERS = 8, 3
 
 
 def _joined(docs: DataFrame, *args) -> DataFrame:
@@ -347,16 +352,17 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, k
     lists = scratch.table(lists, "jaccard-lists")
     sizes = sets.filter("data IS NOT NULL").select(F.col("_rid").alias("rep"), "n", "counts")
 
-    labels, done = None, None
-    for round_ in (*["best"] * ROUNDS, "all"):
+    labels, done, known, turn = None, None, 0, 0
+    while True:
+        last = turn == ROUNDS or turn > 1 and 100 * fresh < known
         if labels is None:
             tagged = lists.withColumn("label", F.col("rep"))
         else:
             tagged = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
             mixed = tagged.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("g")
             tagged = scratch.table(tagged.join(mixed, "g", "left_semi").select("g", "rep", "n", "pos", "hot", "label"), "jaccard-mixed")
-        if round_ == "best":
-            pairs = _neighbours(tagged, percent)
+        if not last:
+            pairs = _neighbours(tagged, percent, turn)
             best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("hits"), "b"))
             pairs = pairs.withColumn("k", best).filter(F.col("k") <= PARTNERS).select("a", "b")
         else:
@@ -369,9 +375,15 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, k
         pairs = scratch.table(_suffix_filter(pairs, sizes, percent), "jaccard-pairs")
         done = pairs if done is None else done.union(pairs)
         links = _verify(pairs, sets, percent)
+        if not last:
+            fresh = links.count()
+            known += fresh
         if labels is not None:
             links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(links)
+        if last:
+            break
+        turn += 1
 
     placed = sets.select("_rid", "doc_id", "key", "n").join(members, "_rid", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return scratch.table(placed.select("_rid", "doc_id", "key", "n", F.coalesce("label", "rep", "_rid").alias("label")), "jaccard-placed")
