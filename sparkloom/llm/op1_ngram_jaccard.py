@@ -108,7 +108,7 @@ def rarity(texts: DataFrame, n: int) -> np.ndarray:
             for t in b.column(0):
                 held.append(shingles(t.as_py(), n) >> shift)
                 size += len(held[-1])
-                if size > 1 << 21:
+                if size > 1 << 19:
                     total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << BITS)
                     held, size = [], 0
         if size:
@@ -129,7 +129,8 @@ def rarity(texts: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.astype("<u8").tobytes() for x in sums.values()], pa.binary())], names=["segment", "counts"])
 
     kind = "segment int, counts binary"
-    rows = texts.mapInArrow(count, kind).repartition(SEGMENTS, "segment").mapInArrow(add, kind).collect()  # SEGMENTS rows of fixed size
+    with scratch.batches(texts.sparkSession, 512):
+        rows = texts.mapInArrow(count, kind).repartition(SEGMENTS, "segment").mapInArrow(add, kind).collect()  # SEGMENTS rows of fixed size
     total = np.zeros((SEGMENTS, (1 << BITS) // SEGMENTS), np.int64)
     for r in rows:
         total[r.segment] += np.frombuffer(r.counts, "<u8").astype(np.int64)
@@ -347,7 +348,7 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, k
     # Lists of two or more, by class: first within what the tasks gave, then with copies of other tasks put together.
     w = Window.partitionBy("g").orderBy("n", "_rid")
     some = prefixes(sets, classes, percent).withColumns({"p": F.lag("_rid").over(w), "q": F.lead("_rid").over(w)}).filter("p IS NOT NULL OR q IS NOT NULL").drop("p", "q")
-    some = scratch.table(some, "jaccard-lists")
+    some = scratch.table(some, "jaccard-lists", batch=1024)
     lists = some.join(moved, "_rid", "left").select("g", F.coalesce("rep", "_rid").alias("rep"), "n", "pos", "hot").distinct()
     lists = scratch.table(lists, "jaccard-lists")
     sizes = sets.filter("data IS NOT NULL").select(F.col("_rid").alias("rep"), "n", "counts")

@@ -37,19 +37,26 @@ def table(df: DataFrame, name: str, codec: str = "zstd", batch: int | None = Non
     """Write ``df`` once and give the reread table. ``batch``: rows that Python functions get at a time, for wide rows."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    usual = spark.conf.get(_BATCH)
-    try:
-        if batch:
-            spark.conf.set(_BATCH, str(batch))
+    with batches(spark, batch):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(_BATCH, usual)
     out = spark.read.schema(df.schema).parquet(path)
     for paths in _OPEN:
         paths.append(path)
     return out
 
 
+@contextmanager
+def batches(spark: SparkSession, rows: int | None):
+    """Python functions that run within get ``rows`` rows at a time; None leaves the session's number."""
+    usual = spark.conf.get(_BATCH)
+    try:
+        if rows:
+            spark.conf.set(_BATCH, str(rows))
+        yield
+    finally:
+        spark.conf.set(_BATCH, usual)
+
+
 @contextmanager
 def passing(spark: SparkSession):
     """Tables written within are deleted at the end, but for the last one. Only for code whose result is that
