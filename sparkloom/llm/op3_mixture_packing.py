@@ -40,6 +40,8 @@ SHIFT = 20
 LONGEST_RUN = 1 << 32
 #: Rows that a task gives on at a time.
 ROWS = 512
+#: Starts of queues in parts that may be broadcast: at about 60 bytes each, 60 MB. With more, the ids are shuffled to them.
+BROADCAST_ROWS = 1_000_000
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, queue_col: str) -> DataFrame:
@@ -201,7 +203,8 @@ def pack_mixture(
     before = F.sum("t").over(Window.partitionBy("k").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1))
     placed = parts.join(F.broadcast(index), "queue", "left").withColumn("k", F.coalesce("k", F.lit(len(names) - 1)))
     placed = placed.select("part", "queue", "k", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
-    rows = rows.join(placed, ["part", "queue"]).select("doc_id", "k", (F.col("base") + F.col("at")).alias("at"), "n", "ids", "queue")
+    small = parts.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(placed) if small else placed, ["part", "queue"]).select("doc_id", "k", (F.col("base") + F.col("at")).alias("at"), "n", "ids", "queue")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
