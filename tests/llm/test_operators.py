@@ -130,6 +130,18 @@ def test_packing(spark, docs):
     assert all(r.positions_ok for r in rows)
 
 
+def test_packing_without_broadcast(spark, docs, monkeypatch):
+    """The starts of queues reach the rows by broadcast or by a shuffle, with the same pieces."""
+    def bag(df):
+        return sorted(df.groupBy("doc_id", "ids_crc32", "length", "doc_tokens", "queue").count().collect(), key=str)
+
+    monkeypatch.setattr(o3, "BROADCAST_ROWS", -1)
+    shuffled = o3.pack_mixture(docs, JSON)
+    _packed(shuffled.collect())
+    monkeypatch.undo()
+    assert bag(shuffled) == bag(o3.pack_mixture(docs, JSON))
+
+
 def test_plan_keeps_proportions():
     totals = [100_003, 50_021, 7_919, 2_500]
     plan = o3.Plan(totals, totals, 1024)
