@@ -2,13 +2,17 @@
 
 Patterns find base spans in every whole text, each kind leftmost and without overlaps; a fourth, broader
 pattern finds opaque strings. Every candidate value is hashed, and the hashes are aggregated over the whole
-corpus by distinct repositories and distinct owners. A value that ``min_owners`` owners or more hold is a
-copied example; one that fewer hold and that looks live (letters and digits, enough different characters,
-no placeholder word) is a credential of its owners, and its place is added as a span of kind ``live``. Base
-spans always stay.
+corpus by distinct repositories and distinct owners. A value is a copied example where the share ``WIDE`` of
+the corpus' owners (``min_owners`` at least) and of its repositories hold it in passages of their own; any
+other one that looks live (letters and digits, enough different characters, no placeholder word) is a
+credential of its owners, and its place is added as a span of kind ``live``. Base spans always stay.
 
-``(hash, repository, owner)`` is made distinct before the counts, on the map side first, so a value
-copied into a third of the corpus reaches the counts once for each of its repositories and map task. What is
+A copied passage counts once: of all holders of a value between the same ``AROUND`` characters on both sides
+one is taken, by a hash. Where fewer than ``LEAST_AROUND`` characters stand there, as in a text that is one
+line, there is nothing that shows a copy, and each holder counts. ``max_owners`` and ``max_repos`` are all holders.
+
+``(hash, passage, repository, owner)`` is made distinct before the counts, on the map side first, so a value
+copied into a third of the corpus reaches the counts once for each of its passages, repositories and map tasks. What is
 shuffled are candidates, never texts.
 
 Positions: the text between the matches (split by the same pattern) and the matches' lengths add up to
@@ -33,6 +37,10 @@ KINDS = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),  # runs of 32 or more are just the runs of one or more that are long enough
     "opaque": (r"[A-Za-z0-9+/_=-]{20,}", 0, 20),
 }
+#: Characters on each side that tell passages apart, and the least of both sides together that do.
+AROUND, LEAST_AROUND = 32, 16
+#: Shares of all owners and all repositories; the second is more than one of four languages has.
+WIDE = (1 / 2, 1 / 3)
 BASE = ("assign", "access", "hex")
 LIVE = "live"
 #: Words that mark a value as a placeholder.
@@ -40,11 +48,16 @@ PLACEHOLDERS = "example|sample|changeme|placeholder|dummy|your|xxxx|0000000|1234
 
 
 def _matches(text: Column, kind: str) -> Column:
-    """Gap before, length, value of each match; null where there is none."""
+    """Gap before, length, value, hash of the passage (null where too short) of each match; null where there is none."""
     pattern, group, _ = KINDS[kind]
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    both = F.transform(whole, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("len"), F.get(values, i).alias("value")))
+
+    def passage(i: Column) -> Column:
+        before, after = F.right(F.get(gaps, i), F.lit(AROUND)), F.left(F.get(gaps, i + 1), F.lit(AROUND))
+        return F.when(F.length(before) + F.length(after) >= LEAST_AROUND, F.xxhash64(before, after))
+
+    both = F.transform(whole, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("len"), F.get(values, i).alias("value"), passage(i).alias("passage")))
     return F.when(text.rlike(pattern), both)
 
 
@@ -75,9 +88,14 @@ def candidates(scanned: DataFrame, min_owners: int) -> DataFrame:
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(w)).withColumn("start", F.col("end") - F.col("len")).withColumn("v_start", F.col("end") - F.length("value"))
     least = F.element_at(F.create_map(*(F.lit(x) for k, v in KINDS.items() for x in (k, v[2]))), F.col("kind"))
     rows = rows.withColumn("ok", F.length("value") >= least).withColumn("hash", F.sha2("value", 256))
-    freq = rows.filter("ok").select("hash", "_repo", "_owner").distinct().groupBy("hash").agg(F.countDistinct("_owner").alias("n_owners"), F.countDistinct("_repo").alias("n_repos"))
+    held = rows.filter("ok").select("hash", F.coalesce("passage", F.xxhash64("_owner", "_repo")).alias("passage"), "_repo", "_owner").distinct()
+    freq = held.groupBy("hash").agg(F.countDistinct("_owner").alias("n_owners"), F.countDistinct("_repo").alias("n_repos"))
+    one = held.groupBy("hash", "passage").agg(F.min(F.struct(F.xxhash64("passage", "_owner", "_repo"), "_owner", "_repo")).alias("o")).select("hash", "o._owner", "o._repo")
+    freq = freq.join(one.groupBy("hash").agg(F.countDistinct("_owner").alias("own_owners"), F.countDistinct("_repo").alias("own_repos")), "hash")
+    owners, repos = scanned.agg(F.countDistinct("_owner"), F.countDistinct("_repo")).head()
     rows = rows.join(freq, "hash", "left")
-    kind = F.when(F.col("n_owners") >= min_owners, "example").when(F.col("ok") & looks_live(F.col("value")), LIVE).otherwise("other")
+    wide = (F.col("own_owners") >= max(min_owners, WIDE[0] * owners)) & (F.col("own_repos") >= WIDE[1] * repos)
+    kind = F.when(wide, "example").when(F.col("ok") & looks_live(F.col("value")), LIVE).otherwise("other")
     return rows.select("_rid", "kind", "start", "end", "v_start", "ok", "n_owners", "n_repos", kind.alias("class"))
 
 
@@ -125,7 +143,7 @@ def redact_secrets(
     docs: DataFrame, mask: str = "[SECRET]", min_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
     repo_cols: tuple[str, ...] = ("source", "lang"), length_col: str | None = "n_chars",
 ) -> DataFrame:
-    """The documents with every live span and every base span that is no copied example masked, and the
+    """The documents with every live span and every base span that is no copied example (as above) masked, and the
     length column brought up to date. Rows without such spans pass as they are."""
     scanned = scan(docs, id_col, text_col, owner_col, repo_cols, carry=True)
     masks = _spans(candidates(scanned, min_owners)).select("_rid", F.sort_array(F.concat(F.filter("base", lambda s: ~s["example"]), "live")).alias("_mask"))

@@ -202,6 +202,22 @@ def test_secrets(docs):
     assert "abcd1234" not in red[10].text and red[10].n_chars == len(red[10].text) and red[13].text == ROWS[14][1] and red[5].text is None
 
 
+def test_secrets_in_copies(spark):
+    """A live value in copies of one text stays live and is masked; one that most owners wrote themselves is an example."""
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    copied, wide = 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"', 'password = "q1W2e3R4t5Y6u7"'
+    rows = [(i, f"{words(0)} {copied} {words(1)}", "en", f"s{i}") for i in range(8)]
+    rows += [(100 + i, f"{words(100 + i)} {wide} {words(200 + i)}", "en", f"s{i}") for i in range(9)] + [(200 + i, words(i), "en", f"s{i}") for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in o5.secret_scan(table).collect()}
+    red = {r.doc_id: r.text for r in o5.redact_secrets(table).collect()}
+    assert len(red) == len(rows) and all(got[i].n_live > 0 and got[i].max_owners == 8 and "2abc3ff2" not in red[i] for i in range(8))
+    assert all(got[100 + i].n_live == 0 and wide in red[100 + i] for i in range(9))
+    three = [(i, f"{words(i)} {wide} {words(50 + i)}", "en", f"s{i}") for i in range(3)] + [(200 + i, words(i), "en", f"s{i}") for i in range(12)]
+    got = o5.secret_scan(spark.createDataFrame(three, table.schema)).collect()  # three of twelve owners aren't most
+    assert sum(r.n_live for r in got) == 3
+
+
 def test_quality(spark, docs):
     def plain(t):
         t = t or ""
