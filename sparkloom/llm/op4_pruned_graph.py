@@ -1,17 +1,20 @@
 """Approximate nearest neighbours on robust-pruned directed graphs, a graph per shard.
 
-Equal vectors are one node with the smallest ids of its rows (k + 1 are enough for any query's k nearest).
+Vectors of one direction are one node with the smallest ids of its rows (k + 1 are enough for any query's k
+nearest): a vector divided by its largest component is the same, bit by bit, for all its exact multiples.
 Nodes go to shards by a hash, ``max_rows`` to a shard at most in expectation. A shard's task builds the graph
 in rounds of growing size: a greedy search from the entry node proposes neighbours for each new node; relaxed
 distance pruning keeps the nearest and drops any that a kept one is nearer to by the factor ``alpha``, so the
 kept edges point different ways; the reverse edges are added and pruned alike. Then every query runs a beam
 search in every shard, in blocks, and the best k of all shards are ranked by their exact cosine in double
-precision, computed from the original vectors.
+precision. Distances are in double precision throughout, so near copies are linked like any other nodes.
+Where the beam's last node is as near as its k-th, within ``TIE``, or the beam is not full though the shard
+has more nodes, the beam settles nothing, and the query is scored against all of the shard's nodes.
 
 A task holds one shard's vectors and graph, whose size is bounded; queries stream past it in batches.
 
 Cases: rows with null id, null or zero vectors, or null or non-finite components take no part; vectors meet
-those of their own length only; rows repeated with the same id and vector are one; a shard of fewer than k
+those of their own length only; rows repeated with the same id and direction are one; a shard of fewer than k
 nodes gives all; ties go to the smaller id; extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -25,6 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 256
+#: Squared distances differ where they do by more than this, absolutely or as a share: a few times what float32 vectors carry.
+TIE = (1e-6, 1e-3)
+#: Queries scored against a whole shard at a time.
+EXACT_BLOCK = 32
 
 
 class Graph:
@@ -60,7 +67,7 @@ class Graph:
     def search(self, q: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all rows of q at once; the beams' nodes and distances, nearest first."""
         m = len(q)
-        ids, far, seen = np.full((m, beam), -1, np.int64), np.full((m, beam), np.inf, np.float32), np.zeros((m, beam), bool)
+        ids, far, seen = np.full((m, beam), -1, np.int64), np.full((m, beam), np.inf), np.zeros((m, beam), bool)
         ids[:, 0] = self.entry
         far[:, 0] = self._far(q, ids[:, :1])[:, 0]
         live = np.arange(m)
@@ -136,7 +143,9 @@ def nearest(
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score. ``query_filter`` is SQL over ``_id``."""
-    rows = table.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v")).filter(F.col("_id").isNotNull() & _valid("_v")).distinct()
+    rows = table.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v")).filter(F.col("_id").isNotNull() & _valid("_v"))
+    most = F.array_max(F.transform("_v", F.abs))
+    rows = rows.withColumn("_v", F.transform("_v", lambda x: x / most)).distinct()
     first = F.row_number().over(Window.partitionBy("_v").orderBy("_id"))
     nodes = rows.withColumn("_r", first).filter(F.col("_r") <= k + 1).groupBy("_v").agg(F.sort_array(F.collect_list("_id")).alias("ids"))
     shards = max(min_shards, -(-table.count() // max_rows))
@@ -154,7 +163,7 @@ def nearest(
                     return None
                 raw = np.array([v for v, _ in own])
                 norm = np.linalg.norm(raw, axis=1)
-                graphs[size] = raw, norm, [i for _, i in own], Graph((raw / norm[:, None]).astype(np.float32), degree, build_beam, alpha)
+                graphs[size] = raw, norm, [i for _, i in own], Graph(raw / norm[:, None], degree, build_beam, alpha)
             return graphs[size]
 
         def ask(ids: list[int], q: np.ndarray) -> Iterator[tuple]:
@@ -163,13 +172,22 @@ def nearest(
                 return
             raw, norm, members, graph = got
             own = np.linalg.norm(q, axis=1)
-            found, _ = graph.search((q / own[:, None]).astype(np.float32), max(beam, k + 1))
-            for query, v, length, near in zip(ids, q, own.tolist(), found, strict=True):
-                near = near[near >= 0]
-                score = (raw[near] * v).sum(1) / (norm[near] * length)
-                best = sorted((-s, m) for s, i in zip(score.tolist(), near.tolist(), strict=True) for m in members[i] if m != query)[:k]
-                for s, m in best:
-                    yield query, m, -s
+            found, far = graph.search(q / own[:, None], max(beam, k + 1))
+            kth, last = far[:, k], far[:, -1]  # k + 1 nodes: the query's own may be one
+            unsure = ~np.isfinite(last) | (last - np.where(np.isfinite(kth), kth, 0) <= TIE[0] + TIE[1] * kth)
+            unsure &= found.shape[1] < len(raw)
+            for a in range(0, len(ids), EXACT_BLOCK):
+                at = np.arange(a, min(a + EXACT_BLOCK, len(ids)))
+                every = np.flatnonzero(unsure[at])
+                close = dict(zip(every.tolist(), (q[at[every]] / own[at[every], None]) @ graph.x.T, strict=True)) if len(every) else {}
+                for o, j in enumerate(at.tolist()):
+                    near = found[j][found[j] >= 0]
+                    if o in close:  # all that the order of the sums can't tell from the k-th are scored like the others
+                        near = np.flatnonzero(close[o] >= np.partition(close[o], -k - 1)[-k - 1] - 1e-12)
+                    score = (raw[near] * q[j]).sum(1) / (norm[near] * own[j])
+                    best = sorted((-s, m) for s, i in zip(score.tolist(), near.tolist(), strict=True) for m in members[i] if m != ids[j])[:k]
+                    for s, m in best:
+                        yield ids[j], m, -s
 
         for b in batches:
             out, asks = [], {}

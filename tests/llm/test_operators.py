@@ -183,6 +183,27 @@ def test_nearest(spark):
     assert hit >= 0.9 * 5 * len(queries) and [i for i, _ in by[0]] == [5000, 5001, 5002, 5003, 5004]
 
 
+def test_nearest_in_groups(spark):
+    """Multiples and near copies of one vector, far more than a beam, beside others: the exact nearest rows."""
+    rng = np.random.default_rng(5)
+    v, x = rng.normal(size=16).astype(np.float32), rng.normal(size=(600, 16)).astype(np.float32)
+    near = (v * (1 + 1e-6 * rng.normal(size=(500, 16)))).astype(np.float32)
+    scaled = [(x[1] * np.float32(2.0 ** (i % 20 - 10))).tolist() for i in range(300)]
+    hot = np.eye(16, dtype=np.float32)
+    vectors = [*x.tolist(), *near.tolist(), *scaled, *hot.tolist()]
+    got = o4.nearest(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>"), "_id % 50 = 0", min_shards=1).collect()
+    u = np.array(vectors, float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by[r.query_id].append((r.vec_id, r.score))
+    assert [i for i, _ in by[1150]] == [1, 1100, 1101, 1102, 1103]  # the smaller ids among all multiples
+    for q in range(600, len(vectors), 50):
+        s = u @ u[q]
+        s[q] = -9
+        assert np.allclose([x for _, x in by[q]], np.sort(s)[::-1][:5], rtol=0, atol=4e-16), q
+
+
 def test_secrets(docs):
     kinds = [("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 8), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile(r"[0-9a-f]+"), 0, 32)]
     want = Counter()
