@@ -12,7 +12,9 @@ joined. Where a list of documents shares such a shingle, a pair must pass
 
 and is then verified once, on the whole sets.
 
-Exact copies are one class before the join. Within a list not all pairs are formed: in the first rounds a
+Exact copies are one class before the join. The operator verifies every pair of classes that passes and counts
+each row's links, weighted by copies. ``one_of_each`` needs the components alone, so there within a list not
+all pairs are formed: in the first rounds a
 document meets its neighbour and the list's head, in another order each time, and verified links give
 components, until a round gives few new links; in the last round
 only pairs between different components are left, and all of those are verified. A pair within a component
@@ -335,8 +337,9 @@ def _joined(docs: DataFrame, *args) -> DataFrame:
         return _placed(docs, *args)
 
 
-def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, key=None) -> DataFrame:
-    """_rid, doc_id, key, n and label (the least _rid of the component) of every row."""
+def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, key=None, every: bool = False) -> DataFrame:
+    """_rid, doc_id, key, n and label (the least _rid of the component) of every row. With ``every`` all pairs are
+    verified at once, without rounds, and n_links is the number of other rows that reach the threshold."""
     key = F.lit(None).cast("string") if key is None else key
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
     classes = rarity(own.select("text"), n)
@@ -355,7 +358,7 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, k
 
     labels, done, known, turn = None, None, 0, 0
     while True:
-        last = turn == ROUNDS or turn > 1 and 100 * fresh < known
+        last = every or turn == ROUNDS or turn > 1 and 100 * fresh < known
         if labels is None:
             tagged = lists.withColumn("label", F.col("rep"))
         else:
@@ -387,14 +390,22 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, k
         turn += 1
 
     placed = sets.select("_rid", "doc_id", "key", "n").join(members, "_rid", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return scratch.table(placed.select("_rid", "doc_id", "key", "n", F.coalesce("label", "rep", "_rid").alias("label")), "jaccard-placed")
+    cols = ["_rid", "doc_id", "key", "n", F.coalesce("label", "rep", "_rid").alias("label")]
+    if every:
+        copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
+        both = links.select(F.col("a").alias("to"), F.col("b").alias("rep")).union(links.select("b", "a"))
+        others = both.join(copies, "rep").groupBy(F.col("to").alias("rep")).agg(F.sum("copies").alias("others"))
+        counts = copies.join(others, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        placed = placed.join(counts, "rep", "left")
+        cols.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return scratch.table(placed.select(*cols), "jaccard-placed")
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    placed = _joined(docs, n, percent, id_col, text_col)
+    """doc_id, n_shingles, component_id and n_links (other rows whose sets reach the threshold, copies included) of every row."""
+    placed = _joined(docs, n, percent, id_col, text_col, None, True)
     ids = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(ids, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return placed.join(ids, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 #: Rows of a table that may be broadcast: at about 60 bytes each, 60 MB.

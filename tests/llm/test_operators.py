@@ -66,6 +66,42 @@ def test_jaccard(docs):
     assert sorted(r.doc_id or 0 for r in o1.one_of_each(docs).collect()) == [0, 1, 5, 6, 7, 8, 9, 10, 11, 12, 13]
 
 
+def _near_texts():
+    """Chains at the threshold, a large group of near copies, exact copies and texts of their own."""
+    rng = np.random.default_rng(6)
+    out = []
+    for c in range(4):
+        w = [f"c{c}w{j}" for j in range(60)]
+        for _ in range(12):
+            out.append(" ".join(w))
+            w = w[:]
+            w[int(rng.integers(0, 60))] = f"n{rng.integers(1 << 40)}"
+    w = [f"g{j}" for j in range(80)]
+    for _ in range(70):
+        x = w[:]
+        x[int(rng.integers(0, 80))] = f"n{rng.integers(1 << 40)}"
+        out.append(" ".join(x))
+    out += out[50:60] + [" ".join(f"o{i}w{j}" for j in range(30)) for i in range(80)]
+    return out
+
+
+def _plain_jaccard(texts):
+    """Links of each text and the least index of its component."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = [[j for j, y in enumerate(sets) if j != i and 100 * len(x & y) >= 80 * len(x | y)] for i, x in enumerate(sets)]
+    label = list(range(len(sets)))
+    for _ in sets:
+        label = [min(label[i], *(label[j] for j in near[i]), label[i]) for i in range(len(sets))]
+    return [len(x) for x in near], label
+
+
+def test_jaccard_links(spark):
+    texts = _near_texts()
+    got = o1.ngram_jaccard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    links, label = _plain_jaccard(texts)
+    assert {r.doc_id: (r.n_links, r.component_id) for r in got} == {i: (links[i], label[i]) for i in range(len(texts))}
+
+
 def test_components_both_ways(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2)) if a != b] + [(1000 + i, 1001 + i) for i in range(60)]
