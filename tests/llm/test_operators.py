@@ -102,6 +102,21 @@ def test_jaccard_links(spark):
     assert {r.doc_id: (r.n_links, r.component_id) for r in got} == {i: (links[i], label[i]) for i in range(len(texts))}
 
 
+def test_jaccard_rounds(spark, monkeypatch):
+    """Salted hot lists, few rounds, the last join between components and stars against brute force."""
+    monkeypatch.setattr(o1, "HOT", 10)
+    monkeypatch.setattr(o1, "SALTS", 3)
+    monkeypatch.setattr(o1, "ROUNDS", 1)
+    monkeypatch.setattr(o1.components, "__defaults__", (0,))
+    texts = _near_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = o1._joined(docs, 5, 80, "doc_id", "text").collect()
+    least = {}
+    for r in got:
+        least[r.label] = min(r.doc_id, least.get(r.label, r.doc_id))
+    assert {r.doc_id: least[r.label] for r in got} == dict(enumerate(_plain_jaccard(texts)[1]))
+
+
 def test_components_both_ways(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2)) if a != b] + [(1000 + i, 1001 + i) for i in range(60)]
