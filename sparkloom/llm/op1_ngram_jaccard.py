@@ -1,33 +1,36 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-Each text is the set of its distinct 5-word shingles, as 48-bit hashes. A count sketch of fixed size, summed
-over all documents, says how common a shingle is; the order (rarity, hash) is the same everywhere. Two sets
-that reach the threshold share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, so only those are
-joined. Where a list of documents shares such a shingle, a pair must pass
-
-* the length filter: the smaller set has 0.8 of the larger or more,
+Each text is the set of its distinct 5-word shingles, as 64-bit hashes; two different shingles of the corpus are
+taken for one with a probability of about 2**-64 a pair, else all is exact. A count sketch, sized by the corpus up
+to 2**BITS counters and summed over all sets, says how common a shingle is; the order (rarity, hash) is the same
+everywhere. Where two sets of sizes y <= x reach the threshold t, the first ``x - ceil(t x) + 1`` shingles of the
+larger and the first ``y - ceil(2 t y / (1 + t)) + 1`` of the smaller (its *lead*) have one in common, so documents
+are joined on these alone. A pair in the list of such a shingle must pass
+
+* the length filter: the smaller set has t of the larger or more,
 * the positional filter: what follows the shared shingle in both is enough for the overlap,
-* the suffix filter: over ranges of the hash, the differences of the two sets' counts, or of the counts'
-  parities, bound their difference from below,
+* the suffix filter: the parities of the sets' counts over 1024 classes of the hash, and the counts over 64 ranges
+  of it, bound the sets' difference from below,
 
-and is then verified once, on the whole sets.
+and is then verified once, on the whole sets. Exact copies are one class before the join.
 
-Exact copies are one class before the join. The operator verifies every pair of classes that passes and counts
-each row's links, weighted by copies. ``one_of_each`` needs the components alone, so there within a list not
-all pairs are formed: in the first rounds a
-document meets its neighbour and the list's head, in another order each time, and verified links give
-components, until a round gives few new links; in the last round
-only pairs between different components are left, and all of those are verified. A pair within a component
-can't change the result, so the components are those of all links. A very common shingle's list is cut into
-sub-lists by a hash of the document and their heads are joined again.
+No list and no group of near copies is written out as pairs. First each class meets its neighbours in its lists, by
+size and by a hash, and the best of them, as far as the parities tell, give *groups*. All pairs of one group are
+verified in cells: its sets are dealt to blocks of like size and bounded weight, a cell takes two blocks, and gives
+back for each set the number of its links and the least set that links lead to. Then the lists that hold sets of
+different groups are joined for the pairs between groups, and those pairs, few, are verified one by one. Every pair
+that passes the filters thus lies in one cell or in the last join; groups only say which. Lists too long for a task
+are cut, by a hash of the document, into a grid of parts for the join.
 
 Cases: null and empty text has no shingles and links with nothing; under five words the whole sequence is
 one shingle; rows with null ``doc_id`` take part and are never a component's id (null, where there is no
-other); repeated rows are copies; extra columns are ignored; an empty table gives an empty table.
+other); repeated rows are copies; texts of any length are read whole; extra columns are ignored, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,25 +38,35 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 
-#: The sketch has 2**BITS counters and moves in SEGMENTS parts: 2 MB as rarity classes, at any size of the corpus.
-BITS, SEGMENTS = 21, 64
+#: The sketch has 2**BITS counters at most (as rarity classes, 32 MB) and moves in SEGMENTS parts.
+BITS, SEGMENTS = 25, 64
+#: Tasks that fill a sketch each, at most: what they send grows with them.
+SKETCHES = 4096
 #: A list is cut into SALTS where the sketch counts HOT or more documents for its shingle.
 HOT, SALTS = 50_000, 64
+#: Members of a list that one part of the last join takes, about.
+PART = 2_000
+#: Rows of a table that may be broadcast: at about 60 bytes each, 60 MB.
+BROADCAST_ROWS = 1_000_000
+#: A cell's block: sets and shingles at most, about.
+SETS, WEIGHT = 256, 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 class _Hashes(dict):
-    """word -> 64-bit hash, bounded."""
+    """word -> 64-bit hash, bounded; long words, which seldom come again, aren't kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 120_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        got = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 120_000:
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -70,7 +83,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
-    """The text's set: distinct n-word shingles as sorted 48-bit hashes."""
+    """The text's set: distinct n-word shingles as sorted 64-bit hashes."""
     words = text.encode().lower().split() if text else []  # bytes: A-Z alone change case, and white space is the six ASCII characters
     if not words:
         return np.empty(0, np.uint64)
@@ -82,17 +95,16 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
         h = w[:m] * _MULTIPLIERS[0]
         for k in range(1, n):
             h = h + w[k : k + m] * (_MULTIPLIERS[k % 5] + np.uint64(2 * (k // 5)))
-    return np.unique(_mix(h) >> np.uint64(16))
+    return np.unique(_mix(h))
 
 
-def pack48(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def pack(h: np.ndarray) -> bytes:
+    """Byte planes, highest last: those of sorted hashes that hardly change stand together and compress."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def unpack48(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def overlap_needed(a, b, percent: int):
@@ -100,91 +112,94 @@ def overlap_needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def rarity(texts: DataFrame, n: int) -> np.ndarray:
-    """The class of each counter: 0 for the rarest shingles, growing with the logarithm of the count."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(1 << BITS, np.int64), [], 0
-        shift = np.uint64(48 - BITS)
-        for b in batches:
-            for t in b.column(0):
-                held.append(shingles(t.as_py(), n) >> shift)
-                size += len(held[-1])
-                if size > 1 << 19:
-                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << BITS)
-                    held, size = [], 0
-        if size:
-            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << BITS)
-        pack = zstandard.ZstdCompressor(level=1)
-        parts = total.astype("<u2" if total.max() < 1 << 16 else "<u8").reshape(SEGMENTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([pack.compress(p.tobytes()) for p in parts], pa.binary())], names=["segment", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        width = (1 << BITS) // SEGMENTS
-        for b in batches:
-            for s, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = zstandard.ZstdDecompressor().decompress(data)
-                part = np.frombuffer(raw, "<u2" if len(raw) == 2 * width else "<u8").astype(np.int64)
-                sums[s] = sums[s] + part if s in sums else part
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.astype("<u8").tobytes() for x in sums.values()], pa.binary())], names=["segment", "counts"])
-
-    kind = "segment int, counts binary"
-    with scratch.batches(texts.sparkSession, 512):
-        rows = texts.mapInArrow(count, kind).repartition(SEGMENTS, "segment").mapInArrow(add, kind).collect()  # SEGMENTS rows of fixed size
-    total = np.zeros((SEGMENTS, (1 << BITS) // SEGMENTS), np.int64)
-    for r in rows:
-        total[r.segment] += np.frombuffer(r.counts, "<u8").astype(np.int64)
-    total = total.ravel()
-    usual = max(1.0, float(np.median(total)))
-    classes = np.clip(np.round(8 * np.log2((total + 1) / usual)) + 32, 0, 254).astype(np.uint8)
-    classes[total >= usual + HOT] = 255
-    return classes
-
-
 def sets_table(docs: DataFrame, n: int) -> DataFrame:
-    """_rid, doc_id, key, n, copy (128-bit digest of the set), counts (64 ranges), parity (1024 bits) and the set itself; the
-    last three for the first row of each digest in its task only."""
+    """_rid, doc_id, key, n, copy (128-bit digest of the set, null for the empty one), counts (64 ranges), parity
+    (1024 bits) and the set itself; the last three for the first row of each digest in its task only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid, seen = TaskContext.get().partitionId() << 36, set()
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                b = whole.slice(k, 1024)
+            for k in range(0, whole.num_rows, 512):
+                b = whole.slice(k, 512)
                 size, copy, counts, parity, data = [], [], [], [], []
                 for t in b.column(1):
                     h = shingles(t.as_py(), n)
-                    raw = pack48(h)
-                    digest = xxhash.xxh3_128_digest(raw)
+                    digest = xxhash.xxh3_128_digest(h) if len(h) else None
                     first = len(h) > 0 and digest not in seen
-                    seen.add(digest)
                     size.append(len(h))
                     copy.append(digest)
-                    counts.append(np.minimum(np.bincount((h >> np.uint64(42)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes() if first else None)
-                    odd = np.bincount(((h >> np.uint64(20)) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
-                    parity.append(np.packbits(odd.astype(np.uint8)).view("<i8").tolist() if first else None)
-                    data.append(raw if first else None)
+                    if first:
+                        seen.add(digest)
+                        counts.append(np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes())
+                        odd = np.bincount(((h >> np.uint64(20)) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+                        parity.append(np.packbits(odd.astype(np.uint8)).view("<i8").tolist())
+                        data.append(pack(h))
+                    else:
+                        counts.append(None)
+                        parity.append(None)
+                        data.append(None)
                 rids = pa.array(range(rid, rid + len(size)), pa.int64())
                 rid += len(size)
                 yield pa.RecordBatch.from_arrays([rids, b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(copy, pa.binary()), pa.array(counts, pa.binary()), pa.array(parity, pa.list_(pa.int64())), pa.array(data, pa.binary())], names=["_rid", "doc_id", "key", "n", "copy", "counts", "parity", "data"])
 
-    return scratch.table(docs.mapInArrow(run, "_rid long, doc_id long, key string, n long, copy binary, counts binary, parity array<long>, data binary"), "jaccard-sets", codec="none", batch=1024)
+    return scratch.table(docs.mapInArrow(run, "_rid long, doc_id long, key string, n long, copy binary, counts binary, parity array<long>, data binary"), "jaccard-sets", batch=1024)
+
+
+def rarity(sets: DataFrame) -> tuple[int, bytes]:
+    """The sketch's bits and the class of each counter: 0 for the rarest shingles, growing with the logarithm of
+    the count, 255 where it is HOT above the mean. Collected as one byte a counter, 2**BITS at most."""
+    held = sets.filter("data IS NOT NULL")
+    total = held.agg(F.sum("n")).head()[0] or 0
+    bits = min(BITS, max(18, math.ceil(math.log2(total / 64 + 1))))
+    shift, width, mean = np.uint64(64 - bits), (1 << bits) // SEGMENTS, max(1.0, total / (1 << bits))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, some, size = np.zeros(1 << bits, np.uint32), [], 0  # a task has fewer than 2**32 shingles of a kind
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                some.append((unpack(data) >> shift).astype(np.int64))
+                size += len(some[-1])
+                if size > 1 << max(19, bits - 2):
+                    sums += np.bincount(np.concatenate(some), minlength=1 << bits).astype(np.uint32)
+                    some, size = [], 0
+        if size:
+            sums += np.bincount(np.concatenate(some), minlength=1 << bits).astype(np.uint32)
+        press = zstandard.ZstdCompressor(level=1)
+        parts = sums.astype("<u2" if sums.max() < 1 << 16 else "<u4").reshape(SEGMENTS, -1)
+        for k, p in enumerate(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([press.compress(p.tobytes())], pa.binary())], names=["segment", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for s, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = zstandard.ZstdDecompressor().decompress(data)
+                part = np.frombuffer(raw, "<u2" if len(raw) == 2 * width else "<u4").astype(np.int64)
+                sums[s] = sums[s] + part if s in sums else part
+        for s, x in sums.items():
+            classes = np.clip(np.round(8 * np.log2((x + 1) / mean)) + 32, 0, 254).astype(np.uint8)
+            classes[x >= mean + HOT] = 255
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(classes.tobytes())], pa.binary())], names=["segment", "counts"])
+
+    kind = "segment int, counts binary"
+    with scratch.batches(sets.sparkSession, 512):
+        rows = held.select("data").coalesce(SKETCHES).mapInArrow(count, kind).repartition(SEGMENTS, "segment").mapInArrow(add, kind).collect()  # SEGMENTS rows, a byte a counter
+    parts = {r.segment: zstandard.ZstdDecompressor().decompress(r.counts) for r in rows}
+    return bits, b"".join(parts.get(s, bytes(width)) for s in range(SEGMENTS))
 
 
-def prefixes(sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
-    """g, _rid, n, pos, hot for the prefix of each set, rarest first."""
-    shared = sets.sparkSession.sparkContext.broadcast(classes.tobytes())  # 2**BITS bytes
+def prefixes(sets: DataFrame, sketch, percent: int) -> DataFrame:
+    """g, _rid, n, pos, hot for the prefix of each set, rarest first. ``sketch``: the broadcast of ``rarity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = np.frombuffer(shared.value, np.uint8)
-        shift = np.uint64(48 - BITS)
+        bits, classes = sketch.value
+        rare, shift = np.frombuffer(classes, np.uint8), np.uint64(64 - bits)
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                b = whole.slice(k, 1024)
+            for k in range(0, whole.num_rows, 512):
+                b = whole.slice(k, 512)
                 gs, hots, many = [], [], []
                 for data in b.column(2).to_pylist():
-                    h = unpack48(data)
+                    h = unpack(data)
                     c = rare[h >> shift]
                     p = len(h) - -(-percent * len(h) // 100) + 1
                     first = np.argsort(c, kind="stable")[:p]  # equal classes stay in the order of the hash
@@ -195,42 +210,189 @@ def prefixes(sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
                     continue
                 many = np.array(many)
                 pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                cols = [np.concatenate(gs).astype(np.int64), np.repeat(b.column(0).to_numpy(), many), np.repeat(b.column(1).to_numpy(), many), pos, np.concatenate(hots)]
+                cols = [np.concatenate(gs).view(np.int64), np.repeat(b.column(0).to_numpy(), many), np.repeat(b.column(1).to_numpy(), many), pos, np.concatenate(hots)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "_rid", "n", "pos", "hot"])
 
     return sets.filter("data IS NOT NULL").select("_rid", "n", "data").mapInArrow(run, "g long, _rid long, n long, pos long, hot boolean")
 
 
-def _passes(percent: int):
+def _lead(percent: int) -> Column:
+    """Whether a place of the prefix is one of a smaller set's."""
+    return F.col("pos") <= F.col("n") - F.ceil(F.lit(2.0 * percent) * F.col("n") / F.lit(100.0 + percent) - F.lit(1e-9))
+
+
+def _need(percent: int) -> Column:
+    return F.ceil((F.lit(percent) * (F.col("n") + F.col("n2"))) / F.lit(100.0 + percent) - F.lit(1e-9))
+
+
+def _passes(percent: int) -> Column:
     """Length and positional filter of a joined pair (n, pos) and (n2, pos2)."""
-    need = F.ceil((F.lit(percent) * (F.col("n") + F.col("n2"))) / F.lit(100.0 + percent) - F.lit(1e-9))
     length = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
-    return length & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
+    return length & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= _need(percent))
 
 
-def _parity_passes(percent: int):
+def _odd_bits() -> Column:
+    return sum((F.bit_count(F.get("parity", k).bitwiseXOR(F.get("parity2", k))) for k in range(16)), F.lit(0))
+
+
+def _parity_passes(percent: int) -> Column:
     """Each hash that only one of two sets has changes one of 1024 parity bits, so the bits that differ are no
     more than the difference of the sets; a suffix filter that the join itself can apply."""
-    bits = sum((F.bit_count(F.get("parity", k).bitwiseXOR(F.get("parity2", k))) for k in range(16)), F.lit(0))
-    need = F.ceil((F.lit(percent) * (F.col("n") + F.col("n2"))) / F.lit(100.0 + percent) - F.lit(1e-9))
-    return bits <= F.col("n") + F.col("n2") - 2 * need
+    return _odd_bits() <= F.col("n") + F.col("n2") - 2 * _need(percent)
+
+
+def _looks_near(percent: int) -> Column:
+    """Whether the difference that the parities suggest is about small enough, or they can't tell. It only says
+    which pairs are looked at in groups."""
+    share = F.lit(1.0) - _odd_bits() / F.lit(512.0)
+    apart = F.when(share > 0, F.log(share) / F.lit(math.log(1 - 2 / 1024)))
+    may = F.col("n") + F.col("n2") - 2 * _need(percent)
+    return (may > 700) | (apart <= F.lit(1.15) * may + 3)
 
 
-def _neighbours(lists: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b, hits): each document with the one before it and with the head of its list, where their components differ.
-    Turn 0 goes by size; later ones shuffle documents of like size, so that those who failed meet others."""
-    lists = lists.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0))
-    like = F.floor(F.log("n") * 20 + turn / 3) if turn else F.lit(0).cast("long")
-    lists = lists.withColumns({"like": like, "place": F.xxhash64("rep", F.lit(turn)) if turn else F.col("n")})
+#: Partners by which a class may come into a group.
+PARTNERS = 3
+
+
+def _neighbours(lists: DataFrame, turn: int) -> DataFrame:
+    """Directed pairs (rep, rep2): each class with the one before it, and in turn 0 with the head of its list. Turn 0
+    goes by size; later ones shuffle classes of like size."""
+    like = F.floor(F.log("n") * 20) if turn else F.lit(0).cast("long")
+    cut = lists.withColumns({
+        "salt": F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0),
+        "like": like, "place": F.xxhash64("rep", F.lit(turn)) if turn else F.col("n"),
+    })
     w = Window.partitionBy("g", "salt", "like").orderBy("place", "rep")
-    who = F.struct(F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
-    seen = lists.withColumns({"prev": F.lag(who).over(w), "head": F.first(who).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    heads = seen.filter("hot AND prev IS NULL").drop("prev", "head").withColumn("prev", F.lag(who).over(Window.partitionBy("g", "like").orderBy("place", "rep")))
-    heads = heads.withColumn("head", F.col("prev")).select(*seen.columns)
-    both = seen.filter("prev IS NOT NULL").unionByName(heads.filter("prev IS NOT NULL"))
-    pairs = both.select("rep", "n", "pos", "label", F.explode(F.array_distinct(F.array("prev", "head"))).alias("o")).select("rep", "n", "pos", "label", "o.*")
-    pairs = pairs.filter((F.col("label") != F.col("label2")) & _passes(percent))
-    return pairs.groupBy(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).agg(F.count("*").alias("hits"))
+    head = F.first("rep").over(w.rowsBetween(Window.unboundedPreceding, 0)) if turn == 0 else F.lit(None).cast("long")
+    seen = cut.select("g", "salt", "hot", "rep", "like", "place", F.lag("rep").over(w).alias("prev"), head.alias("head"))
+    # The heads of a long list's parts meet each other.
+    heads = seen.filter("hot AND prev IS NULL").withColumn("prev", F.lag("rep").over(Window.partitionBy("g", "like").orderBy("place", "rep")))
+    both = seen.filter("prev IS NOT NULL").select("rep", "prev", "head").union(heads.filter("prev IS NOT NULL").select("rep", "prev", F.col("prev").alias("head")))
+    return both.select("rep", F.explode(F.filter(F.array_distinct(F.array("prev", "head")), lambda x: x.isNotNull())).alias("rep2")).filter("rep != rep2")
+
+
+def _groups(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """node, label: classes that are verified against each other, all with all. Any choice is right."""
+    hits = _neighbours(lists, 0).union(_neighbours(lists, 1)).groupBy("rep", "rep2").agg(F.count("*").alias("hits"))
+    best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("hits"), "rep2"))
+    pairs = hits.withColumn("k", best).filter(F.col("k") <= PARTNERS).select(F.greatest("rep", "rep2").alias("rep"), F.least("rep", "rep2").alias("rep2")).distinct()
+    own = sizes.select("rep", "n", "parity")
+    pairs = pairs.join(own, "rep").join(own.toDF("rep2", "n2", "parity2"), "rep2")
+    near = (F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")) & _looks_near(percent)
+    return components(pairs.filter(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _shared(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """Sizes of the intersections of the first sets with the others, or of all with all where there are no others."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    place = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])) - 1
+    twice = np.bincount(place) > 1
+    keep = twice[place]
+    place, owner = (np.cumsum(twice) - 1)[place[keep]], owner[keep]
+    other = first if first < len(sets) else 0
+    out = np.zeros((first, len(sets) - other))
+    for lo in range(0, int(twice.sum()), 2048):  # exact: sums of at most 2048 ones
+        a, z = np.searchsorted(place, (lo, lo + 2048))
+        x = np.zeros((len(sets), 2048), np.float32)
+        x[owner[a:z], place[a:z] - lo] = 1
+        out += x[:first] @ x[other:].T
+    return out
+
+
+def _links_of(a: list[tuple], b: list[tuple], percent: int) -> list[tuple[int, int, int]]:
+    """rep, copies of the sets that it links to, least rep that links lead to; for each linked set of a cell. Rows: rep, n, copies, data."""
+    rows = [*a, *b]
+    sets = [unpack(r[3]) for r in rows]
+    n, copies, reps = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 0))
+    m, other = len(a), len(a) if b else 0
+    both = _shared(sets, m)
+    link = 100 * both >= percent * (n[:m, None] + n[None, other:] - both)
+    if not b:
+        np.fill_diagonal(link, False)
+        others = link @ copies
+    else:
+        others = np.concatenate([link @ copies[m:], copies[:m] @ link])
+    root, top = reps.copy(), np.iinfo(np.int64).max
+    while True:
+        there = np.minimum(root[:m], np.where(link, root[None, other:], top).min(1, initial=top))
+        new = np.concatenate([there, np.minimum(root[m:], np.where(link, there[:, None], top).min(0, initial=top))]) if b else there
+        if (new == root).all():
+            break
+        root = new
+    return [(int(reps[k]), int(others[k]), int(root[k])) for k in np.flatnonzero(others)]
+
+
+def _cells(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rep, others, root of every cell: see ``_links_of``."""
+    step = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9  # sets of classes two steps apart fail the length filter
+    members = groups.select(F.col("node").alias("rep"), "label").union(groups.select("label", "label").distinct())
+    members = scratch.table(members.join(classes.select("rep", "n", "copies"), "rep").withColumn("c", F.floor(F.log("n") / F.lit(step))), "jaccard-members")
+    sized = members.groupBy("label", "c").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    blocks = F.ceil(F.greatest(F.col("m") / F.lit(float(SETS)), F.col("w") / F.lit(float(WEIGHT))))
+    whole = sized.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("c", blocks))).alias("blocks"), F.sum("m").alias("m"), F.sum("w").alias("w"))
+    placed = members.join(whole, "label").withColumn("own", F.col("blocks")[F.col("c")])
+    block, number = F.pmod(F.xxhash64("rep"), "own"), F.lit(0).cast("long")
+
+    def cell(c, i, c2, j, side):
+        return F.struct(c.alias("c1"), i.alias("b1"), c2.alias("c2"), j.alias("b2"), side.alias("side"))
+
+    def beside(step: int, build) -> Column:
+        there = F.try_element_at("blocks", F.col("c") + step)
+        return F.when(there.isNotNull(), F.transform(F.sequence(number, there - 1), build)).otherwise(F.array().cast("array<struct<c1:bigint,b1:bigint,c2:bigint,b2:bigint,side:int>>"))
+
+    c, zero, one = F.col("c"), F.lit(0), F.lit(1)
+    inside = F.transform(F.sequence(number, F.col("own") - 1), lambda j: cell(c, F.least(block, j), c, F.greatest(block, j), F.when(j < block, one).otherwise(zero)))
+    after, before = beside(1, lambda j: cell(c, block, c + 1, j, zero)), beside(-1, lambda j: cell(c - 1, j, c, block, one))
+    alone = (F.col("m") <= SETS) & (F.col("w") <= WEIGHT)
+    cells = F.when(alone, F.array(cell(number, number, number, number, zero))).otherwise(F.concat(inside, after, before))
+    placed = scratch.table(placed.select("rep", "label", "n", "copies", cells.alias("cells")), "jaccard-cells")
+    rows = sets.filter("data IS NOT NULL").select(F.col("_rid").alias("rep"), "data").join(_small(placed, placed.count()), "rep")
+    rows = rows.select("label", F.explode("cells").alias("at"), "rep", "n", "copies", "data").select("label", "at.*", "rep", "n", "copies", "data")
+    key = ["label", "c1", "b1", "c2", "b2"]
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, "side", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [])
+        for whole in batches:
+            out = []
+            for *own, side, rep, n, copies, data in zip(*(whole.column(k).to_pylist() for k in range(10)), strict=True):
+                if own != at:
+                    if len(held[0]) + len(held[1]) > 1:
+                        out += _links_of(*held, percent)
+                    at, held = own, ([], [])
+                held[side].append((rep, n, copies, data))
+            if out:
+                yield _rows(out)
+        if len(held[0]) + len(held[1]) > 1 and (out := _links_of(*held, percent)):
+            yield _rows(out)
+
+    def _rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "others", "root"])
+
+    return scratch.table(dealt.mapInArrow(run, "rep long, others long, root long"), "jaccard-linked", batch=256)
+
+
+def _between(lists: DataFrame, groups: DataFrame, n_groups: int, sizes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) between groups that pass all filters but the counts by range."""
+    tagged = lists.join(_small(groups.withColumnRenamed("node", "rep"), n_groups), "rep", "left").select("g", "rep", "n", "pos", F.coalesce("label", "rep").alias("label"))
+    mixed = tagged.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.max(_lead(percent)).alias("some"))
+    parts = F.ceil(F.col("m") / F.lit(float(PART)))
+    tagged = tagged.join(mixed.filter("lo != hi AND some").select("g", parts.alias("parts")), "g").join(sizes.select("rep", "parity"), "rep")
+    own, number = F.pmod(F.xxhash64("rep"), "parts"), F.lit(0).cast("long")
+    probe = tagged.withColumns({"i": own, "j": F.explode(F.sequence(number, F.col("parts") - 1))}).drop("parts")
+    index = tagged.filter(_lead(percent)).withColumns({"j": own, "i": F.explode(F.sequence(number, F.col("parts") - 1))})
+    index = index.select("g", "i", "j", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"), F.col("parity").alias("parity2"))
+    on = [probe[c] == index[c] for c in ("g", "i", "j")]
+    before = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("rep2") < F.col("rep")))
+    pairs = probe.join(index, on[0] & on[1] & on[2] & before & (F.col("label") != F.col("label2")) & _passes(percent) & _parity_passes(percent))
+    return pairs.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
 
 
 def _suffix_filter(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -250,21 +412,20 @@ def _suffix_filter(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFram
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold."""
+    """The pairs whose whole sets reach the threshold. ``pairs`` is a table."""
     wanted = pairs.select(F.col("a").alias("_rid")).union(pairs.select("b")).distinct()
-    data = scratch.table(sets.filter("data IS NOT NULL").select("_rid", "data").join(wanted, "_rid", "left_semi"), "jaccard-wanted", codec="none")
+    held = sets.filter("data IS NOT NULL").select("_rid", "data").join(_small(wanted, 2 * pairs.count()), "_rid", "left_semi")
+    data = scratch.table(held, "jaccard-wanted", codec="none")
     rows = pairs.join(data.select(F.col("_rid").alias("b"), F.col("data").alias("y")), "b").join(data.select(F.col("_rid").alias("a"), F.col("data").alias("x")), "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                p = whole.slice(k, 512)
+            for k in range(0, whole.num_rows, 256):
+                p = whole.slice(k, 256)
                 ok = []
                 for x, y in zip(p.column(2).to_pylist(), p.column(3).to_pylist(), strict=True):
-                    x, y = unpack48(x), unpack48(y)
-                    both = np.sort(np.concatenate([x, y]), kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                    shared = len(np.intersect1d(unpack(x), unpack(y), assume_unique=True))
+                    ok.append(800 * shared >= percent * (len(x) + len(y) - 8 * shared))
                 yield p.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return scratch.table(rows.mapInArrow(run, "a long, b long"), "jaccard-links", batch=256)
@@ -298,10 +459,10 @@ def _forest(edges: DataFrame) -> DataFrame:
     return scratch.table(edges.coalesce(1).mapInArrow(run, "node long, label long"), "forest")
 
 
-def components(edges: DataFrame, forest: int = FOREST) -> DataFrame:
-    """node, label (the least node of its component). Up to ``forest`` links are labelled in one task; more go
-    through alternating large and small stars, each step a minimum per node, merged on the map side, and a
-    join back, so that no task holds a component."""
+def components(edges: DataFrame, forest: int | None = None) -> DataFrame:
+    """node, label (the least node of its component) of every node that isn't a label. Up to ``forest`` links are
+    labelled in one task; more go through alternating large and small stars, each step a minimum per node, merged
+    on the map side, and a join back on the node, whose long partitions Spark splits."""
 
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
@@ -310,7 +471,7 @@ def components(edges: DataFrame, forest: int = FOREST) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head())
 
     e = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "star")
-    if e.count() <= forest:
+    if e.count() <= (FOREST if forest is None else forest):
         return _forest(e)
     before = state(e)
     while before[0]:
@@ -327,99 +488,69 @@ def components(edges: DataFrame, forest: int = FOREST) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-#: Rounds at most before all pairs between different components are verified, and partners of a document in each.
-#: They end sooner where a round gives under a hundredth of the links known before it.
-ROUNDS, PARTNERS = 8, 3
-
-
-def _joined(docs: DataFrame, *args) -> DataFrame:
+def joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
+    """_rid, doc_id, key, n, label (the least _rid of the component), component_id (its least doc_id) and n_links (other rows
+    that reach the threshold) of every row; label is null for the empty set."""
     with scratch.passing(docs.sparkSession):
-        return _placed(docs, *args)
+        return _joined(docs, n, percent, id_col, text_col, key)
 
 
-def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, key=None, every: bool = False) -> DataFrame:
-    """_rid, doc_id, key, n and label (the least _rid of the component) of every row. With ``every`` all pairs are
-    verified at once, without rounds, and n_links is the number of other rows that reach the threshold."""
+def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, key: Column | None) -> DataFrame:
+    spark = docs.sparkSession
     key = F.lit(None).cast("string") if key is None else key
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
-    classes = rarity(own.select("text"), n)
-    sets = sets_table(own, n)
-    reps = sets.filter("n > 0").groupBy("copy").agg(F.min("_rid").alias("rep"))
-    members = scratch.table(sets.filter("n > 0").select("_rid", "copy").join(reps, "copy").select("_rid", "rep"), "jaccard-members")
-    moved = members.join(sets.filter("data IS NOT NULL").select("_rid"), "_rid", "left_semi").filter("_rid != rep")
-
-    # Lists of two or more, by class: first within what the tasks gave, then with copies of other tasks put together.
-    w = Window.partitionBy("g").orderBy("n", "_rid")
-    some = prefixes(sets, classes, percent).withColumns({"p": F.lag("_rid").over(w), "q": F.lead("_rid").over(w)}).filter("p IS NOT NULL OR q IS NOT NULL").drop("p", "q")
-    some = scratch.table(some, "jaccard-lists", batch=1024)
-    lists = some.join(moved, "_rid", "left").select("g", F.coalesce("rep", "_rid").alias("rep"), "n", "pos", "hot").distinct()
-    lists = scratch.table(lists, "jaccard-lists")
-    sizes = sets.filter("data IS NOT NULL").select(F.col("_rid").alias("rep"), "n", "counts")
-
-    labels, done, known, turn = None, None, 0, 0
-    while True:
-        last = every or turn == ROUNDS or turn > 1 and 100 * fresh < known
-        if labels is None:
-            tagged = lists.withColumn("label", F.col("rep"))
-        else:
-            tagged = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            mixed = tagged.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("g")
-            tagged = scratch.table(tagged.join(mixed, "g", "left_semi").select("g", "rep", "n", "pos", "hot", "label"), "jaccard-mixed")
-        if not last:
-            pairs = _neighbours(tagged, percent, turn)
-            best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("hits"), "b"))
-            pairs = pairs.withColumn("k", best).filter(F.col("k") <= PARTNERS).select("a", "b")
-        else:
-            tagged = tagged.join(sets.filter("data IS NOT NULL").select(F.col("_rid").alias("rep"), "parity"), "rep")
-            other = tagged.select("g", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"), F.col("parity").alias("parity2"))
-            pairs = tagged.join(other, (tagged.g == other.g) & (F.col("rep") > F.col("rep2")) & (F.col("label") != F.col("label2")) & _passes(percent) & _parity_passes(percent))
-            pairs = pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = scratch.table(_suffix_filter(pairs, sizes, percent), "jaccard-pairs")
-        done = pairs if done is None else done.union(pairs)
-        links = _verify(pairs, sets, percent)
-        if not last:
-            fresh = links.count()
-            known += fresh
-        if labels is not None:
-            links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(links)
-        if last:
-            break
-        turn += 1
-
-    placed = sets.select("_rid", "doc_id", "key", "n").join(members, "_rid", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    cols = ["_rid", "doc_id", "key", "n", F.coalesce("label", "rep", "_rid").alias("label")]
-    if every:
-        copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
-        both = links.select(F.col("a").alias("to"), F.col("b").alias("rep")).union(links.select("b", "a"))
-        others = both.join(copies, "rep").groupBy(F.col("to").alias("rep")).agg(F.sum("copies").alias("others"))
-        counts = copies.join(others, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-        placed = placed.join(counts, "rep", "left")
-        cols.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return scratch.table(placed.select(*cols), "jaccard-placed")
+    sets = sets_table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("key")), n)
+    classes = sets.filter("n > 0").groupBy("copy").agg(F.min("_rid").alias("rep"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = scratch.table(classes, "jaccard-classes")
+    moved = sets.filter("data IS NOT NULL").select("_rid", "copy").join(classes.select("copy", "rep"), "copy").filter("_rid != rep").select("_rid", "rep")
+    moved = scratch.table(moved, "jaccard-moved")
+
+    # Lists that hold a pair, by class: first within what the tasks gave, then with copies of other tasks put together.
+    sketch = spark.sparkContext.broadcast(rarity(sets))  # 2**BITS bytes at most
+    w = Window.partitionBy("g", F.when(F.col("hot"), F.pmod(F.xxhash64("_rid"), F.lit(SALTS))).otherwise(0)).orderBy("n", "_rid")
+    earlier, later = F.max(_lead(percent)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("_rid").over(w).isNotNull()
+    some = prefixes(sets, sketch, percent).withColumns({"earlier": earlier, "later": later})
+    some = some.filter(F.col("hot") | F.col("earlier") | (_lead(percent) & F.col("later"))).drop("earlier", "later")
+    some = scratch.table(some, "jaccard-lists", batch=512)
+    sketch.destroy()
+    lists = some.join(_small(moved, moved.count()), "_rid", "left").select("g", F.coalesce("rep", "_rid").alias("rep"), "n", "pos", "hot")
+    lists = scratch.table(lists.distinct(), "jaccard-lists")
+    sizes = sets.filter("data IS NOT NULL").select(F.col("_rid").alias("rep"), "n", "counts", "parity")
+
+    groups = _groups(lists, sizes, percent)
+    linked = _cells(groups, classes, sets, percent)
+    pairs = scratch.table(_between(lists, groups, groups.count(), sizes, percent), "jaccard-pairs")
+    pairs = scratch.table(_suffix_filter(pairs, sizes, percent), "jaccard-pairs")
+    links = _verify(pairs, sets, percent)
+
+    labels = components(links.union(linked.filter("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b"))))
+    labels = labels.select(F.col("node").alias("rep"), "label").union(labels.select("label", "label").distinct())
+    both = links.select(F.col("a").alias("rep"), F.col("b").alias("to")).union(links.select("b", "a"))
+    beyond = both.join(classes.select(F.col("rep").alias("to"), "copies"), "to").select("rep", F.col("copies").alias("others"))
+    others = beyond.union(linked.select("rep", "others")).groupBy("rep").agg(F.sum("others").alias("others"))
+    info = labels.join(classes.select("rep", "least"), "rep").join(others, "rep", "left")
+    ids = info.groupBy("label").agg(F.min("least").alias("component_id"))
+    info = scratch.table(info.join(ids, "label").select("rep", "label", "component_id", "others"), "jaccard-info")
+    ends = classes.join(_small(info, info.count()), "rep", "left").select("copy", F.coalesce("label", "rep").alias("label"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    placed = sets.select("_rid", "doc_id", "key", "n", "copy").join(ends, "copy", "left")
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return scratch.table(placed.select("_rid", "doc_id", "key", "n", "label", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "jaccard-placed")
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other rows whose sets reach the threshold, copies included) of every row."""
-    placed = _joined(docs, n, percent, id_col, text_col, None, True)
-    ids = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(ids, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-
-
-#: Rows of a table that may be broadcast: at about 60 bytes each, 60 MB.
-BROADCAST_ROWS = 1_000_000
+    return joined(docs, n, percent, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with one of each component: the one with the smallest id, of repeated rows any one."""
+    """The documents, with one of each component: the one with the smallest id, of repeated rows any one. Documents
+    without words all stay."""
     key = F.md5(F.to_json(F.struct(F.col(id_col).alias("i"), F.col(text_col).alias("t"))))
-    placed = _joined(docs, n, percent, id_col, text_col, key)
-    first = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "_rid"))["_rid"].alias("_rid")).withColumn("stays", F.lit(1))
-    keys = placed.select("_rid", "key").join(first.select("_rid", "stays"), "_rid", "left").groupBy("key").agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
-    touched = scratch.table(keys.filter("stays IS NULL OR rows > 1").select(F.col("key").alias("_key"), F.coalesce("stays", F.lit(0)).alias("_stays")), "jaccard-touched")
-    small = touched.count() <= BROADCAST_ROWS
-    judged = docs.withColumn("_key", key).join(F.broadcast(touched) if small else touched, "_key", "left")
-    alone = judged.filter("_stays IS NULL").select(*docs.columns)
-    return alone.unionByName(judged.filter("_stays = 1").dropDuplicates(["_key"]).select(*docs.columns))
+    with scratch.passing(docs.sparkSession):
+        placed = _joined(docs, n, percent, id_col, text_col, key).filter("n_links > 0")
+        first = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key"))
+        rows = placed.groupBy("key").agg(F.count("*").alias("rows")).join(first.select("key", F.lit(1).alias("stays")), "key", "left")
+        touched = scratch.table(rows.filter("stays IS NULL OR rows > 1").select(F.col("key").alias("k"), F.coalesce("stays", F.lit(0)).alias("stays")), "jaccard-touched")
+    seen = touched.agg(F.count("*"), F.sum("stays")).head()
+    judged = docs.select(F.struct(*docs.columns).alias("row"), key.alias("k")).join(_small(touched, seen[0]), "k", "left")  # two columns: no name can clash
+    alone = judged.filter("stays IS NULL").select("row.*")
+    return alone.unionByName(judged.filter("stays = 1").dropDuplicates(["k"]).select("row.*")) if seen[1] else alone

@@ -102,19 +102,31 @@ def test_jaccard_links(spark):
     assert {r.doc_id: (r.n_links, r.component_id) for r in got} == {i: (links[i], label[i]) for i in range(len(texts))}
 
 
-def test_jaccard_rounds(spark, monkeypatch):
-    """Salted hot lists, few rounds, the last join between components and stars against brute force."""
-    monkeypatch.setattr(o1, "HOT", 10)
-    monkeypatch.setattr(o1, "SALTS", 3)
-    monkeypatch.setattr(o1, "ROUNDS", 1)
-    monkeypatch.setattr(o1.components, "__defaults__", (0,))
+@pytest.mark.parametrize("settings", [{"HOT": 10, "SALTS": 3, "FOREST": 0, "BROADCAST_ROWS": -1}, {"SETS": 7, "PART": 5, "PARTNERS": 1}, {"groups": "none"}, {"groups": "all", "WEIGHT": 500}])
+def test_jaccard_paths(spark, monkeypatch, settings):
+    """Salted hot lists, stars, cells of several blocks, gridded lists, no group at all and one of all, against brute force."""
     texts = _near_texts()
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
-    got = o1._joined(docs, 5, 80, "doc_id", "text").collect()
-    least = {}
-    for r in got:
-        least[r.label] = min(r.doc_id, least.get(r.label, r.doc_id))
-    assert {r.doc_id: least[r.label] for r in got} == dict(enumerate(_plain_jaccard(texts)[1]))
+    for name, value in settings.items():
+        if name != "groups":
+            monkeypatch.setattr(o1, name, value)
+    if "groups" in settings:  # which classes form a group never matters
+        def made(lists, sizes, percent):
+            reps = sizes.select(F.col("rep").alias("node"))
+            least = reps.agg(F.min("node")).head()[0]
+            return reps.withColumn("label", F.lit(least)).filter("node != label" if settings["groups"] == "all" else "false")
+
+        monkeypatch.setattr(o1, "_groups", made)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    links, label = _plain_jaccard(texts)
+    got = o1.ngram_jaccard(docs).collect()
+    assert {r.doc_id: (r.n_links, r.component_id) for r in got} == {i: (links[i], label[i]) for i in range(len(texts))}
+
+
+def test_jaccard_columns(spark):
+    """Columns named like working columns, rows repeated, texts without words: one of each group stays, whole."""
+    rows = [(1, "a b c d e f g", "x", 1, 2), (2, "A b c d e f g", "y", 3, 4), (2, "A b c d e f g", "y", 3, 4), (3, None, "z", 5, 6), (3, None, "z", 5, 6), (4, "other text", "q", 7, 8), (4, "other text", "q", 7, 8), (None, "a b c d e f g", "n", 0, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, k string, stays int, row int")
+    assert sorted(map(tuple, o1.one_of_each(table).collect()), key=str) == sorted([rows[0], rows[3], rows[4], rows[5]], key=str)
 
 
 def test_components_both_ways(spark):
