@@ -3,25 +3,31 @@
 Counts of a text come from array functions over its words, without exploding them. Documents that pass
 the fixed limits give a vector of transformed statistics: log words, log mean word length, log symbol rate,
 and the square roots of the shares of repeated lines and repeated words. For each language and source a
-minimum-covariance-determinant estimate is taken: from medians and quartile ranges on, each step keeps the
-share ``H`` of the rows with the least distance and takes their mean and covariance, ``STEPS`` times; the
-covariance is then scaled so that the median distance is that of a normal sample. A document whose squared
-Mahalanobis distance exceeds ``cutoff`` is rejected.
+minimum-covariance-determinant estimate is sought. Three starts are tried: the medians and quartile ranges
+alone, the covariance of the hyperbolic tangents and that of the signs of the so scaled vectors. A step takes
+the mean and covariance of the share ``H`` of the rows with the least distance; after ``TRIED`` steps the start
+with the least determinant goes on until the determinant settles. ``FLOORS`` are the least standard deviations,
+put in where a statistic varies less, and correlations are shrunk by ``RIDGE``, so that every determinant is
+positive.
 
-Quantiles come from counts of rows in fixed bins, so they cover all rows, merge exactly and do not depend on
-the partitions; sums and products merge in the partial aggregates, so a source with a third of the rows is
-no larger than others after them. Groups under ``min_rows`` are pooled by language, and languages still
-under it all together; a pool under it rejects nothing. ``FLOORS`` keep a statistic that hardly varies in a
-group from making small differences large.
+The statistics are not normal, so the squared distances are calibrated in each group: by median and quartile range
+their cube roots are brought to those of chi-squared (never made narrower). A document beyond the chi-squared
+quantile for ``tail`` is rejected.
+
+A step needs counts, sums and products per bin of the distance only; they cover all rows, merge exactly on the map
+side, and a group, whatever its size, has a bounded number of them. The bins are narrow (a 16th of an e-fold), so
+the share kept is ``H`` up to a bin. Groups under ``min_rows`` are pooled by language; pools still under it are judged
+by the estimate over all documents, however few there are.
 
 Cases: null and empty text has no words and fails the base rules; null language and source are groups of
-their own; repeated rows are judged each; any length is read whole; columns not named are ignored; an empty
-table gives an empty table.
+their own; repeated rows are judged each; any length is read whole; columns not named are ignored, whatever their
+names; equal documents have distance 0; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,15 +36,32 @@ from . import scratch
 
 #: Names of the statistics and the least standard deviation each is given.
 FLOORS = {"x_words": 0.4, "x_length": 0.08, "x_symbols": 0.5, "x_lines": 0.1, "x_repeats": 0.1}
-H, STEPS = 0.75, 3
-#: Fixed value: the median of chi-squared with five degrees of freedom.
-CHI2_MEDIAN_5 = 4.3515
-#: Bins an e-fold of a squared distance, and a unit of a statistic.
+P = len(FLOORS)
+#: Share of the rows that the estimate is made of; steps at most; steps in which all starts are tried; change of the
+#: determinant's logarithm that ends them; what correlations are shrunk by.
+H, STEPS, TRIED, SETTLED, RIDGE = 0.75, 30, 2, 1e-3, 0.02
+#: Share of a normal sample beyond the cutoff.
+TAIL = 1e-3
+#: Median and standard deviation of the cube root of chi-squared with P degrees of freedom (Wilson-Hilferty). The least median distance
+#: that is calibrated, as a share of chi-squared's: below it, most documents are copies and the floors give the unit.
+MEDIAN, SPREAD, LEAST = P ** (1 / 3) * (1 - 2 / (9 * P)), P ** (1 / 3) * (2 / (9 * P)) ** 0.5, 0.1
+#: Bins an e-fold of a squared distance.
 FINE = 16
+#: Estimates that may be broadcast: at about 400 bytes each, 40 MB.
+BROADCAST_ROWS = 100_000
 _WS = r"[\x20\x09-\x0D]+"
 _BLANK = " \t\n\x0b\x0c\r"
 
 
+def chi_square(share: float, p: int) -> float:
+    """The quantile of chi-squared, by the Wilson-Hilferty approximation."""
+    return p * (1 - 2 / (9 * p) + NormalDist().inv_cdf(share) * (2 / (9 * p)) ** 0.5) ** 3
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words, drops the text."""
     d = docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).drop(text_col)
@@ -69,104 +92,166 @@ def statistic_vector(df: DataFrame) -> DataFrame:
 
 
 def _quantiles(binned: DataFrame, keys: list[str], share: list[float]) -> DataFrame:
-    """Per key the bins in which the cumulative count reaches each share; columns q0, q1, ..."""
-    counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    """Per key the bins in which the cumulative count ``n`` reaches each share; columns q0, q1, ..."""
     w = Window.partitionBy(*keys)
-    cum = counts.withColumn("c", F.sum("n").over(w.orderBy("bin"))).withColumn("n", F.sum("n").over(w))
+    cum = binned.withColumn("c", F.sum("n").over(w.orderBy("bin"))).withColumn("n", F.sum("n").over(w))
     return cum.groupBy(*keys).agg(*[F.min(F.when(F.col("c") >= F.lit(s) * F.col("n"), F.col("bin"))).alias(f"q{k}") for k, s in enumerate(share)])
 
 
-def _distance(df: DataFrame, names: list[str]) -> Column:
-    """Squared Mahalanobis distance by forward substitution through the Cholesky columns l_i_j."""
-    out: Column = F.lit(0.0)
-    ys: list[Column] = []
-    for i, x in enumerate(names):
-        rest = reduce(lambda a, b: a + b, [F.col(f"l_{i}_{j}") * ys[j] for j in range(i)], F.lit(0.0))
-        ys.append((F.col(x) - F.col(f"m_{i}") - rest) / F.col(f"l_{i}_{i}"))
-        out = out + ys[-1] * ys[-1]
-    return out
+def _inverse(matrix: Column) -> Column:
+    """Inverse (m) and logarithm of the determinant (ld) of a positive definite matrix in row order, by Gauss-Jordan steps in place."""
+
+    def step(acc: Column, k: Column) -> Column:
+        m = acc["m"]
+        pivot = F.get(m, k * (P + 1))
+
+        def cell(v: Column, at: Column) -> Column:
+            j = at % P
+            i = F.floor((at - j) / P).cast("int")
+            rest = v - F.get(m, i * P + k) * F.get(m, k * P + j) / pivot
+            return F.when((i == k) & (j == k), 1 / pivot).when(i == k, v / pivot).when(j == k, -v / pivot).otherwise(rest)
 
+        return F.struct(F.transform(m, cell).alias("m"), (acc["ld"] + F.log(pivot)).alias("ld"))
 
-def _cholesky(params: DataFrame, p: int) -> DataFrame:
-    for j in range(p):
-        for i in range(j, p):
-            rest = reduce(lambda a, b: a + b, [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)], F.lit(0.0))
-            value = F.col(f"s_{i}_{j}") - rest
-            # Floors on the diagonal keep this positive; the bound is for rounding alone.
-            params = params.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l_{j}_{j}"))
-    return params
+    return F.aggregate(F.array(*[F.lit(k) for k in range(P)]), F.struct(matrix.alias("m"), F.lit(0.0).alias("ld")), step)
+
+
+def _positive(products: dict[tuple[int, int], Column], least: list[Column]) -> Column:
+    """The matrix in row order, off the diagonal shrunk by RIDGE and on it raised to ``least``: always positive definite."""
+    at = lambda i, j: F.greatest(products[i, i], least[i]) if i == j else products[max(i, j), min(i, j)] * F.lit(1 - RIDGE)
+    return F.array(*[at(i, j) for i in range(P) for j in range(P)])
+
+
+def _distance(inverse: str = "p", centre: str = "c", z: Callable[[int], Column] | None = None) -> Column:
+    """Squared Mahalanobis distance of z0, z1, ... by the inverse matrix."""
+    u = [(z(i) if z else F.col(f"z{i}")) - F.get(centre, i) for i in range(P)]
+    rows = [u[i] * sum((F.get(inverse, i * P + j) * u[j] * F.lit(1.0 if i == j else 2.0) for j in range(i, P)), F.lit(0.0)) for i in range(P)]
+    return F.greatest(sum(rows, F.lit(0.0)), F.lit(0.0))
 
 
 def _bin(d2: Column) -> Column:
     return F.floor(F.log(F.greatest(d2, F.lit(1e-6))) * FINE).cast("int")
 
 
-def robust_estimates(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group the centre m_i, the Cholesky factor l_i_j and the scale of the squared distance."""
-    names = list(FLOORS)
-    p = len(names)
-    long = vectors.select(*keys, F.posexplode(F.array(*names)).alias("i", "x")).select(*keys, "i", F.floor(F.col("x") * FINE).cast("int").alias("bin"))
-    q = _quantiles(long, [*keys, "i"], [0.25, 0.5, 0.75])
-    floor = F.element_at(F.array(*map(F.lit, FLOORS.values())), F.col("i") + 1)
-    q = q.select(*keys, "i", ((F.col("q1") + 0.5) / FINE).alias("m"), F.greatest((F.col("q2") - F.col("q0")) / (1.349 * FINE), floor).alias("s"))
-    params = q.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m_{i}") for i in range(p)], *[F.max(F.when(F.col("i") == i, F.col("s"))).alias(f"l_{i}_{i}") for i in range(p)])
-    params = params.withColumns({f"l_{i}_{j}": F.lit(0.0) for i in range(p) for j in range(i)})
+_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def _scales(vectors: DataFrame) -> DataFrame:
+    """Per group medians m, scales s from the quartiles (FLOORS at least) and the floors' variances f in these scales."""
+    grain = F.array(*[F.lit(f / 8) for f in FLOORS.values()])
+    long = vectors.select("gid", F.posexplode(F.array(*FLOORS)).alias("i", "x")).select("gid", "i", F.floor(F.col("x") / F.get(grain, F.col("i"))).alias("bin"))
+    q = _quantiles(long.groupBy("gid", "i", "bin").agg(F.count("*").alias("n")), ["gid", "i"], [0.25, 0.5, 0.75]).withColumn("grain", F.get(grain, F.col("i")))
+    s = F.greatest((F.col("q2") - F.col("q0")) * F.col("grain") / 1.349, F.col("grain") * 8)
+    rows = F.sort_array(F.collect_list(F.struct("i", ((F.col("q1") + 0.5) * F.col("grain")).alias("m"), s.alias("s"), F.pow(F.col("grain") * 8 / s, 2).alias("f"))))  # P rows a group
+    return q.groupBy("gid").agg(rows.alias("r")).select("gid", "r.m", "r.s", "r.f")
+
+
+def _starts(rows: DataFrame, scales: DataFrame) -> DataFrame:
+    """Three first estimates of each group (gid, start, c, p, ld): the scales alone, the covariance of tanh(z) and that of the signs z / |z|."""
+    norm = F.greatest(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0)), F.lit(1e-12))
+    t = [F.tanh(f"z{i}") for i in range(P)]
+    sums = rows.groupBy("gid").agg(
+        *[F.avg(t[i]).alias(f"t{i}") for i in range(P)], *[F.avg(t[i] * t[j]).alias(f"t{i}_{j}") for i, j in _PAIRS], *[F.avg(F.col(f"z{i}") * F.col(f"z{j}") / norm).alias(f"s{i}_{j}") for i, j in _PAIRS],
+    )
+    least = [F.lit(0.05)] * P
+    tanh = _positive({(i, j): F.col(f"t{i}_{j}") - F.col(f"t{i}") * F.col(f"t{j}") for i, j in _PAIRS}, least)
+    sign = _positive({(i, j): F.col(f"s{i}_{j}") for i, j in _PAIRS}, least)
+    unit = F.array(*[F.lit(1.0 if i == j else 0.0) for i in range(P) for j in range(P)])
+    starts = sums.select("gid", F.posexplode(F.array(unit, tanh, sign)).alias("start", "a")).select("gid", "start", _inverse(F.col("a")).alias("v"))
+    return starts.join(scales.select("gid", "f"), "gid").select("gid", "start", F.array(*[F.lit(0.0)] * P).alias("c"), F.col("v.m").alias("p"), F.col("v.ld").alias("ld"), "f")
+
+
+def _tally(rows: DataFrame, params: DataFrame, n: int) -> DataFrame:
+    """Per group, start and bin of the distance: count, sums and products of the vectors. This is all that a step needs, and
+    has a bounded number of rows a group."""
+    z = [F.col(f"z{i}") for i in range(P)]
+    binned = rows.join(small(params, n), "gid").select("gid", "start", _bin(_distance()).alias("bin"), *[x.alias(f"z{i}") for i, x in enumerate(z)])
+    return binned.groupBy("gid", "start", "bin").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"a{i}") for i, x in enumerate(z)], *[F.sum(z[i] * z[j]).alias(f"a{i}_{j}") for i, j in _PAIRS])
+
+
+def _concentrated(tally: DataFrame, params: DataFrame) -> DataFrame:
+    """The estimates from the share H of the rows with the least distances, and the quartiles of the distance under the old ones."""
+    w = Window.partitionBy("gid", "start")
+    cum = tally.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
+    near, total = F.col("upto") - F.col("n") < F.lit(H) * F.col("all"), F.sum(F.when(F.col("upto") - F.col("n") < F.lit(H) * F.col("all"), F.col("n")))
+    mean = lambda c: F.sum(F.when(near, F.col(c))) / total
+    bins = [F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("bin"))).alias(f"b{k}") for k, share in enumerate((0.25, 0.5, 0.75))]
+    sums = cum.groupBy("gid", "start").agg(F.array(*bins).alias("bins"), *[mean(f"a{i}").alias(f"a{i}") for i in range(P)], *[mean(f"a{i}_{j}").alias(f"a{i}_{j}") for i, j in _PAIRS])
+    cov = _positive({(i, j): F.col(f"a{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}") for i, j in _PAIRS}, [F.get("f", i) for i in range(P)])
+    old = params.select("gid", "start", "f", F.col("c").alias("c0"), F.col("p").alias("p0"), F.col("ld").alias("ld0"))
+    new = sums.join(old, ["gid", "start"]).withColumn("v", _inverse(cov))
+    return new.select("gid", "start", F.array(*[F.col(f"a{i}") for i in range(P)]).alias("c"), F.col("v.m").alias("p"), F.col("v.ld").alias("ld"), "f", "bins", "c0", "p0", "ld0")
+
+
+def robust_estimates(vectors: DataFrame) -> DataFrame:
+    """Per gid: m and s (medians and scales), and in these scales the centre c, the inverse covariance p, and median and spread of
+    the distances' cube roots: see ``_calibrated``."""
+    scales = scratch.table(_scales(vectors), "mcd-scales")
+    n = scales.count()
+    z = [((F.col(x) - F.get("m", i)) / F.get("s", i)).alias(f"z{i}") for i, x in enumerate(FLOORS)]
+    rows = scratch.table(vectors.join(small(scales, n), "gid").select("gid", *z), "mcd-rows")
+    params, starts = scratch.table(_starts(rows, scales), "mcd-start"), 3
     for step in range(STEPS):
-        params = scratch.table(params, f"mcd-{step}")
-        far = vectors.join(params, keys).withColumn("bin", _bin(_distance(vectors, names))).select(*keys, *names, "bin")
-        kept = far.join(_quantiles(far.select(*keys, "bin"), keys, [H]), keys).filter("bin <= q0")
-        sums = kept.groupBy(*keys).agg(
-            F.count("*").alias("n"), *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)],
-            *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)],
-        )
-        floors = [f * f for f in FLOORS.values()]
-        sums = sums.withColumns({f"s_{i}_{j}": F.col(f"c_{i}_{j}") + F.lit(floors[i] if i == j else 0.0) for i in range(p) for j in range(i + 1)})
-        params = _cholesky(sums, p).select(*keys, *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
-    params = scratch.table(params, "mcd-last")
-    middle = _quantiles(vectors.join(params, keys).select(*keys, _bin(_distance(vectors, names)).alias("bin")), keys, [0.5])
-    scale = F.exp((F.col("q0") + 0.5) / FINE) / CHI2_MEDIAN_5
-    return params.join(middle, keys).withColumn("scale", F.greatest(scale, F.lit(1.0))).drop("q0")
-
-
-def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, cutoff: float, min_rows: int, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...]) -> DataFrame:
-    """The statistics with base_failed, distance2 and kept; carried columns as _carry_<name>."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+        new = _concentrated(_tally(rows, params, n * starts), params)
+        if step + 1 == TRIED:  # the start that leads to the least determinant goes on
+            new = new.withColumn("k", F.row_number().over(Window.partitionBy("gid").orderBy("ld", "start"))).filter("k = 1").drop("k")
+            starts = 1
+        params = scratch.table(new, f"mcd-{step}")
+        if step + 1 > TRIED and not params.filter(F.abs(F.col("ld") - F.col("ld0")) > SETTLED).head(1):
+            break
+    # The last step's bins are those under the estimates before it, which differ by less than SETTLED.
+    root = [F.exp((F.get("bins", k) + 0.5) / (3 * FINE)) for k in range(3)]
+    least = MEDIAN * LEAST ** (1 / 3)
+    spread = F.greatest((root[2] - root[0]) / 1.349, F.greatest(root[1], F.lit(least)) * (SPREAD / MEDIAN))
+    ends = params.select("gid", F.col("c0").alias("c"), F.col("p0").alias("p"), F.greatest(root[1], F.lit(least)).alias("middle"), spread.alias("spread"))
+    return scratch.table(ends.join(scales.select("gid", "m", "s"), "gid"), "mcd-last")
+
+
+def _calibrated(d2: Column) -> Column:
+    """The squared distance as that of a normal sample: cube roots of chi-squared values are nearly normal, so the roots' median and
+    spread in the group are brought to those of P degrees of freedom. The spread is never narrowed."""
+    return F.pow(F.greatest((F.cbrt(d2) - F.col("middle")) / F.col("spread") * SPREAD + MEDIAN, F.lit(0.0)), 3.0)
+
+
+def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, tail: float, min_rows: int, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """The statistics with base_failed, distance2 and kept; carried columns as _carry."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), *([F.struct(*carry).alias("_carry")] if carry else []))
     stats = base_statistics(own, "_text")
     stats = stats.withColumn("base_failed", (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat_percent) * F.col("n_words")))
     # Null and text keys apart, so that a null never equals a value.
     stats = stats.withColumns({"_lang": F.to_json(F.struct("_lang")), "_source": F.to_json(F.struct("_source"))})
     stats = scratch.table(statistic_vector(stats), "quality-statistics")
     sizes = stats.filter(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count("*").alias("n"))
-    small = sizes.withColumn("own", F.col("n") >= min_rows)
-    rest = F.sum(F.when(F.col("own"), 0).otherwise(F.col("n"))).over(Window.partitionBy("_lang"))
-    level = F.when(F.col("own"), 2).when(rest >= min_rows, 1).otherwise(0)
-    groups = small.withColumn("level", level).select("_lang", "_source", F.when(F.col("level") >= 1, F.col("_lang")).otherwise("").alias("g_lang"), F.when(F.col("level") == 2, F.col("_source")).otherwise("").alias("g_source"), "n")
-    groups = scratch.table(groups, "quality-groups")
-    keys = ["g_lang", "g_source"]
-    enough = groups.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_rows).select(*keys)
-    placed = groups.join(enough, keys).select("_lang", "_source", *keys)
-    vectors = stats.filter(~F.col("base_failed")).join(placed, ["_lang", "_source"]).select(*keys, *FLOORS)
-    estimates = robust_estimates(vectors, keys)
-    judged = stats.join(placed.join(estimates, keys), ["_lang", "_source"], "left")
-    d2 = F.when(~F.col("base_failed"), _distance(judged, list(FLOORS)) / F.col("scale"))
-    judged = judged.withColumn("distance2", d2)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
-    return judged.withColumn("kept", kept)
+    rest = F.sum(F.when(F.col("n") < min_rows, F.col("n")).otherwise(0)).over(Window.partitionBy("_lang"))
+    level = F.when(F.col("n") >= min_rows, 2).when(rest >= min_rows, 1).otherwise(0)
+    groups = sizes.withColumn("level", level)
+    key = F.struct(F.when(F.col("level") >= 1, F.col("_lang")).alias("l"), F.when(F.col("level") == 2, F.col("_source")).alias("s"))
+    groups = scratch.table(groups.select("_lang", "_source", "level", F.when(F.col("level") > 0, F.to_json(key)).otherwise("all").alias("gid")), "quality-groups")
+    n, lone = groups.agg(F.count("*"), F.count(F.when(F.col("level") == 0, 1))).head()
+    passed = stats.filter(~F.col("base_failed"))
+    vectors = passed.join(small(groups.filter("level > 0"), n), ["_lang", "_source"]).select("gid", *FLOORS)
+    if lone:  # too few anywhere: judged by all documents
+        vectors = vectors.unionByName(passed.select(F.lit("all").alias("gid"), *FLOORS))
+    placed = groups.select("_lang", "_source", "gid").join(robust_estimates(vectors), "gid")
+    judged = stats.join(small(placed, n), ["_lang", "_source"], "left")
+    z = [(F.col(x) - F.get("m", i)) / F.get("s", i) for i, x in enumerate(FLOORS)]
+    judged = judged.withColumn("distance2", F.when(~F.col("base_failed"), _calibrated(_distance(z=z.__getitem__))))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= chi_square(1 - tail, P), F.lit(True)))
 
 
 def quality_rules(
-    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cutoff: float = 60.0, min_rows: int = 200,
+    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, tail: float = TAIL, min_rows: int = 30,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
 ) -> DataFrame:
-    """Per row: doc_id, the statistics, base_failed, kept and distance2 (null where the base rules fail or no group is large enough)."""
-    judged = _judged(docs, min_words, max_repeat_percent, cutoff, min_rows, id_col, text_col, lang_col, source_col, ())
+    """Per row: doc_id, the statistics, base_failed, kept and distance2 (null where the base rules fail)."""
+    judged = _judged(docs, min_words, max_repeat_percent, tail, min_rows, id_col, text_col, lang_col, source_col, ())
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
 def good_documents(
-    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cutoff: float = 60.0, min_rows: int = 200,
+    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, tail: float = TAIL, min_rows: int = 30,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
 ) -> DataFrame:
     """The rows that are kept, with all their columns."""
-    judged = _judged(docs, min_words, max_repeat_percent, cutoff, min_rows, id_col, text_col, lang_col, source_col, tuple(docs.columns))
-    return judged.filter("kept").select(*[F.col(f"_carry_{c}").alias(c) for c in docs.columns])
+    judged = _judged(docs, min_words, max_repeat_percent, tail, min_rows, id_col, text_col, lang_col, source_col, tuple(docs.columns))
+    return judged.filter("kept").select("_carry.*")
