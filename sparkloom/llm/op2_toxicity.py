@@ -2,18 +2,21 @@
 
 The categories are predicted one after the other. Each link is a logistic regression over the words of a
 text and the probabilities that the earlier links give it. In training those probabilities are out of fold:
-a link's models for each fold see the other folds only, so a later link learns from what an earlier one says
-about texts it hasn't seen. When scoring, the links trained on all of the sample are used.
+a link's models for each fold see the other folds only, vocabulary included, so a later link learns from what an
+earlier one says about texts it hasn't seen. A text's fold is the least hash of its words, so copies and nearly all
+near copies share one. When scoring, the links trained on all of the sample are used.
 
 Training reads a sample of labelled documents of ``sample`` rows at most in expectation (all, where there
-are fewer labels), chosen by a hash of the id; it is the one bounded part. All documents are scored whole.
+are fewer labels), chosen by a hash of the id; it is the one bounded part, and goes to one task once the scan, which
+keeps its own tasks, has found it. All documents are scored whole.
 The flag is raised where the last link's probability reaches a threshold that is set on out-of-fold
 predictions: the lowest one with the wanted precision.
 
-Cases: null and empty text has no words and gets the probabilities of the intercepts, never the flag; null
-labels and labels of missing documents are left out; a document labelled twice counts as toxic if one label
-says so; repeated rows are scored each; extra columns are ignored; without a label of each kind no document
-is flagged and probabilities are null; an empty table gives an empty table.
+Cases: null and empty text has no words and gets the probabilities of the intercepts, never the flag; texts of any
+length are read whole, in training and in scoring; null labels and labels of missing documents are left out; a
+document labelled twice counts as toxic if one label says so; repeated rows are scored each; extra columns are
+ignored, whatever their names; without a label of each kind no document is flagged and probabilities are null; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,30 +89,46 @@ def fit_logistic(x: Csr, dense: np.ndarray, y: np.ndarray, use: np.ndarray, l2:
     return pw, pd_, pb
 
 
-def train_chain(texts: list[str | None], labels: np.ndarray, folds: np.ndarray, features: int, min_rows: int, l2: float, steps: int, precision: float) -> dict | None:
-    """labels: a row per text, a column per category in chain order. The model, or None without both outcomes of the last category."""
-    y_last = labels[:, -1]
-    if not len(labels) or y_last.min() == y_last.max():
-        return None
-    sets = [words(t) for t in texts]
+def vocabulary(sets: list[set[str]], y: np.ndarray, features: int, min_rows: int) -> dict[str, int]:
+    """The words whose rate of positive texts is farthest from the usual rate, in standard deviations; ties by word."""
     seen, hits = Counter(), Counter()
-    for s, y in zip(sets, y_last, strict=True):
+    for s, positive in zip(sets, y, strict=True):
         seen.update(s)
-        if y:
+        if positive:
             hits.update(s)
-    base = y_last.mean()
-    # Words by how far their rate of toxic texts is from the usual rate, in standard deviations; ties by word.
-    least = max(min_rows, len(texts) // 400)  # rarer words tell copies apart, not toxicity
-    score = {w: abs(hits[w] - n * base) / (n * base * (1 - base)) ** 0.5 for w, n in seen.items() if n >= least}
-    vocabulary = {w: i for i, w in enumerate(sorted(score, key=lambda w: (-score[w], w))[:features])}
-    x = Csr([sorted(vocabulary[w] for w in s if w in vocabulary) for s in sets], max(len(vocabulary), 1))
+    base = float(y.mean()) if len(y) else 0.0
+    least = max(min_rows, len(sets) // 400)  # rarer words tell copies apart, not toxicity
+    score = {w: abs(hits[w] - n * base) / max(n * base * (1 - base), 1e-9) ** 0.5 for w, n in seen.items() if n >= least}
+    return {w: i for i, w in enumerate(sorted(score, key=lambda w: (-score[w], w))[:features])}
+
+
+def _matrix(sets: list[set[str]], words: dict[str, int]) -> Csr:
+    return Csr([sorted(words[w] for w in s if w in words) for s in sets], max(len(words), 1))
+
+
+def fold_of(s: set[str], folds: int) -> int:
+    """Texts with the same words, and mostly those with nearly the same, share a fold."""
+    return min(map(xxhash.xxh3_64_intdigest, s)) // 65536 % folds if s else 0
+
+
+def train_chain(texts: list[str | None], labels: np.ndarray, folds: int, features: int, min_rows: int, l2: float, steps: int, precision: float) -> dict | None:
+    """labels: a row per text, a column per category in chain order. The model, or None without both outcomes of the last category."""
+    if not len(labels) or labels[:, -1].min() == labels[:, -1].max():
+        return None
+    y_last, sets = labels[:, -1], [words(t) for t in texts]
+    fold = np.array([fold_of(s, folds) for s in sets])
+    used, base = np.unique(fold), y_last.mean()
+    every = vocabulary(sets, y_last, features, min_rows)
+    x, held = _matrix(sets, every), {}
+    for f in used:
+        rest = np.flatnonzero(fold != f)
+        held[f] = _matrix(sets, vocabulary([sets[i] for i in rest], y_last[rest], features, min_rows))
     chain, links, oof = np.zeros((len(texts), 0)), [], None
     for c in range(labels.shape[1]):
         y, oof = labels[:, c].astype(float), np.zeros(len(texts))
-        for f in np.unique(folds):
-            w, d, b = fit_logistic(x, chain, y, (folds != f).astype(float), l2, steps)
-            z = _sigmoid(x.dot(w) + chain @ d + b)
-            oof[folds == f] = z[folds == f]
+        for f in used:
+            w, d, b = fit_logistic(held[f], chain, y, (fold != f).astype(float), l2, steps)
+            oof[fold == f] = _sigmoid(held[f].dot(w) + chain @ d + b)[fold == f]
         links.append(fit_logistic(x, chain, y, np.ones(len(y)), l2, steps))
         chain = np.column_stack([chain, oof])
     order = np.argsort(-oof, kind="stable")
@@ -117,7 +137,7 @@ def train_chain(texts: list[str | None], labels: np.ndarray, folds: np.ndarray,
     threshold = float(oof[order][good[-1]]) if len(good) else 0.5
     flagged = oof >= threshold
     return {
-        "words": vocabulary, "weights": np.stack([w for w, _, _ in links], 1), "chain": [d for _, d, _ in links], "bias": [b for _, _, b in links], "threshold": threshold,
+        "words": every, "weights": np.stack([w for w, _, _ in links], 1), "chain": [d for _, d, _ in links], "bias": [b for _, _, b in links], "threshold": threshold,
         "precision": float(y_last[flagged].mean()) if flagged.any() else 0.0, "recall": float(flagged[y_last == 1].mean()), "rows": len(texts),
     }
 
@@ -136,19 +156,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     gives back the model alone."""
     n = labels.count()
     some = labels.filter(F.pmod(F.xxhash64("_id"), F.lit(max(n, 1))) < sample)
-    own = docs.join(F.broadcast(some), "_id").select("_id", "_text", *categories)
+    own = docs.join(F.broadcast(some), "_id").select("_id", "_text", *categories)  # ``sample`` labels at most, in expectation
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [*frames]
         model = None
         if got:
             d = pd.concat(got).drop_duplicates().sort_values(["_id", "_text"])
-            fold = d["_id"].to_numpy(np.int64) * 2654435761 % (1 << 32) // 65536 % folds
-            model = train_chain(d["_text"].tolist(), d[list(categories)].to_numpy(np.int64), fold, features, min_rows, l2, steps, precision)
+            model = train_chain(d["_text"].tolist(), d[list(categories)].to_numpy(np.int64), folds, features, min_rows, l2, steps, precision)
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    row = own.coalesce(1).mapInPandas(run, "model binary").head()
-    return pickle.loads(row.model) if row else None
+    rows = own.repartition(1).mapInPandas(run, "model binary").collect()  # the model alone; a shuffle, so that the scan keeps its tasks
+    return pickle.loads(rows[0].model) if rows else None
 
 
 #: Toxicity categories in chain order, as conditions on the label columns.

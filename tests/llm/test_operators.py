@@ -332,6 +332,89 @@ def test_toxicity(spark):
     assert [r.toxic for r in o2.toxicity(odd, labels.limit(0)).collect()] == [False] * 3
 
 
+def _plain_logistic(x, y, use, l2):
+    """Newton's method; the last column is the intercept, which isn't shrunk."""
+    keep, w = use > 0, np.zeros(x.shape[1])
+    x, y = x[keep], y[keep]
+    ridge = np.full(x.shape[1], l2)
+    ridge[-1] = 0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (p - y) + ridge * w)
+    return w
+
+
+def test_toxicity_chain_by_hand():
+    """The chain, fold by fold, with dense matrices and Newton's method."""
+    rng = np.random.default_rng(8)
+    bad, junk, usual = [f"bad{chr(97 + i)}" for i in range(6)], [f"junk{chr(97 + i)}" for i in range(6)], [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    texts, labels = [], []
+    for i in range(240):
+        toxic, poor = int(rng.random() < 0.3), int(rng.random() < 0.4)
+        own = [*rng.choice(usual, 15), *rng.choice(bad, 2 * toxic), *rng.choice(junk, 2 * poor), *rng.choice(bad, int(rng.random() < 0.1))]
+        texts.append(" ".join(own))
+        labels.append([toxic * poor, toxic])
+    labels = np.array(labels)
+    got = o2.train_chain(texts, labels, folds=3, features=40, min_rows=5, l2=1.0, steps=4000, precision=0.9)
+    sets = [set(t.split()) for t in texts]
+    fold = np.array([o2.fold_of(o2.words(t), 3) for t in texts])
+    assert len(set(fold)) == 3
+
+    def matrix(use):
+        count, hit = Counter(), Counter()
+        for s, y, u in zip(sets, labels[:, 1], use):
+            if u:
+                count.update(s)
+                hit.update(s if y else ())
+        base = labels[use > 0, 1].mean()
+        far = {w: abs(hit[w] - n * base) / (n * base * (1 - base)) ** 0.5 for w, n in count.items() if n >= 5}
+        names = sorted(far, key=lambda w: (-far[w], w))[:40]
+        return names, np.array([[float(w in s) for w in names] for s in sets])
+
+    chain = np.zeros((len(texts), 0))
+    whole, all_rows = matrix(np.ones(len(texts))), []
+    for c in range(2):
+        y, out = labels[:, c].astype(float), np.zeros(len(texts))
+        for f in range(3):
+            x = np.column_stack([matrix(fold != f)[1], chain, np.ones(len(texts))])
+            out[fold == f] = (1 / (1 + np.exp(-x @ _plain_logistic(x, y, fold != f, 1.0))))[fold == f]
+        all_rows.append(_plain_logistic(np.column_stack([whole[1], chain, np.ones(len(texts))]), y, np.ones(len(texts)), 1.0))
+        chain = np.column_stack([chain, out])
+    assert list(got["words"]) == whole[0]
+    order = np.argsort(-chain[:, 1])
+    right = np.cumsum(labels[order, 1]) / np.arange(1, len(order) + 1)
+    assert abs(got["threshold"] - chain[order, 1][np.flatnonzero((right >= 0.9) & (chain[order, 1] > labels[:, 1].mean()))[-1]]) < 1e-3
+    for t, s in zip(texts[:40], sets):
+        p = []
+        for w in all_rows:
+            z = np.array([float(x in s) for x in whole[0]]) @ w[:40] + np.dot(w[40:-1], p) + w[-1]
+            p.append(1 / (1 + np.exp(-z)))
+        assert np.allclose(o2.predict(got, t)[0], p, atol=2e-3)
+
+
+def test_toxicity_cases(spark, tmp_path):
+    """Null and doubled labels, labels of no document, long texts, clashing names; the scan keeps its tasks in training."""
+    from pyspark import TaskContext
+
+    rows = [(i, ("nice words here " * 5 + ("vile scum " if i % 3 == 0 else "kind folk ")) * (1 if i else 4000), "c", 1.5) for i in range(90)] + [(None, "vile scum", "c", 0.0), (90, None, "c", 0.0), (91, "", "c", 0.0), (91, "", "c", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string, _id double")
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(90)] + [(3, 1, 0), (5, 1, None), (None, 1, 1), (7, None, 0), (999, 0, 1)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    def seen(frames):
+        for f in frames:
+            (tmp_path / str(TaskContext.get().partitionId())).touch()
+            yield f
+
+    spread = docs.repartition(6).mapInPandas(seen, docs.schema)
+    got = o2.toxicity(spread, labels, min_rows=2)
+    assert len([*tmp_path.iterdir()]) == 6
+    flags = Counter((r.doc_id, r.toxic) for r in got.collect())
+    assert flags == Counter([*((i, i % 3 == 0) for i in range(90)), (None, True), (90, False), (91, False), (91, False)])
+    kept = o2.toxicity(docs, labels, keep=True, min_rows=2)
+    assert kept.columns == docs.columns and kept.count() == 63 and kept.filter("doc_id % 3 = 0 AND doc_id < 90").count() == 0
+
+
 def test_warc(spark):
     rows = [(1, "http://a/ b", "x"), (2, None, "x"), (3, "u\r\nv", None), (4, "u", ""), (None, "u", "x"), (5, "é", "long " * 90000), (6, "u", "only")]
     folder = scratch.new_path(spark, "t")
