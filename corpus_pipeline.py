@@ -36,7 +36,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens that hold every source in proportion."""
-    return op3_mixture_packing.pack_mixture(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+    return op3_mixture_packing.pack_mixture(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
