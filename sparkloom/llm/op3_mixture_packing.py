@@ -1,23 +1,27 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of its documents' tokens, one after the other. Every window of 1024 tokens
-visits all queues in order; a queue's quantum is its target share of a window, and what rounding
-keeps from it (or gives it early) stays in its deficit counter for the next window. Documents are cut
-where a queue's turn ends, so windows are full and each holds its target proportions to the token.
+Each source is a queue of its documents' tokens, one after the other. A window is 64 sequences of 1024 tokens and
+visits all queues in order; a queue's quantum is its target share of a window, and what rounding keeps from it (or
+gives it early) stays in its deficit counter for the next window. So every window holds its target proportions to
+the token, all sequences are full, and a document is cut only where its queue's turn or a sequence ends.
 
 The deficits need no replay: with weights scaled to whole numbers, the tokens that the first q queues
 have been served after w windows are ``w * cum[q] >> SHIFT``, and a queue's deficit is what its exact
 share has over that. So any partition takes up at any window with the deficits that all earlier
 windows and partitions leave, and a row finds its windows by arithmetic alone. The driver plans *runs*:
 stretches of windows in which the same queues have tokens. When a queue runs dry, the windows at the
-seam are served one by one and the others' shares grow in proportion. Queues with under two tokens a
-window at their target share one pooled queue, so there are at most 513 and the plan is small at any size.
+seam are served one by one and the others' shares grow in proportion.
 
-What is left after the last full window is cut into sequences of lengths that are powers of two.
+At most QUEUES queues, those of two tokens a window or more, are planned one by one, so the plan is small at any
+size. All others share one queue, in which each document stands where its source's own deficit lets it end, as
+tokens before its end over the source's weight: the sources of the tail advance side by side, by whole documents.
+
+What is left after the last full sequence is cut into sequences of lengths that are powers of two.
 
 Cases: null and empty text is the end id alone; null and empty source are one queue; repeated rows and
-repeated or null ``doc_id`` are packed each; any length of text is cut; columns not named are ignored; an
-empty table gives an empty table. The order in a queue is that of the input partitions.
+repeated or null ``doc_id`` are packed each; any length of text is cut; columns not named are ignored, whatever their
+names; ties in the shared queue go by source and place; an empty table gives an empty table. The order in a queue
+is that of the input partitions.
 """
 
 from __future__ import annotations
@@ -36,8 +40,10 @@ from . import scratch
 from .library_ids import library
 
 SHIFT = 20
-#: Windows of a run: run * cum stays below 2**62 for windows up to 1024 tokens.
-LONGEST_RUN = 1 << 32
+#: Queues that the driver plans, at most.
+QUEUES = 512
+#: Tokens of the shared queue that one task puts in order, about.
+POOL_PART = 1 << 26
 #: Rows that a task gives on at a time.
 ROWS = 512
 #: Starts of queues in parts that may be broadcast: at about 60 bytes each, 60 MB. With more, the ids are shuffled to them.
@@ -73,8 +79,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
 class Plan:
     """Where each queue's tokens go: runs of windows, their weights and what the queues gave before."""
 
-    def __init__(self, totals: list[int], weights: list[float], window: int):
-        q, left, self.window, self.end = len(totals), list(totals), window, sum(totals)
+    def __init__(self, totals: list[int], weights: list[float], window: int, size: int):
+        q, left, self.window, self.size, self.end = len(totals), list(totals), window, size, sum(totals)
+        longest = (1 << 62 - SHIFT) // window  # windows of a run: run * cum stays below 2**62
         starts, cums, given, at = [0], [], [[0] * q], 0
 
         def run(n: int, cum: list[int]) -> None:
@@ -90,7 +97,7 @@ class Plan:
         while sum(left) >= window:
             live = [k for k in range(q) if left[k]]
             share = self._shares([weights[k] for k in live])
-            n = min(LONGEST_RUN, *(((left[k] - 1) << SHIFT) // s for k, s in zip(live, share, strict=True)), LONGEST_RUN)
+            n = min(longest, *(((left[k] - 1) << SHIFT) // s for k, s in zip(live, share, strict=True)))
             own = dict(zip(live, share, strict=True))
             if n:
                 run(n, self._cum([own.get(k, 0) for k in range(q)]))
@@ -150,61 +157,80 @@ class Plan:
     def pieces(self, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         """row, start in the row, length, sequence and offset of each piece of rows at ``at`` of their queues."""
         first, last = self.find(queue, at), self.find(queue, at + n - 1)
-        many = last - first + 1
-        row = np.repeat(np.arange(len(n)), many)
-        window = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        row, k = _spread(last - first + 1)
+        window = first[row] + k
         lo, hi, place = self.turn(queue[row], window)
         a, z = np.maximum(lo, at[row]), np.minimum(hi, (at + n)[row])
-        out = [row, a - at[row], z - a, window, place + a - lo]
-        out = [x[z > a] for x in out]
-        return self._tail(out)
-
-    def _tail(self, p: list[np.ndarray]) -> list[np.ndarray]:
-        """Cut the last window, where it is not full, at powers of two."""
-        full, rest = divmod(self.end, self.window)
-        if not rest or not (tail := p[3] == full).any():
-            return p
-        ends = [0]
-        for k in range(rest.bit_length() - 1, -1, -1):
-            if rest >> k & 1:
-                ends.append(ends[-1] + (1 << k))
-        cut = []
-        for row, start, length, _, offset in zip(*(x[tail].tolist() for x in p), strict=True):
-            for k in range(len(ends) - 1):
-                a, z = max(offset, ends[k]), min(offset + length, ends[k + 1])
-                if z > a:
-                    cut.append((row, start + a - offset, z - a, full + k, a - ends[k]))
-        return [np.concatenate([x[~tail], y]) for x, y in zip(p, np.array(cut, np.int64).T, strict=True)]
+        some = z > a
+        row, start, length, place = row[some], (a - at[row])[some], (z - a)[some], (window * self.window + place + a - lo)[some]
+        # Cut where sequences end: ``place`` counts all tokens before the piece.
+        full, rest = divmod(self.end, self.size)
+        ends = full * self.size + np.cumsum([0, *(1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1)])
+        seq = lambda p: np.where(p < ends[0], p // self.size, full + np.searchsorted(ends, p, "right") - 1)
+        begins = lambda s: np.where(s < full, s * self.size, ends[np.clip(s - full, 0, len(ends) - 1)])
+        lowest = seq(place)
+        piece, k = _spread(seq(place + length - 1) - lowest + 1)
+        own = lowest[piece] + k
+        a, z = np.maximum(place[piece], begins(own)), np.minimum((place + length)[piece], begins(own + 1))
+        return [row[piece], start[piece] + a - place[piece], z - a, own, a - begins(own)]
+
+
+def _spread(many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each number repeated as often as its count says, and the repetition's number."""
+    row = np.repeat(np.arange(len(many)), many)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _side_by_side(rows: DataFrame, tokens: int, span: float) -> DataFrame:
+    """The shared queue's rows with their place in it as ``at``: in the order of ``v``, the virtual time of their end."""
+    parts = max(1, -(-tokens // POOL_PART))
+    rows = rows.withColumn("slot", F.least(F.floor(F.col("v") / F.lit(span) * parts), F.lit(parts - 1)))
+    slots = scratch.table(rows.groupBy("slot").agg(F.sum("n").alias("t")), "packing-slots")  # a row for POOL_PART tokens
+    before = F.sum("t").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    begun = slots.select("slot", F.coalesce(before, F.lit(0)).alias("begun"))
+    own = F.sum("n").over(Window.partitionBy("slot").orderBy("v", "queue", "at").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(F.broadcast(begun) if parts <= BROADCAST_ROWS else begun, "slot")
+    return rows.withColumn("at", (F.col("begun") + F.coalesce(own, F.lit(0))).cast("long"))
 
 
 def pack_mixture(
-    docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, targets: dict[str, float] | None = None, with_ids: bool = False,
+    docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, targets: dict[str, float] | None = None, alpha: float = 1.0, sequences: int = 64, with_ids: bool = False,
     id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue (and ids).
 
-    ``targets``: the wanted proportion of each queue; without it, or for queues it lacks, in proportion to
-    their tokens. Queues that run dry leave their share to the others, so every token is packed."""
-    spark = docs.sparkSession
+    The wanted proportions of queues are those of their tokens to the power ``alpha``, or ``targets`` where it names
+    them. Queues that run dry leave their share to the others, so every token is packed. A window has ``sequences``
+    sequences of ``size`` tokens."""
+    window = size * sequences
     rows = scratch.table(tokenised(docs, path, end_id, id_col, text_col, queue_col), "packing-ids", batch=2 * ROWS)
     parts = scratch.table(rows.groupBy("part", "queue").agg(F.sum("n").alias("t")), "packing-parts")
-    queues = parts.groupBy("queue").agg(F.sum("t").alias("t"))
-    total = queues.agg(F.sum("t")).head()[0] or 0
-    share = F.col("t") / F.lit(max(total, 1))
+    weight = F.pow(F.col("t").cast("double"), F.lit(alpha))
+    queues = parts.groupBy("queue").agg(F.sum("t").alias("t")).withColumn("w", weight)
+    total, weights_all = queues.agg(F.sum("t"), F.sum("w")).head()
+    queues = queues.withColumn("w", F.col("w") / F.lit(weights_all or 1.0))
     if targets:
         scale = sum(targets.values()) or 1
-        share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, w in targets.items() for x in (k, w / scale))), F.col("queue")), share)
-    big = queues.filter(share * window >= 2).orderBy(F.desc("t"), "queue").limit(window // 2).select("queue", "t", share.alias("w")).collect()  # at most window / 2 rows
+        queues = queues.withColumn("w", F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, w in targets.items() for x in (k, w / scale))), F.col("queue")), F.col("w")))
+    queues = scratch.table(queues, "packing-queues")
+    big = queues.filter(F.col("w") * window >= 2).orderBy(F.desc("w"), "queue").limit(QUEUES).collect()
     names, totals, weights = [r.queue for r in big], [r.t for r in big], [r.w for r in big]
-    if total > sum(totals):
-        names, totals, weights = [*names, None], [*totals, total - sum(totals)], [*weights, max(2 / window, 1 - sum(weights)) if targets else 1 - sum(weights)]
-    plan = Plan(totals, weights, window)
-    index = spark.createDataFrame([(k, q) for k, q in enumerate(names) if q is not None] or [(-1, "")], "k int, queue string")
-    before = F.sum("t").over(Window.partitionBy("k").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1))
-    placed = parts.join(F.broadcast(index), "queue", "left").withColumn("k", F.coalesce("k", F.lit(len(names) - 1)))
-    placed = placed.select("part", "queue", "k", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
-    small = parts.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(placed) if small else placed, ["part", "queue"]).select("doc_id", "k", (F.col("base") + F.col("at")).alias("at"), "n", "ids", "queue")
+    pooled = (total or 0) - sum(totals)
+    index = docs.sparkSession.createDataFrame([(k, q) for k, q in enumerate(names)] or [(-1, None)], "k int, queue string")
+    tail = queues.join(F.broadcast(index), "queue", "left_anti")
+    if pooled:
+        w, span = tail.agg(F.sum("w"), F.max(F.col("t") / F.col("w"))).head()
+        totals, weights = [*totals, pooled], [*weights, max(w, 2 / window)]
+    plan = Plan(totals, weights, window, size)
+    before = F.sum("t").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    placed = parts.join(queues.select("queue", "w"), "queue").join(F.broadcast(index), "queue", "left")
+    placed = placed.select("part", "queue", "k", "w", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
+    rows = rows.join(F.broadcast(placed) if parts.count() <= BROADCAST_ROWS else placed, ["part", "queue"]).withColumn("at", F.col("base") + F.col("at"))
+    own = rows.filter("k IS NOT NULL").select("doc_id", "k", "at", "n", "ids", "queue")
+    if pooled:
+        shared = _side_by_side(rows.filter("k IS NULL").withColumn("v", (F.col("at") + F.col("n")) / F.col("w")), pooled, span)
+        own = own.unionByName(shared.select("doc_id", F.lit(len(names)).alias("k"), "at", "n", "ids", "queue"))
+    rows = own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

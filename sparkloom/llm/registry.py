@@ -17,7 +17,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_mixture_packing_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op3_mixture_packing.pack_mixture(_read(spark, sf_dir, "documents"), JSON, window=1024, end_id=0)
+    return op3_mixture_packing.pack_mixture(_read(spark, sf_dir, "documents"), JSON, size=1024, end_id=0, alpha=0.7)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

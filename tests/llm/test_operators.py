@@ -205,15 +205,62 @@ def test_packing_without_broadcast(spark, docs, monkeypatch):
     assert bag(shuffled) == bag(o3.pack_mixture(docs, JSON))
 
 
-def test_plan_keeps_proportions():
-    totals = [100_003, 50_021, 7_919, 2_500]
-    plan = o3.Plan(totals, totals, 1024)
-    q, at, n = np.arange(4), np.zeros(4, np.int64), np.array(totals)
-    row, _, length, seq, _ = plan.pieces(q, at, n)
-    share = np.zeros((4, seq.max() + 1))
-    np.add.at(share, (row, seq), length)
-    full = share[:, : sum(totals) // 1024 - 8]
-    assert (share.sum(1) == totals).all() and (np.abs(full - 1024 * np.array(totals)[:, None] / sum(totals)) < 2).all()
+def test_plan_against_replay():
+    """Window by window: every queue's deficit stays under a token, turns follow each other without gaps, and queues that run
+    dry leave their share to the others in proportion."""
+    totals, weights, window, size = [100_003, 50_021, 7_919, 2_500], [0.5, 0.3, 0.15, 0.05], 4096, 1024
+    plan = o3.Plan(totals, weights, window, size)
+    row, start, length, seq, offset = plan.pieces(np.arange(4), np.zeros(4, np.int64), np.array(totals))
+    place = seq * size + offset
+    served, deficit, left, at = [0] * 4, [0.0] * 4, list(totals), 0
+    order = sorted(zip(place.tolist(), row.tolist(), start.tolist(), length.tolist()))
+    turns = defaultdict(lambda: [0] * 4)
+    for p, q, s, n in order:
+        if p < sum(totals) // size * size:
+            assert p == at and s == served[q]  # no gap, and each queue in its own order
+            at += n
+        served[q] += n
+        turns[p // window][q] += n
+    assert served == totals
+    for w in range(sum(totals) // window):
+        live = [q for q in range(4) if left[q]]
+        share = {q: window * weights[q] / sum(weights[k] for k in live) for q in live}
+        if all(left[q] > share[q] + 1 for q in live):  # no queue runs dry in this window
+            for q in live:
+                deficit[q] += share[q] - turns[w][q]
+                assert abs(deficit[q]) < 1.01, (w, q)
+        else:
+            deficit = [0.0] * 4
+        for q in range(4):
+            left[q] -= turns[w][q]
+        assert sum(turns[w]) == window and min(left) >= 0
+
+
+def test_packing_tail_of_sources(spark, monkeypatch):
+    """Sources beyond those planned one by one share a queue in which they advance side by side."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["word"] * int(rng.integers(5, 60))), f"s{int(rng.integers(0, 40)) if i % 3 else 0}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    monkeypatch.setattr(o3, "QUEUES", 1)
+    monkeypatch.setattr(o3, "POOL_PART", 10_000)
+    got = o3.pack_mixture(docs, JSON, size=256, sequences=4).collect()
+    total, done = Counter(), Counter()
+    for r in got:
+        total[r.queue] += r.length
+    assert sum(total.values()) == sum(len(t.split()) + 1 for _, t, _ in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        done[r.queue] += r.length
+        at += r.length
+        share = at / sum(total.values())
+        assert all(abs(done[q] - share * total[q]) < 130 + (1100 if q == "s0" else 0) for q in total)
+    with_targets = o3.pack_mixture(docs, JSON, size=256, sequences=4, targets={"s0": 0.9, "s1": 0.05}, alpha=0.5).collect()
+    assert sum(r.length for r in with_targets) == sum(total.values())
+    first = Counter()
+    for r in with_targets:
+        first[r.queue] += r.length * (r.sequence_id < 8)
+    natural = {q: t**0.5 / sum(x**0.5 for x in total.values()) for q, t in total.items()}
+    assert abs(first["s0"] / (8 * 256) - 0.9 / (0.95 + sum(w for q, w in natural.items() if q not in ("s0", "s1")))) < 0.02
 
 
 def test_best_fit():
