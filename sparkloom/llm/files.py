@@ -9,7 +9,10 @@ from pyarrow import fs
 
 
 def shared(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    """The file system of a full address. One without a scheme would mean another place here than to Spark."""
+    if "://" not in uri and not uri.startswith("file:/"):
+        raise ValueError(f"{uri}: give the address with its scheme, as scratch.new_path does")
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
 @contextmanager

@@ -7,11 +7,16 @@ to its file, its frame and its offset within the frame.
 
 Payloads that are equal byte for byte share a digest; the page with the largest identifier keeps the
 payload as ``response`` and the others ``revisit`` it. Only digests that occur more than once are joined
-back, one row each, however many copies there are.
+back, one row each, however many copies there are: by broadcast where there are at most BROADCAST_ROWS of them, so
+that no page is shuffled, else by a shuffle of the pages, whose long partitions Spark splits.
+
+A record's identifier is made of its page's and its payload's digest, so pages that share an identifier, null
+included, have records of their own unless their payloads are equal too; such records are repetitions of each other.
 
 Cases: null and empty payload has 0 bytes; null ``page_id`` sorts below all others and a payload that only
 such pages hold is written as response each time; rows repeated with the largest identifier are responses
-each; null URL is written as urn:missing; extra columns are ignored; an empty table gives no bundle.
+each; null URL is written as urn:missing; a payload of any length is one record, whole; extra columns are ignored,
+whatever their names; an empty table gives no bundle.
 """
 
 from __future__ import annotations
@@ -36,8 +41,17 @@ INDEX = "record_id string, page_id long, file string, frame long, offset long, l
 _INT, _STR = pa.int64(), pa.string()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"urn:x-page:{'null' if page_id is None else page_id}"
+#: Shared digests that may be broadcast: at about 80 bytes each, 40 MB.
+BROADCAST_ROWS = 500_000
+
+
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"urn:x-page:{'null' if page_id is None else page_id}:{digest}"
+
+
+def page_of(urn: str | None) -> int | None:
+    page = urn.strip("<>").split(":")[2] if urn else "null"
+    return None if page == "null" else int(page)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -45,11 +59,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id(page_id)}>", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id(page_id, digest)}>", f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~-._') if url else 'urn:missing'}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(refers_to)}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(refers_to, digest)}>"]
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -98,9 +112,10 @@ def write_bundles(
     """Write all records; the committed index."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("html"))
-    rows = rows.withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html")})
-    shared = rows.filter(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(shared, ["sha1", "bytes"], "left")
+    rows = rows.withColumns({"sha1": F.unhex(F.sha1(F.col("html").cast("binary"))), "bytes": F.octet_length("html")})
+    digests = rows.select("page_id", "sha1", "bytes").filter(F.col("bytes") >= min_bytes)
+    shared = scratch.table(digests.groupBy("sha1", "bytes").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1").drop("n"), "warc-shared")
+    rows = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, ["sha1", "bytes"], "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner"))
     rows = rows.select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
 
@@ -131,8 +146,9 @@ def write_bundles(
 
             for b in rest():
                 for page, url, html, sha1, to in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                    data = record(page, url, html.encode(), base64.b32encode(bytes.fromhex(sha1)).decode(), to, date)
-                    index.append((record_id(page), page, name, len(frames), size, len(data), not begun))
+                    digest = base64.b32encode(sha1).decode()
+                    data = record(page, url, html.encode(), digest, to, date)
+                    index.append((record_id(page, digest), page, name, len(frames), size, len(data), not begun))
                     begun = True
                     held.append(data)
                     size += len(data)
@@ -156,10 +172,6 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
     """Read every bundle back, frame by frame, and check each payload against its digest."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
-    def number(urn: str | None) -> int | None:
-        end = urn.strip("<>").rpartition(":")[2] if urn else "null"
-        return None if end == "null" else int(end)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = files.shared(folder)
         unpack = zstandard.ZstdDecompressor()
@@ -176,11 +188,11 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                             length = int(head.rpartition(b"Content-Length: ")[2])
                             if kind == "response" and (len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                                 raise ValueError(f"{name}: a payload does not match its digest")
-                            rows.append((number(fields["WARC-Record-ID"]), length, digest, kind, number(fields.get("WARC-Refers-To"))))
+                            rows.append((page_of(fields["WARC-Record-ID"]), length, digest, kind, page_of(fields.get("WARC-Refers-To"))))
                         yield _batch(rows, [_INT, _INT, _STR, _STR, _INT], schema)
 
     names = index.filter("first").select("file")
-    return names.repartition(max(1, min(names.count(), 4096)), "file").mapInArrow(run, schema)
+    return names.repartition(max(1, names.count()), "file").mapInArrow(run, schema)
 
 
 def target_uri(fields: dict[str, str]) -> str | None:

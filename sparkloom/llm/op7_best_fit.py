@@ -11,8 +11,8 @@ and token counts. The manifest (file, first sequence, number) is a committed tab
 do not count are in no manifest.
 
 Cases: null and empty text is the end id alone; a text longer than a sequence is split without loss, one
-longer than a block gives a larger block; repeated rows and null ids are packed each; columns not named
-are ignored; an empty table gives an empty table and no file.
+longer than a block gives a larger block; repeated rows and null ids are packed each; pieces of equal length keep
+their order; columns not named are ignored, whatever their names; an empty table gives an empty table and no file.
 """
 
 from __future__ import annotations
@@ -154,5 +154,5 @@ def read_packed(manifest: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 7 + [pa.bool_()], strict=True)], names=names)
 
     # A task a file: the manifest is small, the files are not.
-    spread = manifest.select("file", "first_sequence").repartition(max(1, min(manifest.count(), 4096)), "file")
+    spread = manifest.select("file", "first_sequence").repartition(max(1, manifest.count()), "file")
     return spread.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, positions_ok boolean")

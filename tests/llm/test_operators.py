@@ -462,6 +462,22 @@ def test_toxicity_cases(spark, tmp_path):
     assert kept.columns == docs.columns and kept.count() == 63 and kept.filter("doc_id % 3 = 0 AND doc_id < 90").count() == 0
 
 
+def test_warc_cases(spark, monkeypatch):
+    """Null, repeated and clashing: pages that share an identifier keep records of their own, by broadcast and by shuffle."""
+    rows = [(None, "u", "a", b"x", 1), (None, "u", "b", b"x", 1), (3, "u", "c", b"x", 1), (3, "v", "d", b"x", 1), (9, "u", "c", b"x", 1), (9, "u", "c", b"x", 1), (4, None, None, None, None), (None, "u", "a", b"x", 1)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, sha1 binary, winner int").repartition(3)
+    want = Counter({(None, "response", None): 3, (3, "revisit", 9): 1, (3, "response", None): 1, (9, "response", None): 2, (4, "response", None): 1})
+    for limit in (-1, 100):
+        monkeypatch.setattr(o10, "BROADCAST_ROWS", limit)
+        folder = scratch.new_path(spark, "t")
+        index = o10.write_bundles(table, folder)
+        assert Counter((r.page_id, r.record_type, r.refers_to) for r in o10.read_bundles(index, folder).collect()) == want
+        assert index.select("record_id").distinct().count() == 6
+    for bare in ("/tmp/x", "x"):
+        with pytest.raises(ValueError):
+            o10.files.shared(bare)
+
+
 def test_warc(spark):
     rows = [(1, "http://a/ b", "x"), (2, None, "x"), (3, "u\r\nv", None), (4, "u", ""), (None, "u", "x"), (5, "é", "long " * 90000), (6, "u", "only")]
     folder = scratch.new_path(spark, "t")
@@ -473,6 +489,7 @@ def test_warc(spark):
     assert {(r.page_id, r.payload_bytes, r.payload_digest) for r in got} == {(i, len((t or "").encode()), digest(t)) for i, _, t in rows}
     e = index.filter("page_id = 5").head()
     fields, block = o10.fetch(folder, e.file, e.frame, e.offset)
+    assert fields["WARC-Record-ID"] == f"<{e.record_id}>" and index.select("record_id").distinct().count() == len(rows)
     assert block.endswith(b"long " * 100) and o10.target_uri(fields) == "é"
 
 
