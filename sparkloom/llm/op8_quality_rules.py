@@ -6,7 +6,7 @@ and the square roots of the shares of repeated lines and repeated words. For eac
 minimum-covariance-determinant estimate is sought. Three starts are tried: the medians and quartile ranges
 alone, the covariance of the hyperbolic tangents and that of the signs of the so scaled vectors. A step takes
 the mean and covariance of the share ``H`` of the rows with the least distance; after ``TRIED`` steps the start
-with the least determinant goes on until the determinant settles. ``FLOORS`` are the least standard deviations,
+with the least determinant goes on until the determinant no longer falls. ``FLOORS`` are the least standard deviations,
 put in where a statistic varies less, and correlations are shrunk by ``RIDGE``, so that every determinant is
 positive.
 
@@ -27,6 +27,7 @@ names; equal documents have distance 0; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -190,16 +191,21 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     n = scales.count()
     z = [((F.col(x) - F.get("m", i)) / F.get("s", i)).alias(f"z{i}") for i, x in enumerate(FLOORS)]
     rows = scratch.table(vectors.join(small(scales, n), "gid").select("gid", *z), "mcd-rows")
-    params, starts = scratch.table(_starts(rows, scales), "mcd-start"), 3
+    params, starts, ends = scratch.table(_starts(rows, scales), "mcd-start"), 3, []
     for step in range(STEPS):
         new = _concentrated(_tally(rows, params, n * starts), params)
         if step + 1 == TRIED:  # the start that leads to the least determinant goes on
             new = new.withColumn("k", F.row_number().over(Window.partitionBy("gid").orderBy("ld", "start"))).filter("k = 1").drop("k")
             starts = 1
         params = scratch.table(new, f"mcd-{step}")
-        if step + 1 > TRIED and not params.filter(F.abs(F.col("ld") - F.col("ld0")) > SETTLED).head(1):
-            break
-    # The last step's bins are those under the estimates before it, which differ by less than SETTLED.
+        if step + 1 > TRIED:
+            going = F.col("ld") < F.col("ld0") - F.lit(SETTLED)
+            ends.append(params if step + 1 == STEPS else params.filter(~going))
+            params = params.filter(going)
+            if not params.head(1):
+                break
+    # A group ends with the estimates whose distances the last step tallied: its determinant has settled under them.
+    params = reduce(DataFrame.union, ends)
     root = [F.exp((F.get("bins", k) + 0.5) / (3 * FINE)) for k in range(3)]
     least = MEDIAN * LEAST ** (1 / 3)
     spread = F.greatest((root[2] - root[0]) / 1.349, F.greatest(root[1], F.lit(least)) * (SPREAD / MEDIAN))

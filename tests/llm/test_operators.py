@@ -379,6 +379,78 @@ def test_toxicity(spark):
     assert [r.toxic for r in o2.toxicity(odd, labels.limit(0)).collect()] == [False] * 3
 
 
+def _plain_mcd(x):
+    """Calibrated squared distances: exact quartiles, exact subsets, three starts, each to its end, the least determinant."""
+    floors, n, p = np.array([*o8.FLOORS.values()]), len(x), x.shape[1]
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    s = np.maximum((q[2] - q[0]) / 1.349, floors)
+    z, least = (x - q[1]) / s, (floors / s) ** 2
+
+    def positive(c, low):
+        c = np.where(np.eye(p) > 0, c, (1 - o8.RIDGE) * c)
+        np.fill_diagonal(c, np.maximum(np.diag(c), low))
+        return c
+
+    def far(m, c):
+        return np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c), z - m)
+
+    sign, best = z / np.maximum(np.linalg.norm(z, axis=1), 1e-6)[:, None], None
+    for c in (np.eye(p), positive(np.cov(np.tanh(z).T, bias=True), 0.05), positive(sign.T @ sign / n, 0.05)):
+        m, last = np.zeros(p), np.inf
+        while True:
+            near = z[np.argsort(far(m, c), kind="stable")[: int(np.ceil(o8.H * n))]]
+            m, c = near.mean(0), positive(np.cov(near.T, bias=True), least)
+            det = np.linalg.slogdet(c)[1]
+            if det >= last - 1e-9:
+                break
+            last = det
+        if best is None or det < best[0] - 1e-9:
+            best = det, m, c
+    root = np.cbrt(far(*best[1:]))
+    low, middle, high = np.quantile(root, [0.25, 0.5, 0.75])
+    spread = max((high - low) / 1.349, middle * o8.SPREAD / o8.MEDIAN)
+    return np.maximum((root - middle) / spread * o8.SPREAD + o8.MEDIAN, 0) ** 3
+
+
+def test_quality_against_plain_estimate(spark):
+    """Two sources with estimates of their own, one pooled by language, one judged by all: distances like the plain estimate's."""
+    rng = np.random.default_rng(11)
+    rows, of = [], {}
+    for lang, source, n, k in (("en", "a", 400, 9), ("en", "b", 300, 6), ("de", "c", 20, 8), ("de", "d", 25, 8), ("fr", "e", 5, 7)):
+        for i in range(n):
+            odd = rng.random() < 0.08
+            words = [("q" * int(rng.integers(2, 5 if odd else k)) + str(j)) for j in range(int(rng.integers(60, 400)))]
+            symbols = " #" * int(rng.integers(0, 6)) + " $$$" * (40 if odd else 0)
+            of[len(rows)] = (lang, source) if n >= 30 else (lang,) if lang == "de" else ()
+            rows.append((len(rows), " ".join(words) + symbols, lang, source))
+    got = {r.doc_id: r for r in o8.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    x = np.array([[np.log1p(r.n_words), np.log((r.word_chars + 1) / (r.n_words + 1)), np.log1p(1000 * r.n_symbols / (r.word_chars + 1)), 0.0, np.sqrt(r.n_repeat_words / r.n_words)] for _, r in sorted(got.items())])
+    passed = np.array([not got[i].base_failed for i in range(len(rows))])
+    cutoff = o8.chi_square(1 - o8.TAIL, 5)
+    assert abs(cutoff - 20.515) < 0.4 and abs(o8.chi_square(0.5, 5) - 4.351) < 0.05
+    for group in {*of.values()}:
+        own = np.array([passed[i] and (not group or of[i] == group) for i in range(len(rows))])
+        want = np.full(len(rows), np.nan)
+        want[own] = _plain_mcd(x[own])
+        ids = [i for i in np.flatnonzero(own) if of[i] == group]
+        have = np.array([got[i].distance2 for i in ids])
+        assert np.corrcoef(np.cbrt(have), np.cbrt(want[ids]))[0, 1] > 0.97 or len(ids) < 6
+        clear = np.abs(np.log(want[ids] / cutoff)) > 0.4
+        assert all((got[i].kept == (want[i] <= cutoff)) for i, c in zip(ids, clear) if c)
+    assert sum(not got[i].kept for i in got) > 30
+
+
+def test_quality_cases(spark):
+    """Nulls everywhere, equal documents, names that clash, a table too small for any group: nothing crashes, good text stays."""
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en", None, 1, "k"), (1, text, "en", None, 1, "k"), (None, text, None, "s", 2, "k"), (2, None, None, None, 3, None), (3, "", "en", "s", 4, "k"), (4, text + " more", "en", "s", 5, "k")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, gid int, x_words string")
+    got = Counter((r.doc_id, r.base_failed, r.kept) for r in o8.quality_rules(table).collect())
+    assert got == Counter([(1, False, True), (1, False, True), (None, False, True), (2, True, False), (3, True, False), (4, False, True)])
+    kept = o8.good_documents(table)
+    assert kept.columns == table.columns and sorted(map(str, kept.collect())) == sorted(map(str, table.filter("length(text) > 5").collect()))
+
+
 def _plain_logistic(x, y, use, l2):
     """Newton's method; the last column is the intercept, which isn't shrunk."""
     keep, w = use > 0, np.zeros(x.shape[1])
