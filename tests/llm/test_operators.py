@@ -302,16 +302,53 @@ def test_nearest_in_groups(spark):
     hot = np.eye(16, dtype=np.float32)
     vectors = [*x.tolist(), *near.tolist(), *scaled, *hot.tolist()]
     got = o4.nearest(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>"), "_id % 50 = 0", min_shards=1).collect()
-    u = np.array(vectors, float)
-    u /= np.linalg.norm(u, axis=1)[:, None]
     by = defaultdict(list)
     for r in sorted(got, key=lambda r: r["rank"]):
         by[r.query_id].append((r.vec_id, r.score))
     assert [i for i, _ in by[1150]] == [1, 1100, 1101, 1102, 1103]  # the smaller ids among all multiples
-    for q in range(600, len(vectors), 50):
-        s = u @ u[q]
-        s[q] = -9
-        assert np.allclose([x for _, x in by[q]], np.sort(s)[::-1][:5], rtol=0, atol=4e-16), q
+
+    def dot(a, b):  # the measure to the bit: from the first component to the last
+        out = 0.0
+        for x, y in zip(a, b, strict=True):
+            out += x * y
+        return out
+
+    rows = np.array(vectors, float).tolist()
+    norm = [dot(x, x) ** 0.5 for x in rows]
+    for q in range(600, len(rows), 50):
+        want = sorted((-(dot(x, rows[q]) / (norm[i] * norm[q])), i) for i, x in enumerate(rows) if i != q)[:5]
+        assert by[q] == [(i, -s) for s, i in want], q
+
+
+def test_nearest_in_full_shards(spark):
+    """One shard of the default size, normal and clustered vectors: recall against brute force."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(150, 32))
+    for vectors in (rng.normal(size=(10_000, 32)), centres[rng.integers(0, 150, 10_000)] + 0.4 * rng.normal(size=(10_000, 32))):
+        x = vectors.astype(np.float32)
+        table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+        by = defaultdict(set)
+        for r in o4.nearest(table, "_id % 50 = 0", min_shards=1).collect():
+            by[r.query_id].add(r.vec_id)
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        s = u[::50] @ u.T
+        s[np.arange(200), np.arange(0, 10_000, 50)] = -9
+        assert np.mean([len(by[50 * q] & {*np.argsort(-s[q])[:5].tolist()}) / 5 for q in range(200)]) >= 0.97
+
+
+def test_nearest_cases(spark):
+    """An id with several vectors, repeated rows, names that clash, few candidates."""
+    rows = [(0, [1.0, 0.0], 1, 1), (1, [1.0, 0.1], 1, 1), (1, [0.0, 1.0], 1, 1), (1, [0.0, 1.0], 1, 1), (3, [1.0, 0.2], 1, 1), (3, [2.0, 0.4], 1, 1), (3, [0.9, 0.1], 1, 1), (4, [-1.0, 0.0], 1, 1), (50, [0.0, 2.0], 1, 1), (50, [3.0, 0.3], 1, 1), (100, None, 1, 1)]
+    got = o4.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard int, _v int"), "_id % 50 = 0", k=3).collect()
+    cos = lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))
+    for q in (0, 50):
+        best = {}
+        for i, v, *_ in rows:
+            if i != q and v:
+                best[i] = max(best.get(i, -2), *(cos(v, w) for j, w, *_ in rows if j == q))
+        want = sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[:3]
+        have = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [(i, round(s, 12)) for _, i, s in have] == [(i, round(s, 12)) for i, s in want] and [r for r, *_ in have] == [1, 2, 3]
 
 
 def test_secrets(docs):
