@@ -50,6 +50,8 @@ MEDIAN, SPREAD, LEAST = P ** (1 / 3) * (1 - 2 / (9 * P)), P ** (1 / 3) * (2 / (9
 FINE = 16
 #: Estimates that may be broadcast: at about 400 bytes each, 40 MB.
 BROADCAST_ROWS = 100_000
+#: Groups whose tallies (some hundred rows each) a task takes.
+GROUPS = 2_000
 _WS = r"[\x20\x09-\x0D]+"
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -184,6 +186,11 @@ def _concentrated(tally: DataFrame, params: DataFrame) -> DataFrame:
     return new.select("gid", "start", F.array(*[F.col(f"a{i}") for i in range(P)]).alias("c"), F.col("v.m").alias("p"), F.col("v.ld").alias("ld"), "f", "bins", "c0", "p0", "ld0")
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """Estimates of so many groups in few files; a task merges the tallies of GROUPS groups."""
+    return df.coalesce(max(1, -(-rows // GROUPS)))
+
+
 def robust_estimates(vectors: DataFrame) -> DataFrame:
     """Per gid: m and s (medians and scales), and in these scales the centre c, the inverse covariance p, and median and spread of
     the distances' cube roots: see ``_calibrated``."""
@@ -191,13 +198,13 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     n = scales.count()
     z = [((F.col(x) - F.get("m", i)) / F.get("s", i)).alias(f"z{i}") for i, x in enumerate(FLOORS)]
     rows = scratch.table(vectors.join(small(scales, n), "gid").select("gid", *z), "mcd-rows")
-    params, starts, ends = scratch.table(_starts(rows, scales), "mcd-start"), 3, []
+    params, starts, ends = scratch.table(_few(_starts(rows, scales), 3 * n), "mcd-start"), 3, []
     for step in range(STEPS):
         new = _concentrated(_tally(rows, params, n * starts), params)
         if step + 1 == TRIED:  # the start that leads to the least determinant goes on
             new = new.withColumn("k", F.row_number().over(Window.partitionBy("gid").orderBy("ld", "start"))).filter("k = 1").drop("k")
             starts = 1
-        params = scratch.table(new, f"mcd-{step}")
+        params = scratch.table(_few(new, n * starts), f"mcd-{step}")
         if step + 1 > TRIED:
             going = F.col("ld") < F.col("ld0") - F.lit(SETTLED)
             ends.append(params if step + 1 == STEPS else params.filter(~going))
@@ -210,7 +217,7 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     least = MEDIAN * LEAST ** (1 / 3)
     spread = F.greatest((root[2] - root[0]) / 1.349, F.greatest(root[1], F.lit(least)) * (SPREAD / MEDIAN))
     ends = params.select("gid", F.col("c0").alias("c"), F.col("p0").alias("p"), F.greatest(root[1], F.lit(least)).alias("middle"), spread.alias("spread"))
-    return scratch.table(ends.join(scales.select("gid", "m", "s"), "gid"), "mcd-last")
+    return scratch.table(_few(ends.join(scales.select("gid", "m", "s"), "gid"), n), "mcd-last")
 
 
 def _calibrated(d2: Column) -> Column:
