@@ -9,19 +9,19 @@ import duckdb
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def plain(v):
+def plain(v, digits=9):
     if isinstance(v, decimal.Decimal):
         return float(v)
-    if isinstance(v, float):
-        return round(v, 9)
+    if isinstance(v, float) and digits is not None:
+        return round(v, digits)
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None)
     return v
 
 
-def rows_of(names, rows):
+def rows_of(names, rows, digits=9):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return Counter(tuple(plain(r[i]) for i in order) for r in rows)
+    return Counter(tuple(plain(r[i], digits) for i in order) for r in rows)
 
 
 def duck(sf_dir, sql):
@@ -32,8 +32,9 @@ def duck(sf_dir, sql):
     return list(got.columns), got.fetchall()
 
 
-def assert_same(df, sf_dir, sql):
+def assert_same(df, sf_dir, sql, digits=9):
+    """``digits``: decimal places of doubles that are compared; None compares them to the bit."""
     names, want = duck(sf_dir, sql)
     assert sorted(df.columns) == sorted(names)
-    a, b = rows_of(df.columns, df.collect()), rows_of(names, want)
+    a, b = rows_of(df.columns, df.collect(), digits), rows_of(names, want, digits)
     assert a == b, (list((a - b).items())[:5], list((b - a).items())[:5])
