@@ -198,3 +198,14 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
 def target_uri(fields: dict[str, str]) -> str | None:
     uri = fields["WARC-Target-URI"]
     return None if uri == "urn:missing" else unquote(uri)
+
+
+#: What reading the archives back gives, in DuckDB's SQL over ``pages``: base32 is four letters for five hexadecimal digits.
+SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT h, payload_bytes, max(page_id) AS winner FROM p GROUP BY ALL HAVING count(*) > 1),
+d AS (SELECT p.*, winner, CASE WHEN page_id IS DISTINCT FROM winner THEN winner END AS refers_to,
+    list_transform(range(0, 8), lambda k: CAST('0x' || substring(p.h, 5 * k + 1, 5) AS BIGINT)) AS fives FROM p LEFT JOIN w ON w.h = p.h AND w.payload_bytes = p.payload_bytes)
+SELECT page_id, payload_bytes, array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda b: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31) + 1, 1)), '')), '') AS payload_digest,
+    CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM d
+"""

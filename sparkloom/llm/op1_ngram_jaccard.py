@@ -554,3 +554,20 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     judged = docs.select(F.struct(*docs.columns).alias("row"), key.alias("k")).join(_small(touched, seen[0]), "k", "left")  # two columns: no name can clash
     alone = judged.filter("stays IS NULL").select("row.*")
     return alone.unionByName(judged.filter("stays = 1").dropDuplicates(["k"]).select("row.*")) if seen[1] else alone
+
+
+#: The join in DuckDB's SQL, over ``documents``: all pairs that share a shingle are counted, for small tables.
+SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT r, r AS to_r FROM t UNION SELECT c.r, e.b FROM c JOIN e ON e.a = c.to_r),
+least_id AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN t d ON d.r = c.to_r GROUP BY c.r),
+links AS (SELECT a AS r, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM t JOIN least_id USING (r) LEFT JOIN n USING (r) LEFT JOIN links USING (r)
+"""

@@ -237,3 +237,13 @@ def _blocks(asked: list[tuple], ask) -> Iterator[tuple]:
     for k in range(0, len(asked), BLOCK):
         part = asked[k : k + BLOCK]
         yield from ask([i for i, _ in part], np.array([v for _, v in part]))
+
+
+#: The exact answer in DuckDB's SQL, over ``embeddings`` without nulls: all queries against all rows.
+SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+n AS (SELECT vec_id, x, sqrt(list_reduce(list_transform(x, lambda a: a * a), lambda a, b: a + b)) AS norm FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(c.x) + 1), lambda i: c.x[i] * q.x[i]), lambda a, b: a + b) / (c.norm * q.norm) AS score
+    FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""

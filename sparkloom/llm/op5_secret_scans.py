@@ -8,19 +8,22 @@ other one that looks live (letters and digits, enough different characters, no p
 credential of its owners, and its place is added as a span of kind ``live``. Base spans always stay.
 
 A copied passage counts once: of all holders of a value between the same ``AROUND`` characters on both sides
-one is taken, by a hash. Where fewer than ``LEAST_AROUND`` characters stand there, as in a text that is one
+one is taken, by a digest. Where fewer than ``LEAST_AROUND`` characters stand there, as in a text that is one
 line, there is nothing that shows a copy, and each holder counts. ``max_owners`` and ``max_repos`` are all holders.
 
 ``(hash, passage, repository, owner)`` is made distinct before the counts, on the map side first, so a value
 copied into a third of the corpus reaches the counts once for each of its passages, repositories and map tasks. What is
-shuffled are candidates, never texts.
+shuffled are candidates, never texts. The frequencies, a row for each distinct value, are written; they join the
+matches by broadcast where there are at most BROADCAST_ROWS, else by a shuffle whose long partitions Spark splits.
 
 Positions: the text between the matches (split by the same pattern) and the matches' lengths add up to
-each match's start, in code points.
+each match's start, in code points; a window over a document's matches adds them, since sums within an array take
+time with the square of its length.
 
 Cases: null and empty text has no spans; null owner or repository is one owner or repository of its own;
 repeated rows and null ``doc_id`` are reported each (rows are told apart by a number of their own); columns
-that clash with working names are safe, since inputs are renamed first; an empty table gives an empty table.
+that clash with working names are safe, since inputs are renamed or nested first; texts of any length are read whole; a
+value found in one place by several kinds is one live span; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,19 +46,21 @@ AROUND, LEAST_AROUND = 32, 16
 WIDE = (1 / 2, 1 / 3)
 BASE = ("assign", "access", "hex")
 LIVE = "live"
+#: Distinct values whose frequencies may be broadcast: at about 120 bytes each, 60 MB.
+BROADCAST_ROWS = 500_000
 #: Words that mark a value as a placeholder.
 PLACEHOLDERS = "example|sample|changeme|placeholder|dummy|your|xxxx|0000000|1234567"
 
 
 def _matches(text: Column, kind: str) -> Column:
-    """Gap before, length, value, hash of the passage (null where too short) of each match; null where there is none."""
+    """Gap before, length, value, digest of the passage (null where too short) of each match; null where there is none."""
     pattern, group, _ = KINDS[kind]
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
     def passage(i: Column) -> Column:
         before, after = F.right(F.get(gaps, i), F.lit(AROUND)), F.left(F.get(gaps, i + 1), F.lit(AROUND))
-        return F.when(F.length(before) + F.length(after) >= LEAST_AROUND, F.xxhash64(before, after))
+        return F.when(F.length(before) + F.length(after) >= LEAST_AROUND, F.md5(F.concat_ws("\n", before, after)))
 
     both = F.transform(whole, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("len"), F.get(values, i).alias("value"), passage(i).alias("passage")))
     return F.when(text.rlike(pattern), both)
@@ -88,12 +93,13 @@ def candidates(scanned: DataFrame, min_owners: int) -> DataFrame:
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(w)).withColumn("start", F.col("end") - F.col("len")).withColumn("v_start", F.col("end") - F.length("value"))
     least = F.element_at(F.create_map(*(F.lit(x) for k, v in KINDS.items() for x in (k, v[2]))), F.col("kind"))
     rows = rows.withColumn("ok", F.length("value") >= least).withColumn("hash", F.sha2("value", 256))
-    held = rows.filter("ok").select("hash", F.coalesce("passage", F.xxhash64("_owner", "_repo")).alias("passage"), "_repo", "_owner").distinct()
+    held = rows.filter("ok").select("hash", F.coalesce("passage", F.concat("_owner", "_repo")).alias("passage"), "_repo", "_owner").distinct()
     freq = held.groupBy("hash").agg(F.countDistinct("_owner").alias("n_owners"), F.countDistinct("_repo").alias("n_repos"))
-    one = held.groupBy("hash", "passage").agg(F.min(F.struct(F.xxhash64("passage", "_owner", "_repo"), "_owner", "_repo")).alias("o")).select("hash", "o._owner", "o._repo")
+    one = held.groupBy("hash", "passage").agg(F.min(F.struct(F.md5(F.concat("passage", "_owner", "_repo")), "_owner", "_repo")).alias("o")).select("hash", "o._owner", "o._repo")
     freq = freq.join(one.groupBy("hash").agg(F.countDistinct("_owner").alias("own_owners"), F.countDistinct("_repo").alias("own_repos")), "hash")
     owners, repos = scanned.agg(F.countDistinct("_owner"), F.countDistinct("_repo")).head()
-    rows = rows.join(freq, "hash", "left")
+    freq = scratch.table(freq, "secret-owners")
+    rows = rows.join(F.broadcast(freq) if freq.count() <= BROADCAST_ROWS else freq, "hash", "left")
     wide = (F.col("own_owners") >= max(min_owners, WIDE[0] * owners)) & (F.col("own_repos") >= WIDE[1] * repos)
     kind = F.when(wide, "example").when(F.col("ok") & looks_live(F.col("value")), LIVE).otherwise("other")
     return rows.select("_rid", "kind", "start", "end", "v_start", "ok", "n_owners", "n_repos", kind.alias("class"))
@@ -148,12 +154,41 @@ def redact_secrets(
     scanned = scan(docs, id_col, text_col, owner_col, repo_cols, carry=True)
     masks = _spans(candidates(scanned, min_owners)).select("_rid", F.sort_array(F.concat(F.filter("base", lambda s: ~s["example"]), "live")).alias("_mask"))
     passed = scanned.filter(~_some()).select("_c.*")
-    hit = scanned.filter(_some()).join(masks, "_rid", "left").select("_c.*", "_mask")
-    text = F.col(text_col)
+    hit = scanned.filter(_some()).join(masks, "_rid", "left").select("_c", "_mask")
+    text = F.col("_c").getField(text_col)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda s, m: F.when(m["end"] <= s["at"], s).otherwise(F.struct(m["end"].cast("long").alias("at"), F.concat(s["out"], text.substr((s["at"] + 1).cast("int"), F.greatest(m["start"] - s["at"], F.lit(0)).cast("int")), F.lit(mask)).alias("out")))
     done = F.aggregate("_mask", start, step, lambda s: F.concat(s["out"], text.substr((s["at"] + 1).cast("int"), F.length(text))))
-    hit = hit.withColumn(text_col, F.when(F.size("_mask") > 0, done).otherwise(text)).drop("_mask")
-    if length_col in docs.columns:
-        hit = hit.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    hit = hit.select("_c", F.when(F.size("_mask") > 0, done).otherwise(text).alias("_text"))
+    own = {text_col: F.col("_text"), length_col: F.length("_text")}
+    hit = hit.select(*[own.get(c, F.col("_c").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
     return passed.unionByName(hit).select(*docs.columns)
+
+
+#: The scan in DuckDB's SQL, over ``documents`` with ``source`` as owner and ``(source, lang)`` as repository.
+SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, '{"o":"' || source || '"}' AS own, '{"r0":"' || source || '","r1":"' || lang || '"}' AS repo, coalesce(text, '') AS s FROM documents),
+m AS (""" + " UNION ALL ".join(
+    f"SELECT r, own, repo, '{kind}' AS kind, {o + 1} AS ord, {least} AS least, regexp_extract_all(s, '{p}') AS whole, regexp_extract_all(s, '{p}', {group}) AS value, string_split_regex(s, '{p}') AS gaps FROM t"
+    for o, (kind, p, group, least) in enumerate((k, v[0].replace("'", "''"), v[1], v[2]) for k, v in KINDS.items())
+) + f"""),
+e AS (SELECT r, own, repo, kind, ord, least, unnest(range(1, len(whole) + 1)) AS i, whole, value, gaps FROM m),
+p AS (SELECT r, own, repo, kind, ord, value[i] AS value, length(value[i]) >= least AS ok, length(whole[i]) AS n, "right"(gaps[i], {AROUND}) AS before, "left"(gaps[i + 1], {AROUND}) AS after,
+    CAST(sum(length(gaps[i]) + length(whole[i])) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS stop FROM e),
+held AS (SELECT DISTINCT value, CASE WHEN length(before) + length(after) >= {LEAST_AROUND} THEN md5(before || chr(10) || after) ELSE own || repo END AS passage, own, repo FROM p WHERE ok),
+freq AS (SELECT value, count(DISTINCT own) AS n_owners, count(DISTINCT repo) AS n_repos FROM held GROUP BY value),
+one AS (SELECT value, passage, arg_min(own, md5(passage || own || repo)) AS own, arg_min(repo, md5(passage || own || repo)) AS repo FROM held GROUP BY value, passage),
+wide AS (SELECT value, count(DISTINCT own) AS o, count(DISTINCT repo) AS q FROM one GROUP BY value),
+c AS (SELECT p.*, n_owners, n_repos, stop - n AS start, stop - length(p.value) AS v_start,
+    coalesce(o >= greatest(3, {WIDE[0]!r} * (SELECT count(DISTINCT own) FROM t)) AND q >= {WIDE[1]!r} * (SELECT count(DISTINCT repo) FROM t), false) AS example,
+    ok AND regexp_matches(p.value, '[0-9]') AND regexp_matches(p.value, '[A-Za-z]') AND len(list_distinct(string_split(p.value, ''))) >= 10 AND NOT regexp_matches(lower(p.value), '{PLACEHOLDERS}') AS looks
+    FROM p LEFT JOIN freq USING (value) LEFT JOIN wide USING (value)),
+spans AS (SELECT r, start AS a, ord AS o, stop AS z, kind || ':' || start || ':' || stop AS s, true AS base FROM c WHERE ok AND kind IN ('assign', 'access', 'hex')
+    UNION ALL SELECT DISTINCT r, v_start, 4, stop, 'live:' || v_start || ':' || stop, false FROM c WHERE looks AND NOT example),
+joined AS (SELECT r, coalesce(string_agg(s, ',' ORDER BY a, o, z) FILTER (base), '') AS base, string_agg(s, ',' ORDER BY a, o, z) AS every, count(*) FILTER (NOT base) AS n_live FROM spans GROUP BY r),
+counts AS (SELECT r, count(*) FILTER (ok AND kind = 'assign') AS n_assign, count(*) FILTER (ok AND kind = 'access') AS n_access, count(*) FILTER (ok AND kind = 'hex') AS n_hex,
+    count(*) FILTER (ok AND example) AS n_example, max(n_owners) AS max_owners, max(n_repos) AS max_repos FROM c GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans,
+    coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(max_owners, 0) AS max_owners, coalesce(max_repos, 0) AS max_repos
+FROM t LEFT JOIN joined USING (r) LEFT JOIN counts USING (r)
+"""

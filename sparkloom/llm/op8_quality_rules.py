@@ -268,3 +268,23 @@ def good_documents(
     """The rows that are kept, with all their columns."""
     judged = _judged(docs, min_words, max_repeat_percent, tail, min_rows, id_col, text_col, lang_col, source_col, tuple(docs.columns))
     return judged.filter("kept").select("_carry.*")
+
+
+def base_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The counts and the fixed limits alone, without the estimates: what SQL can express of the rules."""
+    stats = base_statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")), "_text")
+    failed = (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat_percent) * F.col("n_words"))
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+
+
+#: ``base_rules`` in DuckDB's SQL, over ``documents``.
+SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
+w AS (SELECT doc_id, s, regexp_extract_all(s, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(s, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT *, list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) AS g FROM w),
+m AS (SELECT *, list_histogram(g) AS h FROM g),
+r AS (SELECT *, list_transform(g, lambda x: h[x] > 1) AS twice FROM m),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(s) - length(regexp_replace(s, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(list_filter(range(1, len(w) + 1), lambda i: coalesce(twice[i], false) OR (i > 1 AND coalesce(twice[i - 1], false)) OR (i > 2 AND coalesce(twice[i - 2], false)))) AS BIGINT) AS n_repeat_words FROM r)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""

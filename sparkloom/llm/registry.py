@@ -58,9 +58,22 @@ def op9_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_byte_bpe.round_trip(_read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_quality_rules.base_rules(_read(spark, sf_dir, "documents"))
+
+
+_QUERIES = (
+    op1_ngram_jaccard_join, op2_toxicity_chain, op3_mixture_packing_pieces, op4_nearest_vectors, op5_secret_scan, op6_token_count, op7_best_fit_packing, op8_quality,
+    op9_byte_bpe_round_trip, op10_warc_bundles, quality_base_rules,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity_chain, op3_mixture_packing_pieces, op4_nearest_vectors, op5_secret_scan, op6_token_count, op7_best_fit_packing, op8_quality, op9_byte_bpe_round_trip, op10_warc_bundles)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard.SQL, "op4_nearest_vectors": op4_pruned_graph.SQL, "op5_secret_scan": op5_secret_scans.SQL, "op10_warc_bundles": op10_warc.SQL,
+        "quality_base_rules": op8_quality_rules.SQL,
+    }
