@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import regex
 
@@ -18,8 +19,11 @@ import regex
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _SPACES = frozenset(SPACE)
-#: Entries of a cache. A full cache starts afresh, which costs time and changes no result.
-CACHE = 400_000
+#: Entries of a cache, and characters of a unit that it keeps: some 100 MB at most. A full cache starts afresh, which
+#: costs time and changes no result; longer units seldom come again.
+CACHE, LONG = 400_000, 64
+#: Fixed value: the pattern by which byte-level .json vocabularies split text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class _Uncuttable(Exception):
@@ -33,9 +37,11 @@ class _Full(dict):
         self.compute, self.limit = compute, limit
 
     def __missing__(self, unit):
-        if len(self) >= self.limit:
-            self.clear()
-        got = self[unit] = self.compute(unit)
+        got = self.compute(unit)
+        if len(unit) <= LONG:
+            if len(self) >= self.limit:
+                self.clear()
+            self[unit] = got
         return got
 
 
@@ -49,9 +55,11 @@ class _Words(dict):
         lead = word[:1] == "\n"
         if len(word) <= lead or word[lead] in _SPACES or word[-1] in _SPACES:
             raise _Uncuttable
-        if len(self) >= self.limit:
-            self.clear()
-        got = self[word] = self.compute(word if lead else " " + word)
+        got = self.compute(word if lead else " " + word)
+        if len(word) <= LONG:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -94,8 +102,9 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-#: Code points that ``regex`` takes for letters or numbers and the tokenizer libraries,
-#: with older Unicode tables, don't (found by trying all code points).
+#: Code points that this version of ``regex`` takes for letters or numbers and the tokenizer libraries,
+#: with older Unicode tables, don't (found by trying all code points, as ``later`` does for any other version).
+TRIED = "2026.9.29"
 LATER = (
     "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF "
     "10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 "
@@ -103,18 +112,37 @@ LATER = (
     "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 "
     "1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
-_LATER = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in LATER.split()) + "]")
+
+
+def try_all() -> str:
+    """The code points that ``regex`` takes for letters or numbers and the tokenizers library doesn't."""
+    from tokenizers import pre_tokenizers
+
+    every, out = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])), []
+    for kind, usual in (("L", "a"), ("N", "1")):
+        found = regex.findall(rf"\p{{{kind}}}", every)
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str("".join(f" {usual}{c}" for c in found))
+        ends = {b for _, (_, b) in split}
+        out += [c for k, c in enumerate(found) if 3 * k + 2 in ends]  # cut before it
+    return "".join(sorted(out))
+
+
+@lru_cache(maxsize=1)
+def later() -> re.Pattern:
+    if regex.__version__ == TRIED:
+        return re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in LATER.split()) + "]")
+    return re.compile(f"[{re.escape(try_all())}]")
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     """The words of a unit, as the libraries split it."""
-    findall = regex.compile(pattern).findall
+    findall, newer = regex.compile(pattern).findall, later()
 
     def split(unit: str) -> list[str]:
-        if max(unit) < "\u0530" or not _LATER.search(unit):
+        if max(unit) < "\u0530" or not newer.search(unit):
             return findall(unit)
         out, at = [], 0
-        for w in findall(_LATER.sub("\u2603", unit)):
+        for w in findall(newer.sub("\u2603", unit)):
             out.append(unit[at : at + len(w)])
             at += len(w)
         return out

@@ -13,8 +13,6 @@ from functools import lru_cache
 
 from . import bytebpe
 
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 
 def _merger(path: str):
     """tiktoken's encoder for the vocabulary, or None where ids aren't merge ranks."""
@@ -30,7 +28,7 @@ def _merger(path: str):
         return None
     back = {c: b for b, c in bytebpe.byte_alphabet().items()}
     ranks = {bytes(back[c] for c in token): i for token, i in vocab.items()}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("own", pat_str=bytebpe.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class LibraryIds:

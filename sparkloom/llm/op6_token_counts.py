@@ -3,10 +3,11 @@
 A word's bytes are the first symbols of a doubly linked list. A heap holds its adjacent pairs that
 the vocabulary merges, lowest rank first and leftmost among equals; popping a pair that still stands
 joins it and offers the two new neighbours. The count is the number of bytes less the number of
-merges: no token identifier is made. Counts of words are kept in a bounded cache per worker.
+merges: no token identifier is made. Counts of words are kept in a cache per worker, bounded in bytes.
 
 Cases: null or empty text counts 0 tokens and 0 bytes; texts of any length count whole; repeated
-rows stay; ``doc_id`` passes as it is, null too; other columns are ignored; an empty table gives
+rows stay; of pairs of equal rank the leftmost merges first; ``doc_id`` passes as it is, null too; other columns are
+ignored, whatever their names; an empty table gives
 an empty table.
 """
 
@@ -46,7 +47,7 @@ class MergeCounter:
         from tokenizers import Tokenizer
 
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.findall = bytebpe.splitter(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+        self.findall = bytebpe.splitter(bytebpe.PATTERN)
         self.words = bytebpe._Full(lambda w: self.word(w.encode()), bytebpe.CACHE)
         self.units = bytebpe.Units(self.unit)
 

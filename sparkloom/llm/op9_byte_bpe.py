@@ -8,8 +8,8 @@ decided by undoing merges on both sides of the seam and remembered by pair. Posi
 there is no way on are marked, so each is left once and the time is linear in the word.
 
 Cases: null or empty text has no tokens and the digests of the empty string; words of any length
-are encoded whole; repeated rows stay; ``doc_id`` passes as it is, null too; other columns are
-ignored; an empty table gives an empty table.
+are encoded whole; repeated rows stay; where pairs tie in rank the left one merges first, as the merges have it; ``doc_id`` passes as
+it is, null too; other columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

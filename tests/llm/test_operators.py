@@ -154,6 +154,40 @@ def test_tokens(docs):
     assert len(sp) == len(ROWS)
 
 
+def test_split_tables(monkeypatch):
+    """The fixed code points are those that trying all finds, and any other version of regex gets the same."""
+    import regex
+
+    assert o6.bytebpe.PATTERN == P.PATTERN
+    known, tried = o6.bytebpe.later(), o6.bytebpe.try_all()
+    assert known.sub("", tried) == "" and regex.__version__ == o6.bytebpe.TRIED
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    assert {*known.findall(every)} >= {*tried}
+    assert all(not regex.match(r"[\p{L}\p{N}]", c) for c in {*known.findall(every)} - {*tried})
+    monkeypatch.setattr(o6.bytebpe, "TRIED", "other")
+    o6.bytebpe.later.cache_clear()
+    assert {*o6.bytebpe.later().findall(every)} == {*tried}
+    o6.bytebpe.later.cache_clear()
+
+
+def test_tokens_of_long_and_odd_texts(spark):
+    """Long words beside short ones, ties of equal pairs, names that clash, and a sentencepiece model, against the libraries."""
+    import sentencepiece
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(13)
+    letters = [*"abcdeéß中文字 \n\t  12!?<|>'"] + ["<|endoftext|>", "\u2003", "👍🏽", "\u0378", "\U0001e6c0"]
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 200)))) for _ in range(300)] + ["ab" * 20_000, "x" * 30_000, "aaaa " * 5000, "Q9z" * 60 + " " + "Q9z" * 60]
+    table = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int, ids string")
+    hf, sp = Tokenizer.from_file(JSON), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=o9.bytebpe.load_ranks(RANKS), special_tokens={})
+    assert {r.doc_id: r.n_tokens for r in o6.token_counts(table, JSON).collect()} == {i: len(hf.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in o6.token_counts(table, P.path("piece_bpe_32k.model")).collect()} == {i: len(sp.encode(t)) for i, t in enumerate(texts)}
+    got = o9.encode_table(table, RANKS, P.PATTERN).collect()
+    assert {r.doc_id: (bytes(r.ids), bytes(r.decoded)) for r in got} == {i: (array("I", enc.encode_ordinary(t)).tobytes(), t.encode()) for i, t in enumerate(texts)}
+
+
 def _packed(rows):
     from tokenizers import Tokenizer
 
