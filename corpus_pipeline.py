@@ -48,12 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.table(docs, name.replace(" ", "-"))
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        with scratch.passing(spark) as written:  # a stage's working tables go once its result is a table
+            docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            scratch.delete(spark, before)
+        before = written[-1]
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
