@@ -45,7 +45,11 @@ def groups_frame_sum(df: DataFrame, by: list[str], order: str, value: str, prece
     return ranked.withColumn(out, F.sum(value).over(w)).drop("_g")
 
 
-def salted_sum(df: DataFrame, key: str, value: str, salts: int, out: str) -> DataFrame:
-    """Sum in two steps, for a key that holds much of the table."""
-    part = df.withColumn("_s", F.pmod(F.xxhash64(value), F.lit(salts))).groupBy(key, "_s").agg(F.sum(value).alias("_v"))
-    return part.groupBy(key).agg(F.sum("_v").alias(out))
+def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, hot_rows: int) -> DataFrame:
+    """Inner join where a key holds much of the left side: rows of keys with ``hot_rows`` or more are spread over ``salts``
+    tasks, and only those keys' right rows are repeated. For plans in which Spark can't split the partition itself, as under
+    an aggregate."""
+    hot = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows).select(key, F.lit(True).alias("_hot"))
+    l = left.join(hot, key, "left").withColumn("_s", F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(0))
+    r = right.join(hot, key, "left").withColumn("_s", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return l.drop("_hot").join(r.drop("_hot"), [key, "_s"]).drop("_s")

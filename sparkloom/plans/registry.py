@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars
 from sparkloom.operators import relational
+from sparkloom.plans.frames import FRAMES, ORACLE
+from sparkloom.plans.sql_texts import TEXTS
 from sparkloom.sources.tables import register, table
 from sparkloom.streaming import windows
 
@@ -42,14 +44,12 @@ SHARED: dict[str, tuple[list[str], str]] = {
         coalesce(nullif(o_orderstatus, 'P'), 'pending') AS status FROM orders"""),
     "strings": (["customer"], """SELECT c_custkey, upper(c_mktsegment) AS u, substring(c_name, 1, 8) AS s, replace(c_name, '#', '-') AS r,
         trim(c_name) AS t, CAST(length(c_name) AS BIGINT) AS n FROM customer"""),
-    "scalar_subquery": (["part"], "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.2 FROM part)"),
+    "scalar_subquery": (["part"], "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.02 FROM part)"),
     "recursive_cte": (["region"], "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t"),
 }
 
 
-def _sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    tables, text = SHARED[name]
-
+def _sql(tables: list[str], text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir, tables)
         return spark.sql(text)
@@ -93,8 +93,9 @@ def groups_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.groups_frame_sum(o, ["o_custkey"], "o_orderdate", "o_orderkey", 1, "s").select("o_orderkey", "s")
 
 
-def salted_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.salted_sum(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_orderkey", 16, "total")
+def salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return relational.salted_join(e.select("event_id", "event_type"), e.groupBy("event_type").agg(F.count("*").alias("n")), "event_type", 8, 100).select("event_id", "n")
 
 
 def pivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +126,7 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FRAMES = (
     revenue_by_nation_month, asof_last_order, range_join_price_bands, top_orders_per_customer, exclude_current_row, groups_frame,
-    salted_aggregate, pivot_counts, unpivot_balances, json_field, array_dot, tumbling_window, session_windows,
+    salted_join, pivot_counts, unpivot_balances, json_field, array_dot, tumbling_window, session_windows,
 )
 
 _ORACLE = {
@@ -141,7 +142,7 @@ _ORACLE = {
         AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS others FROM orders""",
     "groups_frame": """SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate
         GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders""",
-    "salted_aggregate": "SELECT l_returnflag, CAST(sum(l_orderkey) AS BIGINT) AS total FROM lineitem GROUP BY l_returnflag",
+    "salted_join": "SELECT event_id, n FROM events JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) USING (event_type)",
     "pivot_counts": """SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS n_f, count(*) FILTER (l_linestatus = 'O') AS n_o
         FROM lineitem GROUP BY l_returnflag""",
     "unpivot_balances": """SELECT p_partkey, 'size' AS name, CAST(p_size AS DOUBLE) AS val FROM part
@@ -157,8 +158,11 @@ _ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _sql(name) for name in SHARED} | {f.__name__: f for f in _FRAMES}
+    texts = {name: _sql(*q) for name, q in SHARED.items()} | {name: _sql(tables, text) for name, (tables, text, _) in TEXTS.items()}
+    return texts | {f.__name__: f for f in (*_FRAMES, *FRAMES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text.replace("TIMESTAMP_NTZ", "TIMESTAMP") for name, (_, text) in SHARED.items()} | _ORACLE
+    shared = {name: text.replace("TIMESTAMP_NTZ", "TIMESTAMP") for name, (_, text) in SHARED.items()} | {name: other or text for name, (_, text, other) in TEXTS.items()}
+    streams = {"stream_tumbling": _ORACLE["tumbling_window"], "stream_sessions": _ORACLE["session_windows"], "stream_sliding": shared["sliding_window"]}
+    return shared | _ORACLE | ORACLE | streams

@@ -15,9 +15,9 @@ def register(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
+def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, mode: str = "errorifexists", **options) -> None:
     """Write in any format Spark has: parquet, orc, json, csv, xml, text."""
-    out = df.write.format(fmt).mode(mode)
+    out = df.write.format(fmt).mode(mode).options(**options)
     (out.partitionBy(*partition_by) if partition_by else out).save(path)
 
 
