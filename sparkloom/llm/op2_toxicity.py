@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,10 +56,10 @@ def words(text: str | None) -> set[str]:
 class Csr:
     """Rows of a 0/1 matrix, and the two products that training needs."""
 
-    def __init__(self, rows: list[list[int]], n: int):
+    def __init__(self, rows: list[np.ndarray], n: int):
         self.n, self.ptr = n, np.cumsum([0, *map(len, rows)])
-        self.col = np.array([c for r in rows for c in r], np.int64)
-        self.row = np.repeat(np.arange(len(rows)), np.diff(self.ptr))
+        self.col = np.concatenate([np.empty(0, np.int32), *rows])
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(self.ptr))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], len(self.ptr) - 1)
@@ -89,21 +88,33 @@ def fit_logistic(x: Csr, dense: np.ndarray, y: np.ndarray, use: np.ndarray, l2:
     return pw, pd_, pb
 
 
-def vocabulary(sets: list[set[str]], y: np.ndarray, features: int, min_rows: int) -> dict[str, int]:
-    """The words whose rate of positive texts is farthest from the usual rate, in standard deviations; ties by word."""
-    seen, hits = Counter(), Counter()
-    for s, positive in zip(sets, y, strict=True):
-        seen.update(s)
-        if positive:
-            hits.update(s)
-    base = float(y.mean()) if len(y) else 0.0
-    least = max(min_rows, len(sets) // 400)  # rarer words tell copies apart, not toxicity
-    score = {w: abs(hits[w] - n * base) / max(n * base * (1 - base), 1e-9) ** 0.5 for w, n in seen.items() if n >= least}
-    return {w: i for i, w in enumerate(sorted(score, key=lambda w: (-score[w], w))[:features])}
+class Words:
+    """The texts' words as numbers, each word kept once."""
 
+    def __init__(self, texts: list[str | None], folds: int):
+        number: dict[str, int] = {}
+        self.rows, self.fold = [], np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            own = words(t)
+            self.fold[k] = fold_of(own, folds)
+            self.rows.append(np.array(sorted(number.setdefault(w, len(number)) for w in own), np.int32))
+        self.names = list(number)
 
-def _matrix(sets: list[set[str]], words: dict[str, int]) -> Csr:
-    return Csr([sorted(words[w] for w in s if w in words) for s in sets], max(len(words), 1))
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([np.empty(0, np.int32), *(self.rows[i] for i in at)]), minlength=len(self.names))
+
+    def vocabulary(self, at: np.ndarray, y: np.ndarray, features: int, min_rows: int) -> list[int]:
+        """The words whose rate of positive texts among ``at`` is farthest from the usual rate, in standard deviations; ties by word."""
+        seen, hits = self.counts(at), self.counts(at[y[at] > 0])
+        base = float(y[at].mean()) if len(at) else 0.0
+        some = np.flatnonzero(seen >= max(min_rows, len(at) // 400))  # rarer words tell copies apart, not toxicity
+        score = np.abs(hits[some] - seen[some] * base) / np.sqrt(np.maximum(seen[some] * base * (1 - base), 1e-9))
+        return [w for _, _, w in sorted(zip((-score).tolist(), (self.names[w] for w in some), some.tolist(), strict=True))[:features]]
+
+    def matrix(self, chosen: list[int]) -> Csr:
+        column = np.full(len(self.names), -1, np.int32)
+        column[chosen] = np.arange(len(chosen))
+        return Csr([c[c >= 0] for c in (column[r] for r in self.rows)], max(len(chosen), 1))
 
 
 def fold_of(s: set[str], folds: int) -> int:
@@ -115,14 +126,11 @@ def train_chain(texts: list[str | None], labels: np.ndarray, folds: int, feature
     """labels: a row per text, a column per category in chain order. The model, or None without both outcomes of the last category."""
     if not len(labels) or labels[:, -1].min() == labels[:, -1].max():
         return None
-    y_last, sets = labels[:, -1], [words(t) for t in texts]
-    fold = np.array([fold_of(s, folds) for s in sets])
-    used, base = np.unique(fold), y_last.mean()
-    every = vocabulary(sets, y_last, features, min_rows)
-    x, held = _matrix(sets, every), {}
-    for f in used:
-        rest = np.flatnonzero(fold != f)
-        held[f] = _matrix(sets, vocabulary([sets[i] for i in rest], y_last[rest], features, min_rows))
+    y_last, own, every = labels[:, -1], Words(texts, folds), np.arange(len(texts))
+    fold, base = own.fold, y_last.mean()
+    used, chosen = np.unique(fold), own.vocabulary(every, y_last, features, min_rows)
+    x = own.matrix(chosen)
+    held = {f: own.matrix(own.vocabulary(every[fold != f], y_last, features, min_rows)) for f in used}
     chain, links, oof = np.zeros((len(texts), 0)), [], None
     for c in range(labels.shape[1]):
         y, oof = labels[:, c].astype(float), np.zeros(len(texts))
@@ -137,7 +145,7 @@ def train_chain(texts: list[str | None], labels: np.ndarray, folds: int, feature
     threshold = float(oof[order][good[-1]]) if len(good) else 0.5
     flagged = oof >= threshold
     return {
-        "words": every, "weights": np.stack([w for w, _, _ in links], 1), "chain": [d for _, d, _ in links], "bias": [b for _, _, b in links], "threshold": threshold,
+        "words": {own.names[w]: k for k, w in enumerate(chosen)}, "weights": np.stack([w for w, _, _ in links], 1), "chain": [d for _, d, _ in links], "bias": [b for _, _, b in links], "threshold": threshold,
         "precision": float(y_last[flagged].mean()) if flagged.any() else 0.0, "recall": float(flagged[y_last == 1].mean()), "rows": len(texts),
     }
 
