@@ -286,6 +286,13 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _joined_to(rows: DataFrame, each: DataFrame, key: str) -> DataFrame:
+    """Rows with what was aggregated by their key. As a table, that side is broadcast where it is small; else both sides are
+    plain shuffles, of which Spark splits a partition that one key fills."""
+    each = scratch.table(each, "jaccard-each")
+    return rows.join(_small(each, each.count()), key)
+
+
 def _shared(sets: list[np.ndarray], first: int) -> np.ndarray:
     """Sizes of the intersections of the first sets with the others, or of all with all where there are no others."""
     values = np.concatenate(sets)
@@ -337,7 +344,7 @@ def _cells(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     sized = members.groupBy("label", "c").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     blocks = F.ceil(F.greatest(F.col("m") / F.lit(float(SETS)), F.col("w") / F.lit(float(WEIGHT))))
     whole = sized.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("c", blocks))).alias("blocks"), F.sum("m").alias("m"), F.sum("w").alias("w"))
-    placed = members.join(whole, "label").withColumn("own", F.col("blocks")[F.col("c")])
+    placed = _joined_to(members, whole, "label").withColumn("own", F.col("blocks")[F.col("c")])
     block, number = F.pmod(F.xxhash64("rep"), "own"), F.lit(0).cast("long")
 
     def cell(c, i, c2, j, side):
@@ -384,7 +391,7 @@ def _between(lists: DataFrame, groups: DataFrame, n_groups: int, sizes: DataFram
     tagged = lists.join(_small(groups.withColumnRenamed("node", "rep"), n_groups), "rep", "left").select("g", "rep", "n", "pos", F.coalesce("label", "rep").alias("label"))
     mixed = tagged.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.max(_lead(percent)).alias("some"))
     parts = F.ceil(F.col("m") / F.lit(float(PART)))
-    tagged = tagged.join(mixed.filter("lo != hi AND some").select("g", parts.alias("parts")), "g").join(sizes.select("rep", "parity"), "rep")
+    tagged = _joined_to(tagged, mixed.filter("lo != hi AND some").select("g", parts.alias("parts")), "g").join(sizes.select("rep", "parity"), "rep")
     own, number = F.pmod(F.xxhash64("rep"), "parts"), F.lit(0).cast("long")
     probe = tagged.withColumns({"i": own, "j": F.explode(F.sequence(number, F.col("parts") - 1))}).drop("parts")
     index = tagged.filter(_lead(percent)).withColumns({"j": own, "i": F.explode(F.sequence(number, F.col("parts") - 1))})
@@ -527,9 +534,9 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, k
     both = links.select(F.col("a").alias("rep"), F.col("b").alias("to")).union(links.select("b", "a"))
     beyond = both.join(classes.select(F.col("rep").alias("to"), "copies"), "to").select("rep", F.col("copies").alias("others"))
     others = beyond.union(linked.select("rep", "others")).groupBy("rep").agg(F.sum("others").alias("others"))
-    info = labels.join(classes.select("rep", "least"), "rep").join(others, "rep", "left")
-    ids = info.groupBy("label").agg(F.min("least").alias("component_id"))
-    info = scratch.table(info.join(ids, "label").select("rep", "label", "component_id", "others"), "jaccard-info")
+    info = scratch.table(labels.join(classes.select("rep", "least"), "rep").join(others, "rep", "left"), "jaccard-info")
+    info = _joined_to(info, info.groupBy("label").agg(F.min("least").alias("component_id")), "label")
+    info = scratch.table(info.select("rep", "label", "component_id", "others"), "jaccard-info")
     ends = classes.join(_small(info, info.count()), "rep", "left").select("copy", F.coalesce("label", "rep").alias("label"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     placed = sets.select("_rid", "doc_id", "key", "n", "copy").join(ends, "copy", "left")
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
