@@ -16,8 +16,9 @@ and is then verified once, on the whole sets. Exact copies are one class before
 
 No list and no group of near copies is written out as pairs. First each class meets its neighbours in its lists, by
 size and by a hash, and the best of them, as far as the parities tell, give *groups*. All pairs of one group are
-verified in cells: its sets are dealt to blocks of like size and bounded weight, a cell takes two blocks, and gives
-back for each set the number of its links and the least set that links lead to. Then the lists that hold sets of
+verified in cells: its sets are dealt to blocks of like size and bounded weight, a cell takes two blocks, counts their
+common shingles as a product of matrices, and gives back for each set the number of its links and the least set that
+links lead to. Then the lists that hold sets of
 different groups are joined for the pairs between groups, and those pairs, few, are verified one by one. Every pair
 that passes the filters thus lies in one cell or in the last join; groups only say which. Lists too long for a task
 are cut, by a hash of the document, into a grid of parts for the join.
@@ -53,8 +54,8 @@ HOT, SALTS = 50_000, 64
 PART = 2_000
 #: Rows of a table that may be broadcast: at about 60 bytes each, 60 MB.
 BROADCAST_ROWS = 1_000_000
-#: A cell's block: sets and shingles at most, about.
-SETS, WEIGHT = 256, 1 << 20
+#: A cell's block: sets, or a 64th of its group up to the second number, and shingles, about.
+SETS, MOST_SETS, WEIGHT = 256, 2048, 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -247,7 +248,7 @@ def _looks_near(percent: int) -> Column:
     share = F.lit(1.0) - _odd_bits() / F.lit(512.0)
     apart = F.when(share > 0, F.log(share) / F.lit(math.log(1 - 2 / 1024)))
     may = F.col("n") + F.col("n2") - 2 * _need(percent)
-    return (may > 700) | (apart <= F.lit(1.15) * may + 3)
+    return _parity_passes(percent) & ((may > 700) | (apart <= F.lit(1.1) * may))
 
 
 #: Partners by which a class may come into a group.
@@ -305,9 +306,10 @@ def _shared(sets: list[np.ndarray], first: int) -> np.ndarray:
     place, owner = (np.cumsum(twice) - 1)[place[keep]], owner[keep]
     other = first if first < len(sets) else 0
     out = np.zeros((first, len(sets) - other))
-    for lo in range(0, int(twice.sum()), 2048):  # exact: sums of at most 2048 ones
+    columns = int(twice.sum())
+    for lo in range(0, columns, 2048):  # exact: sums of at most 2048 ones
         a, z = np.searchsorted(place, (lo, lo + 2048))
-        x = np.zeros((len(sets), 2048), np.float32)
+        x = np.zeros((len(sets), min(2048, columns - lo)), np.float32)
         x[owner[a:z], place[a:z] - lo] = 1
         out += x[:first] @ x[other:].T
     return out
@@ -336,13 +338,14 @@ def _links_of(a: list[tuple], b: list[tuple], percent: int) -> list[tuple[int, i
     return [(int(reps[k]), int(others[k]), int(root[k])) for k in np.flatnonzero(others)]
 
 
-def _cells(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """rep, others, root of every cell: see ``_links_of``."""
+def _cells(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """rep, label, n, copies and the cells that the set goes to, with the side it stands on."""
     step = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9  # sets of classes two steps apart fail the length filter
     members = groups.select(F.col("node").alias("rep"), "label").union(groups.select("label", "label").distinct())
     members = scratch.table(members.join(classes.select("rep", "n", "copies"), "rep").withColumn("c", F.floor(F.log("n") / F.lit(step))), "jaccard-members")
     sized = members.groupBy("label", "c").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    blocks = F.ceil(F.greatest(F.col("m") / F.lit(float(SETS)), F.col("w") / F.lit(float(WEIGHT))))
+    sets_of = F.least(F.lit(float(MOST_SETS)), F.greatest(F.lit(float(SETS)), F.col("m") / 64.0))
+    blocks = F.ceil(F.greatest(F.col("m") / sets_of, F.col("w") / F.lit(float(WEIGHT))))
     whole = sized.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("c", blocks))).alias("blocks"), F.sum("m").alias("m"), F.sum("w").alias("w"))
     placed = _joined_to(members, whole, "label").withColumn("own", F.col("blocks")[F.col("c")])
     block, number = F.pmod(F.xxhash64("rep"), "own"), F.lit(0).cast("long")
@@ -359,8 +362,29 @@ def _cells(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     after, before = beside(1, lambda j: cell(c, block, c + 1, j, zero)), beside(-1, lambda j: cell(c - 1, j, c, block, one))
     alone = (F.col("m") <= SETS) & (F.col("w") <= WEIGHT)
     cells = F.when(alone, F.array(cell(number, number, number, number, zero))).otherwise(F.concat(inside, after, before))
-    placed = scratch.table(placed.select("rep", "label", "n", "copies", cells.alias("cells")), "jaccard-cells")
-    rows = sets.filter("data IS NOT NULL").select(F.col("_rid").alias("rep"), "data").join(_small(placed, placed.count()), "rep")
+    return scratch.table(placed.select("rep", "label", "n", "copies", cells.alias("cells")), "jaccard-cells")
+
+
+def _linked(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
+    """rep, others, root of every cell: see ``_links_of``. Where the components alone are wanted, each block first meets itself
+    and the first block of its size, which leaves few groups in parts; only those go through their other cells."""
+    placed = _cells(groups, classes, percent)
+    if every:
+        return _verified(placed, sets, percent)
+    hub = lambda x: ((x["c1"] == x["c2"]) & ((x["b1"] == x["b2"]) | (x["b1"] == 0))) | ((x["c1"] != x["c2"]) & (x["b1"] == 0) & (x["b2"] == 0))
+    first, cut = _verified(placed.withColumn("cells", F.filter("cells", hub)), sets, percent), placed.filter(F.size("cells") > 1)
+    if not cut.head(1):
+        return first
+    found = components(first.filter("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b"))).toDF("rep", "found")
+    parts = cut.select("rep", "label").join(_small(found, found.count()), "rep", "left").withColumn("found", F.coalesce("found", "rep"))
+    parts = parts.groupBy("label").agg(F.min("found").alias("lo"), F.max("found").alias("hi")).filter("lo != hi").select("label")
+    rest = _joined_to(cut, parts, "label").withColumn("cells", F.filter("cells", lambda x: ~hub(x)))
+    return first.union(_verified(rest.select(*placed.columns), sets, percent))
+
+
+def _verified(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    entries = placed.agg(F.sum(F.size("cells") + 1)).head()[0] or 0
+    rows = sets.filter("data IS NOT NULL").select(F.col("_rid").alias("rep"), "data").join(_small(placed, entries), "rep")
     rows = rows.select("label", F.explode("cells").alias("at"), "rep", "n", "copies", "data").select("label", "at.*", "rep", "n", "copies", "data")
     key = ["label", "c1", "b1", "c2", "b2"]
     dealt = rows.repartition(*key).sortWithinPartitions(*key, "side", "rep")
@@ -495,14 +519,10 @@ def components(edges: DataFrame, forest: int | None = None) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
-    """_rid, doc_id, key, n, label (the least _rid of the component), component_id (its least doc_id) and n_links (other rows
-    that reach the threshold) of every row; label is null for the empty set."""
-    with scratch.passing(docs.sparkSession):
-        return _joined(docs, n, percent, id_col, text_col, key)
-
-
-def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, key: Column | None) -> DataFrame:
+def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, key: Column | None = None, every: bool = True) -> DataFrame:
+    """_rid, doc_id, key, n, label (the least _rid of the component), component_id (its least doc_id) and n_links of every
+    row: the other rows that reach the threshold, or with ``every`` false at least one of them, where there are any. The
+    label is null for the empty set."""
     spark = docs.sparkSession
     key = F.lit(None).cast("string") if key is None else key
     sets = sets_table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("key")), n)
@@ -524,7 +544,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, k
     sizes = sets.filter("data IS NOT NULL").select(F.col("_rid").alias("rep"), "n", "counts", "parity")
 
     groups = _groups(lists, sizes, percent)
-    linked = _cells(groups, classes, sets, percent)
+    linked = _linked(groups, classes, sets, percent, every)
     pairs = scratch.table(_between(lists, groups, groups.count(), sizes, percent), "jaccard-pairs")
     pairs = scratch.table(_suffix_filter(pairs, sizes, percent), "jaccard-pairs")
     links = _verify(pairs, sets, percent)
@@ -545,7 +565,9 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, k
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other rows whose sets reach the threshold, copies included) of every row."""
-    return joined(docs, n, percent, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    with scratch.passing(docs.sparkSession):
+        placed = _joined(docs, n, percent, id_col, text_col)
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -553,7 +575,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     without words all stay."""
     key = F.md5(F.to_json(F.struct(F.col(id_col).alias("i"), F.col(text_col).alias("t"))))
     with scratch.passing(docs.sparkSession):
-        placed = _joined(docs, n, percent, id_col, text_col, key).filter("n_links > 0")
+        placed = _joined(docs, n, percent, id_col, text_col, key, every=False).filter("n_links > 0")
         first = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key"))
         rows = placed.groupBy("key").agg(F.count("*").alias("rows")).join(first.select("key", F.lit(1).alias("stays")), "key", "left")
         touched = scratch.table(rows.filter("stays IS NULL OR rows > 1").select(F.col("key").alias("k"), F.coalesce("stays", F.lit(0)).alias("stays")), "jaccard-touched")

@@ -120,6 +120,7 @@ def test_jaccard_paths(spark, monkeypatch, settings):
     links, label = _plain_jaccard(texts)
     got = o1.ngram_jaccard(docs).collect()
     assert {r.doc_id: (r.n_links, r.component_id) for r in got} == {i: (links[i], label[i]) for i in range(len(texts))}
+    assert sorted(r.doc_id for r in o1.one_of_each(docs).collect()) == sorted({*label})
 
 
 def test_jaccard_columns(spark):
