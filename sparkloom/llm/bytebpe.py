@@ -19,9 +19,9 @@ import regex
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _SPACES = frozenset(SPACE)
-#: Entries of a cache, and characters of a unit that it keeps: some 100 MB at most. A full cache starts afresh, which
+#: Entries of a cache, and characters of a unit that it keeps: some 60 MB at most. A full cache starts afresh, which
 #: costs time and changes no result; longer units seldom come again.
-CACHE, LONG = 400_000, 64
+CACHE, LONG = 250_000, 64
 #: Fixed value: the pattern by which byte-level .json vocabularies split text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import files, scratch
+from . import files, scratch, worker
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -120,6 +120,7 @@ def write_bundles(
     rows = rows.select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.starts("op10")
         index: list[tuple] = []
         begun = False
         frames: list[tuple[int, int]] = []

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, worker
 
 #: The sketch has 2**BITS counters at most (as rarity classes, 32 MB) and moves in SEGMENTS parts.
 BITS, SEGMENTS = 25, 64
@@ -65,7 +65,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 120_000:
+            if len(self) >= 60_000:
                 self.clear()
             self[word] = got
         return got
@@ -118,6 +118,7 @@ def sets_table(docs: DataFrame, n: int) -> DataFrame:
     (1024 bits) and the set itself; the last three for the first row of each digest in its task only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.starts("op1", _HASHES.clear)
         rid, seen = TaskContext.get().partitionId() << 36, set()
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
@@ -155,20 +156,15 @@ def rarity(sets: DataFrame) -> tuple[int, bytes]:
     shift, width, mean = np.uint64(64 - bits), (1 << bits) // SEGMENTS, max(1.0, total / (1 << bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, some, size = np.zeros(1 << bits, np.uint32), [], 0  # a task has fewer than 2**32 shingles of a kind
+        worker.starts("op1", _HASHES.clear)
+        sums = np.zeros(1 << bits, np.uint32)  # a task has fewer than 2**32 shingles of a kind
         for b in batches:
             for data in b.column(0).to_pylist():
-                some.append((unpack(data) >> shift).astype(np.int64))
-                size += len(some[-1])
-                if size > 1 << max(19, bits - 2):
-                    sums += np.bincount(np.concatenate(some), minlength=1 << bits).astype(np.uint32)
-                    some, size = [], 0
-        if size:
-            sums += np.bincount(np.concatenate(some), minlength=1 << bits).astype(np.uint32)
+                np.add.at(sums, (unpack(data) >> shift).astype(np.int64), np.uint32(1))
         press = zstandard.ZstdCompressor(level=1)
-        parts = sums.astype("<u2" if sums.max() < 1 << 16 else "<u4").reshape(SEGMENTS, -1)
-        for k, p in enumerate(parts):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([press.compress(p.tobytes())], pa.binary())], names=["segment", "counts"])
+        least = "<u2" if sums.max() < 1 << 16 else "<u4"
+        for k, p in enumerate(sums.reshape(SEGMENTS, -1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([press.compress(p.astype(least).tobytes())], pa.binary())], names=["segment", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}

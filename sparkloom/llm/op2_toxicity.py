@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
+
 _WORD = re.compile(r"[^\W\d_]+").findall
 
 
@@ -167,12 +169,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     own = docs.join(F.broadcast(some), "_id").select("_id", "_text", *categories)  # ``sample`` labels at most, in expectation
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker.starts("op2")
         got = [*frames]
         model = None
         if got:
             d = pd.concat(got).drop_duplicates().sort_values(["_id", "_text"])
             model = train_chain(d["_text"].tolist(), d[list(categories)].to_numpy(np.int64), folds, features, min_rows, l2, steps, precision)
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
+        got = d = model = None
+        worker.trim()
 
     rows = own.repartition(1).mapInPandas(run, "model binary").collect()  # the model alone; a shuffle, so that the scan keeps its tasks
     return pickle.loads(rows[0].model) if rows else None
@@ -199,12 +204,14 @@ def toxicity(
     if keep:
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker.starts("op2")
             for b in batches:
                 yield b.filter(pa.array([not flag for _, flag in judge(b.column(text_col).to_pylist())], pa.bool_()))
 
         return docs.mapInArrow(clean, docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.starts("op2")
         for b in batches:
             got = judge(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([p[k] for p, _ in got], pa.float64()) for k in range(len(names))], pa.array([f for _, f in got], pa.bool_())], names=["doc_id", *[f"p_{c}" for c in names], "toxic"])

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, worker
 from .library_ids import library
 
 SHIFT = 20
@@ -54,6 +54,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     """part, queue, doc_id, n, at (tokens of the queue before the row in this part), ids (unsigned 16-bit, or 32 where needed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.starts("ids", library.cache_clear)
         own, part, served = library(path), TaskContext.get().partitionId(), {}
         wide = own.own.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         end = array("I", [end_id]).tobytes()

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import worker
+
 BLOCK = 256
 #: Squared distances differ where they do by more than this, absolutely or as a share: a few times what float32 vectors carry.
 TIE = (1e-6, 1e-3)
@@ -160,6 +162,7 @@ def nearest(
     asked = rows.filter(query_filter).select(every, F.lit(1).alias("kind"), F.array("_id").alias("ids"), "_v", F.array("_o").alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.starts("op4")
         shard, held, graphs = None, {}, {}
 
         def built(size: int):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bytebpe
+from . import bytebpe, worker
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -110,6 +110,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     BPE .json, counted by merging, or a sentencepiece .model, counted by its library."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.starts("op6", lambda: (counter.cache_clear(), piece_model.cache_clear()))
         if path.endswith(".model"):
             sp = piece_model(path)
             count = lambda text: len(sp.encode(text, num_threads=1))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import files, scratch
+from . import files, scratch, worker
 from .library_ids import library
 
 SEQUENCE = pa.schema([("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("positions", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("start", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64()))])
@@ -89,6 +89,7 @@ def write_packed(
     """Pack and write; the manifest: file, first_sequence, n_sequences, n_segments, n_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.starts("ids", library.cache_clear)
         own, part, seqs = library(path), TaskContext.get().partitionId(), 0
         end, kind = array("I", [end_id]).tobytes(), "<u2" if own.own.get_vocab_size() <= 1 << 16 > max(end_id, pad_id) else "<u4"
         held: list[tuple] = []  # doc_id, start, doc_tokens, ids

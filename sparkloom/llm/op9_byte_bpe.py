@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bytebpe
+from . import bytebpe, worker
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Seams to remember; a full memory starts afresh.
@@ -145,6 +145,7 @@ def encode_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     """The operator: doc_id, ids (little-endian unsigned 32-bit, as binary) and the decoded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.starts("op9", codec.cache_clear)
         own = codec(path, pattern)
         for b in batches:
             ids = [own.encode(t or "") for t in b.column(1).to_pylist()]
@@ -158,6 +159,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """Digests of every row's ids and of what they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.starts("op9", codec.cache_clear)
         own = codec(path, pattern)
         for b in batches:
             n, a, z = [], [], []
