@@ -52,8 +52,8 @@ SKETCHES = 4096
 HOT, SALTS = 50_000, 64
 #: Members of a list that one part of the last join takes, about.
 PART = 2_000
-#: Rows of a table that may be broadcast: at about 60 bytes each, 60 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a table that may be broadcast: at about 100 bytes each, 30 MB.
+BROADCAST_ROWS = 300_000
 #: A cell's block: sets, or a 64th of its group up to the second number, and shingles, about.
 SETS, MOST_SETS, WEIGHT = 256, 2048, 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)

@@ -46,8 +46,8 @@ QUEUES = 512
 POOL_PART = 1 << 26
 #: Rows that a task gives on at a time.
 ROWS = 512
-#: Starts of queues in parts that may be broadcast: at about 60 bytes each, 60 MB. With more, the ids are shuffled to them.
-BROADCAST_ROWS = 1_000_000
+#: Starts of queues in parts that may be broadcast: at about 100 bytes each, 30 MB. With more, the ids are shuffled to them.
+BROADCAST_ROWS = 300_000
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, queue_col: str) -> DataFrame:

@@ -209,8 +209,7 @@ def _packed(rows):
             assert offset == at
             at += length
         assert at <= 1024
-    texts = {(d, t) for d, t, *_ in ROWS if d in (1, 8, 12)}
-    for d, t in texts:
+    for d, t in {(d, t or "") for d, t, *_ in ROWS}:
         ids = np.array([*hf.encode(t, add_special_tokens=False).ids, 0], "<u4")
         for r in rows:
             if r.doc_id == d:
@@ -304,6 +303,25 @@ def test_best_fit():
     packed = o7.best_fit_decreasing(lengths, 100)
     assert sorted(k for s in packed for k in s) == list(range(2000)) and all(sum(lengths[k] for k in s) <= 100 for s in packed)
     assert len(packed) <= -(-sum(lengths) // 100) * 1.05
+    room = []  # the same by looking at every open sequence
+    for n in sorted(lengths, reverse=True):
+        fits = [k for k, r in enumerate(room) if r >= n]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= n
+        else:
+            room.append(100 - n)
+    assert sorted(room) == sorted(100 - sum(lengths[k] for k in s) for s in packed)
+
+
+def test_workers_let_go(monkeypatch):
+    """Caches are kept from task to task of one operator and dropped when another starts."""
+    from sparkloom.llm import worker
+
+    monkeypatch.setattr(worker, "_HELD", [])
+    done = []
+    for name in ("a", "a", "b", "a"):
+        worker.starts(name, lambda name=name: done.append(name))
+    assert done == ["a", "b"]
 
 
 def test_nearest(spark):
