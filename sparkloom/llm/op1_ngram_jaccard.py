@@ -576,7 +576,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
         rows = placed.groupBy("key").agg(F.count("*").alias("rows")).join(first.select("key", F.lit(1).alias("stays")), "key", "left")
         touched = scratch.table(rows.filter("stays IS NULL OR rows > 1").select(F.col("key").alias("k"), F.coalesce("stays", F.lit(0)).alias("stays")), "jaccard-touched")
     seen = touched.agg(F.count("*"), F.sum("stays")).head()
-    judged = docs.select(F.struct(*docs.columns).alias("row"), key.alias("k")).join(_small(touched, seen[0]), "k", "left")  # two columns: no name can clash
+    judged = docs.select(F.struct(*scratch.columns(docs)).alias("row"), key.alias("k")).join(_small(touched, seen[0]), "k", "left")  # two columns: no name can clash
     alone = judged.filter("stays IS NULL").select("row.*")
     return alone.unionByName(judged.filter("stays = 1").dropDuplicates(["k"]).select("row.*")) if seen[1] else alone
 

@@ -77,7 +77,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols:
     cols = [F.monotonically_increasing_id().alias("_rid"), F.col(id_col).cast("long").alias("_doc"), F.to_json(F.struct(F.col(owner_col).alias("o"))).alias("_owner")]
     cols += [F.to_json(F.struct(*[F.col(c).alias(f"r{k}") for k, c in enumerate(repo_cols)])).alias("_repo"), *[_matches(text, k).alias(f"_m_{k}") for k in KINDS]]
     if carry:
-        cols.append(F.struct(*docs.columns).alias("_c"))
+        cols.append(F.struct(*scratch.columns(docs)).alias("_c"))
     return scratch.table(docs.select(*cols), "secret-scan")
 
 
@@ -162,7 +162,7 @@ def redact_secrets(
     hit = hit.select("_c", F.when(F.size("_mask") > 0, done).otherwise(text).alias("_text"))
     own = {text_col: F.col("_text"), length_col: F.length("_text")}
     hit = hit.select(*[own.get(c, F.col("_c").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
-    return passed.unionByName(hit).select(*docs.columns)
+    return passed.union(hit)  # both have the columns in their order
 
 
 #: The scan in DuckDB's SQL, over ``documents`` with ``source`` as owner and ``(source, lang)`` as repository.

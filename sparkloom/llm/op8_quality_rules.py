@@ -226,7 +226,7 @@ def _calibrated(d2: Column) -> Column:
     return F.pow(F.greatest((F.cbrt(d2) - F.col("middle")) / F.col("spread") * SPREAD + MEDIAN, F.lit(0.0)), 3.0)
 
 
-def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, tail: float, min_rows: int, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...]) -> DataFrame:
+def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, tail: float, min_rows: int, id_col: str, text_col: str, lang_col: str, source_col: str, carry: list[Column]) -> DataFrame:
     """The statistics with base_failed, distance2 and kept; carried columns as _carry."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), *([F.struct(*carry).alias("_carry")] if carry else []))
     stats = base_statistics(own, "_text")
@@ -257,7 +257,7 @@ def quality_rules(
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
 ) -> DataFrame:
     """Per row: doc_id, the statistics, base_failed, kept and distance2 (null where the base rules fail)."""
-    judged = _judged(docs, min_words, max_repeat_percent, tail, min_rows, id_col, text_col, lang_col, source_col, ())
+    judged = _judged(docs, min_words, max_repeat_percent, tail, min_rows, id_col, text_col, lang_col, source_col, [])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
@@ -266,7 +266,7 @@ def good_documents(
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
 ) -> DataFrame:
     """The rows that are kept, with all their columns."""
-    judged = _judged(docs, min_words, max_repeat_percent, tail, min_rows, id_col, text_col, lang_col, source_col, tuple(docs.columns))
+    judged = _judged(docs, min_words, max_repeat_percent, tail, min_rows, id_col, text_col, lang_col, source_col, scratch.columns(docs))
     return judged.filter("kept").select("_carry.*")
 
 

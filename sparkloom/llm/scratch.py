@@ -14,7 +14,8 @@ import threading
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
 _OWN = threading.local()
@@ -23,6 +24,11 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _HELD: list[str] = []
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def folder(spark: SparkSession) -> str:
     """This application's folder below the shared checkpoint folder, as a full address that tasks may use too."""
     context = spark.sparkContext

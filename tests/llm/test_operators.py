@@ -126,7 +126,7 @@ def test_jaccard_paths(spark, monkeypatch, settings):
 def test_jaccard_columns(spark):
     """Columns named like working columns, rows repeated, texts without words: one of each group stays, whole."""
     rows = [(1, "a b c d e f g", "x", 1, 2), (2, "A b c d e f g", "y", 3, 4), (2, "A b c d e f g", "y", 3, 4), (3, None, "z", 5, 6), (3, None, "z", 5, 6), (4, "other text", "q", 7, 8), (4, "other text", "q", 7, 8), (None, "a b c d e f g", "n", 0, 0)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, k string, stays int, row int")
+    table = spark.createDataFrame(rows, "doc_id long, text string, `k` string, `stays` int, `row.x` int")
     assert sorted(map(tuple, o1.one_of_each(table).collect()), key=str) == sorted([rows[0], rows[3], rows[4], rows[5]], key=str)
 
 
@@ -423,6 +423,15 @@ def test_secrets(docs):
     assert "abcd1234" not in red[10].text and red[10].n_chars == len(red[10].text) and red[13].text == ROWS[14][1] and red[5].text is None
 
 
+def test_secret_columns(spark):
+    """Names that clash with working ones, or have dots, pass through; the length follows the text."""
+    rows = [(1, 'some words before token = "zZ9yX8wV7uT6" and after them', "en", "a", 0, "m", 1.5), (2, None, None, None, 7, None, None), (3, "nothing here", "en", "b", 12, "c", 2.5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, `_mask` string, `_c.x` double")
+    got = o5.redact_secrets(table)
+    text = rows[0][1].replace('token = "zZ9yX8wV7uT6', "[SECRET]")
+    assert got.columns == table.columns and Counter(map(tuple, got.collect())) == Counter([(1, text, "en", "a", len(text), "m", 1.5), *rows[1:]])
+
+
 def test_secrets_in_copies(spark):
     """A live value in copies of one text stays live and is masked; one that most owners wrote themselves is an example."""
     words = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
@@ -534,7 +543,7 @@ def test_quality_cases(spark):
     """Nulls everywhere, equal documents, names that clash, a table too small for any group: nothing crashes, good text stays."""
     text = " ".join(f"word{i}" for i in range(80))
     rows = [(1, text, "en", None, 1, "k"), (1, text, "en", None, 1, "k"), (None, text, None, "s", 2, "k"), (2, None, None, None, 3, None), (3, "", "en", "s", 4, "k"), (4, text + " more", "en", "s", 5, "k")]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, gid int, x_words string")
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, gid int, `x.words` string")
     got = Counter((r.doc_id, r.base_failed, r.kept) for r in o8.quality_rules(table).collect())
     assert got == Counter([(1, False, True), (1, False, True), (None, False, True), (2, True, False), (3, True, False), (4, False, True)])
     kept = o8.good_documents(table)
