@@ -61,8 +61,8 @@ class ByteBpe:
                 self.seams.clear()  # a seam may fall to the pair just learnt
             self.ready = r
         self.ready = len(self.table)
-        self.words = bytebpe._Full(lambda w: array("I", self.word(w.encode())).tobytes(), bytebpe.CACHE // 2)
-        self.units = bytebpe.Units(self.unit, bytebpe.CACHE // 2)
+        self.words = bytebpe._Full(lambda w: array("I", self.word(w.encode())).tobytes(), bytebpe.CACHE)
+        self.units = bytebpe.Units(self.unit, bytebpe.CACHE)
 
     ready = -1
 
