@@ -144,7 +144,7 @@ def sets_table(docs: DataFrame, n: int) -> DataFrame:
                 rid += len(size)
                 yield pa.RecordBatch.from_arrays([rids, b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(copy, pa.binary()), pa.array(counts, pa.binary()), pa.array(parity, pa.list_(pa.int64())), pa.array(data, pa.binary())], names=["_rid", "doc_id", "key", "n", "copy", "counts", "parity", "data"])
 
-    return scratch.table(docs.mapInArrow(run, "_rid long, doc_id long, key string, n long, copy binary, counts binary, parity array<long>, data binary"), "jaccard-sets", batch=1024)
+    return scratch.table(docs.mapInArrow(run, "_rid long, doc_id long, key string, n long, copy binary, counts binary, parity array<long>, data binary"), "jaccard-sets", batch=256)
 
 
 def rarity(sets: DataFrame) -> tuple[int, bytes]:
@@ -179,7 +179,7 @@ def rarity(sets: DataFrame) -> tuple[int, bytes]:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(classes.tobytes())], pa.binary())], names=["segment", "counts"])
 
     kind = "segment int, counts binary"
-    with scratch.batches(sets.sparkSession, 512):
+    with scratch.batches(sets.sparkSession, 256):
         rows = held.select("data").coalesce(SKETCHES).mapInArrow(count, kind).repartition(SEGMENTS, "segment").mapInArrow(add, kind).collect()  # SEGMENTS rows, a byte a counter
     parts = {r.segment: zstandard.ZstdDecompressor().decompress(r.counts) for r in rows}
     return bits, b"".join(parts.get(s, bytes(width)) for s in range(SEGMENTS))
@@ -533,7 +533,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, k
     earlier, later = F.max(_lead(percent)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("_rid").over(w).isNotNull()
     some = prefixes(sets, sketch, percent).withColumns({"earlier": earlier, "later": later})
     some = some.filter(F.col("hot") | F.col("earlier") | (_lead(percent) & F.col("later"))).drop("earlier", "later")
-    some = scratch.table(some, "jaccard-lists", batch=512)
+    some = scratch.table(some, "jaccard-lists", batch=256)
     sketch.destroy()
     lists = some.join(_small(moved, moved.count()), "_rid", "left").select("g", F.coalesce("rep", "_rid").alias("rep"), "n", "pos", "hot")
     lists = scratch.table(lists.distinct(), "jaccard-lists")
