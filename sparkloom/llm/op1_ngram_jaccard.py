@@ -403,7 +403,7 @@ def _verified(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def _rows(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "others", "root"])
 
-    return scratch.table(dealt.mapInArrow(run, "rep long, others long, root long"), "jaccard-linked", batch=256)
+    return scratch.table(dealt.mapInArrow(run, "rep long, others long, root long"), "jaccard-linked", batch=64)
 
 
 def _between(lists: DataFrame, groups: DataFrame, n_groups: int, sizes: DataFrame, percent: int) -> DataFrame:
@@ -455,7 +455,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     ok.append(800 * shared >= percent * (len(x) + len(y) - 8 * shared))
                 yield p.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return scratch.table(rows.mapInArrow(run, "a long, b long"), "jaccard-links", batch=256)
+    return scratch.table(rows.mapInArrow(run, "a long, b long"), "jaccard-links", batch=64)
 
 
 #: Links that one task may label: as a dictionary, about 100 MB at most.
