@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_ngram_jaccard, op2_toxicity, op3_mixture_packing, op4_pruned_graph, op5_secret_scans, op6_token_counts, op7_best_fit, op8_quality_rules, op9_byte_bpe, op10_warc, op12_exact_dedup, op13_spelling_variants, scratch
+from . import op1_ngram_jaccard, op2_toxicity, op3_mixture_packing, op4_pruned_graph, op5_secret_scans, op6_token_counts, op7_best_fit, op8_quality_rules, op9_byte_bpe, op10_warc, op11_snapshot_diff, op12_exact_dedup, op13_spelling_variants, scratch
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -58,6 +58,11 @@ def op9_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_byte_bpe.round_trip(_read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op11_snapshot_diff_rekeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return op11_snapshot_diff.snapshot_diff(docs, op11_snapshot_diff.later_snapshot(docs), "doc_id", ["text", "lang", "source"], ["text", "lang"])
+
+
 def op12_exact_dedup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"), scratch.new_path(spark, "index"))
 
@@ -72,7 +77,7 @@ def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     op1_ngram_jaccard_join, op2_toxicity_chain, op3_mixture_packing_pieces, op4_nearest_vectors, op5_secret_scan, op6_token_count, op7_best_fit_packing, op8_quality,
-    op9_byte_bpe_round_trip, op10_warc_bundles, op12_exact_dedup_index, op13_spelling_variants_forms, quality_base_rules,
+    op9_byte_bpe_round_trip, op10_warc_bundles, op11_snapshot_diff_rekeyed, op12_exact_dedup_index, op13_spelling_variants_forms, quality_base_rules,
 )
 
 
@@ -83,6 +88,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard.SQL, "op4_nearest_vectors": op4_pruned_graph.SQL, "op5_secret_scan": op5_secret_scans.SQL, "op10_warc_bundles": op10_warc.SQL,
-        "op12_exact_dedup_index": op12_exact_dedup.SQL, "op13_spelling_variants_forms": op13_spelling_variants.SQL,
+        "op11_snapshot_diff_rekeyed": op11_snapshot_diff.SQL, "op12_exact_dedup_index": op12_exact_dedup.SQL, "op13_spelling_variants_forms": op13_spelling_variants.SQL,
                "quality_base_rules": op8_quality_rules.SQL,
     }
