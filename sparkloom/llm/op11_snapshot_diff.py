@@ -2,8 +2,7 @@
 
 Each snapshot becomes a tree: rows in key order, cut wherever the low bits of a key's hash are zero, so that equal
 stretches are cut alike in both snapshots whatever stands around them. Four bits cut leaves (16 rows in the mean), four
-more each level above, up to the top level, whose cuts (at most about ``TOP``, keys of the earlier snapshot) deal the
-rows to tasks. A leaf holds its rows' keys, digests and short columns; a node, the hash of its children.
+more each level above, up to the top level, whose cuts (at most about ``TOP``) deal the rows to tasks. A leaf holds its rows' keys, digests and short columns; a node, the hash of its children.
 
 ``diff`` descends both trees together, level by level: below a node that has the same keys and hash on both sides
 nothing is compared by hash any more. Its leaves are then verified exactly, row for row, before they count as equal, so a
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from . import scratch, sql_parts
 
 #: Most cuts of the top level (expected), bits that one level cuts by, parts of the key range in which contents are ranked.
-TOP, BITS, PARTS = 4096, 4, 128
+TOP, BITS, PARTS = 4096, 4, 256
 _FIRST = -(2**63)
 
 
@@ -57,8 +56,10 @@ class Shape:
     cuts: list[int]
 
 
-def shape(rows: DataFrame, top: int = TOP) -> Shape:
-    count = rows.filter("k IS NOT NULL").count()
+def shape(old: DataFrame, new: DataFrame, top: int = TOP) -> Shape:
+    """Cuts come from the keys of both snapshots, so that ranges are even in both, wherever new keys lie."""
+    rows = old.select("k").union(new.select("k")).filter("k IS NOT NULL")
+    count = rows.count()
     most = max(BITS, math.ceil(math.log2(max(1, count / top))))
     while True:  # keys would have to be chosen by their hashes to make more
         found = rows.filter(_is_cut(most)).select("k").distinct().limit(4 * top + 1).collect()
@@ -162,7 +163,7 @@ def snapshot_diff(earlier: DataFrame, later: DataFrame, key: str, columns: list[
     ``~``; null for delete). ``key`` is a whole number; ``wide``: text columns compared by their digests."""
     wide = columns[:1] if wide is None else wide
     old, new = (scratch.table(_short(df, key, columns, wide), "rows") for df in (earlier, later))
-    s = shape(old, top)
+    s = shape(old, new, top)
     a, b = tree(old, s), tree(new, s)
     equal = _equal_leaves(a, b)
     left = _rest(a, equal).select("k", "i", *(F.col(c).alias(f"{c}0") for c in ("r", "v", "sha")))

@@ -99,7 +99,7 @@ def test_trees_skip_equal_stretches(spark):
     """One changed row leaves all but its own leaf equal, and a collision of hashes loses nothing."""
     rows = [(k, f"t{k}", "en", "x") for k in range(3000)]
     short = [scratch.table(o11._short(frame(spark, r), "doc_id", ["text", "lang", "source"], ["text"]), "t") for r in (rows, [(k, t + "!" * (k == 1500), a, b) for k, t, a, b in rows])]
-    shape = o11.shape(short[0], 4)
+    shape = o11.shape(*short, 4)
     assert len(shape.bits) == 3 and shape.bits[0] == o11.BITS
     a, b = (o11.tree(s, shape) for s in short)
     equal = o11._equal_leaves(a, b)
