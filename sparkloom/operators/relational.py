@@ -5,30 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str, out: str) -> DataFrame:
-    """The right ``value`` at the last right time not after the left time, per key; null where there is none.
-
-    One shuffle by key and one sort: both sides in one stream, the last right value carried forward.
-    Equal right times take the largest value."""
-    l = left.withColumn("_t", F.col(left_time)).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
-    r = right.groupBy(F.col(by), F.col(right_time).alias("_t")).agg(F.max(value).alias("_v")).withColumn("_side", F.lit(0))
-    w = Window.partitionBy(by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True).withColumn(out, F.last("_v", ignorenulls=True).over(w))
-    return both.filter("_side = 1").drop("_t", "_side", "_v")
-
-
-def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:
-    """Pairs with low <= point < high, by an equi-join on buckets of ``width``; each interval goes to the buckets it meets."""
-    p = points.withColumn("_b", F.floor(F.col(point) / width))
-    i = intervals.withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))
-    return p.join(i, "_b").filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_b")
+from . import parts
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group; Spark prunes on the map side (WindowGroupLimit)."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+    rank = parts.fresh("rank", df)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k).drop(rank)
 
 
 def sum_of_others(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
@@ -40,16 +23,22 @@ def sum_of_others(df: DataFrame, by: list[str], value: str, out: str) -> DataFra
 
 def groups_frame_sum(df: DataFrame, by: list[str], order: str, value: str, preceding: int, out: str) -> DataFrame:
     """A GROUPS frame: the sum over this and ``preceding`` earlier distinct order values."""
-    ranked = df.withColumn("_g", F.dense_rank().over(Window.partitionBy(*by).orderBy(order)))
-    w = Window.partitionBy(*by).orderBy("_g").rangeBetween(-preceding, 0)
-    return ranked.withColumn(out, F.sum(value).over(w)).drop("_g")
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, hot_rows: int) -> DataFrame:
-    """Inner join where a key holds much of the left side: rows of keys with ``hot_rows`` or more are spread over ``salts``
-    tasks, and only those keys' right rows are repeated. For plans in which Spark can't split the partition itself, as under
-    an aggregate."""
-    hot = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows).select(key, F.lit(True).alias("_hot"))
-    l = left.join(hot, key, "left").withColumn("_s", F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(0))
-    r = right.join(hot, key, "left").withColumn("_s", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return l.drop("_hot").join(r.drop("_hot"), [key, "_s"]).drop("_s")
+    group = parts.fresh("group", df)
+    ranked = df.withColumn(group, F.dense_rank().over(Window.partitionBy(*by).orderBy(order)))
+    w = Window.partitionBy(*by).orderBy(group).rangeBetween(-preceding, 0)
+    return ranked.withColumn(out, F.sum(value).over(w)).drop(group)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, rows_per_salt: int = 100_000) -> DataFrame:
+    """Inner join where a key holds much of the left side: rows of such a key are dealt over as many salts as it has
+    ``rows_per_salt``, by their place in the table and not by their values, and its right rows are repeated so often.
+
+    The keys with more than ``rows_per_salt`` rows are few by their definition (rows / ``rows_per_salt``) and go by broadcast,
+    so that the left side is shuffled once, already salted."""
+    hot, salt = (parts.fresh(n, left, right) for n in ("salts", "salt"))
+    heavy = left.groupBy(key).agg(F.count(F.lit(1)).alias(hot)).filter(F.col(hot) > rows_per_salt).select(key, F.ceil(F.col(hot) / rows_per_salt).cast("int").alias(hot))
+    heavy = F.broadcast(heavy)
+    place = F.pmod(F.monotonically_increasing_id(), F.col(hot)).cast("int")
+    l = left.join(heavy, key, "left").withColumn(salt, F.coalesce(place, F.lit(0))).drop(hot)
+    r = right.join(heavy, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(hot), F.lit(1)) - 1))).drop(hot)
+    return l.join(r, [key, salt]).drop(salt)

@@ -14,7 +14,8 @@ from sparkloom.streaming import streams, windows
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.events(spark, sf_dir, "events.parquet")
+    """The events as a stream of four files in order of time, a batch each, so that state passes from batch to batch."""
+    return streams.events(spark, streams.in_files(table(spark, sf_dir, "events"), "ts", 4))
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.finished(streams.first_of(_events(spark, sf_dir), ["user_id", "event_type"])).select("user_id", "event_type")
+    return streams.finished(streams.first_ever(_events(spark, sf_dir), ["user_id", "event_type"])).select("user_id", "event_type")
 
 
 def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +44,9 @@ def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks = _events(spark, sf_dir).filter("event_type = 'click'").select("user_id", F.col("ts").alias("clicked"), F.col("event_id").alias("click"))
-    bought = _events(spark, sf_dir).filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought"), F.col("event_id").alias("purchase"))
+    events = _events(spark, sf_dir)
+    clicks = events.filter("event_type = 'click'").select("user_id", F.col("ts").alias("clicked"), F.col("event_id").alias("click"))
+    bought = events.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought"), F.col("event_id").alias("purchase"))
     return streams.finished(streams.within(clicks, bought, "user_id", "clicked", "bought", "2 HOURS").select("click", "purchase"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import scalars
 from sparkloom.operators import relational
 from sparkloom.plans.frames import FRAMES, ORACLE
+from sparkloom.plans.ordered import ORACLE as ORDER_SQL
+from sparkloom.plans.ordered import ORDERED
 from sparkloom.plans.sql_texts import TEXTS
 from sparkloom.sources.tables import register, table
 from sparkloom.streaming import windows
@@ -66,18 +68,6 @@ def revenue_by_nation_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("n_name", "order_month").agg(F.sum("r").cast("decimal(38,4)").alias("revenue"))
 
 
-def asof_last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("k"), "ts")
-    p = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("k"), F.col("ts").alias("pts"), "event_id")
-    return relational.asof_join(e, p, "k", "ts", "pts", "event_id", "last_purchase").select("event_id", "last_purchase")
-
-
-def range_join_price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 4).alias("lo"), (F.col("n_nationkey") * 4 + 6).alias("hi"))
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    return relational.range_join(parts, bands, "p_size", "lo", "hi", 8).select("p_partkey", "n_nationkey")
-
-
 def top_orders_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return relational.top_k(o, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 2)
@@ -95,7 +85,7 @@ def groups_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return relational.salted_join(e.select("event_id", "event_type"), e.groupBy("event_type").agg(F.count("*").alias("n")), "event_type", 8, 100).select("event_id", "n")
+    return relational.salted_join(e.select("event_id", "event_type"), e.groupBy("event_type").agg(F.count("*").alias("n")), "event_type", 20_000).select("event_id", "n")
 
 
 def pivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +115,7 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FRAMES = (
-    revenue_by_nation_month, asof_last_order, range_join_price_bands, top_orders_per_customer, exclude_current_row, groups_frame,
+    revenue_by_nation_month, top_orders_per_customer, exclude_current_row, groups_frame,
     salted_join, pivot_counts, unpivot_balances, json_field, array_dot, tumbling_window, session_windows,
 )
 
@@ -133,9 +123,6 @@ _ORACLE = {
     "revenue_by_nation_month": """SELECT n_name, CAST(date_trunc('month', o_orderdate) AS DATE) AS order_month,
         CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2)) * (CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(3,2)))) AS DECIMAL(38,4)) AS revenue
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""",
-    "asof_last_order": """SELECT e.event_id, p.event_id AS last_purchase FROM events e ASOF LEFT JOIN
-        (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts""",
-    "range_join_price_bands": "SELECT p_partkey, n_nationkey FROM part JOIN nation ON p_size >= n_nationkey * 4 AND p_size < n_nationkey * 4 + 6",
     "top_orders_per_customer": """SELECT o_custkey, o_orderkey, o_totalprice FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2""",
     "exclude_current_row": """SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ROWS BETWEEN UNBOUNDED PRECEDING
@@ -159,10 +146,10 @@ _ORACLE = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     texts = {name: _sql(*q) for name, q in SHARED.items()} | {name: _sql(tables, text) for name, (tables, text, _) in TEXTS.items()}
-    return texts | {f.__name__: f for f in (*_FRAMES, *FRAMES)}
+    return texts | {f.__name__: f for f in (*_FRAMES, *FRAMES, *ORDERED)}
 
 
 def oracle_sql() -> dict[str, str]:
     shared = {name: text.replace("TIMESTAMP_NTZ", "TIMESTAMP") for name, (_, text) in SHARED.items()} | {name: other or text for name, (_, text, other) in TEXTS.items()}
     streams = {"stream_tumbling": _ORACLE["tumbling_window"], "stream_sessions": _ORACLE["session_windows"], "stream_sliding": shared["sliding_window"]}
-    return shared | _ORACLE | ORACLE | streams
+    return shared | _ORACLE | ORACLE | ORDER_SQL | streams

@@ -12,6 +12,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sparkloom.sources import shared
 
 
+def in_files(events: DataFrame, time: str, files: int) -> str:
+    """The table as ``files`` files in order of ``time``, one written after the other, so that a file stream takes them in
+    that order; a row without a time comes in the first. For replays of what is at rest."""
+    spark = events.sparkSession
+    path = shared.new_path(spark, "replay")
+    seconds = F.col(time).cast("timestamp").cast("long")
+    low, high = events.agg(F.min(seconds), F.max(seconds)).head()
+    part = F.floor((seconds - (low or 0)) * files / max(1, (high or 0) - (low or 0) + 1))
+    for k in range(files):
+        events.filter(F.coalesce(part, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def events(spark: SparkSession, folder: str, pattern: str = "*.parquet", lateness: str = "1 hour") -> DataFrame:
     """A file stream, one file a batch, whose ``ts`` carries a watermark (which asks for a timestamp with a zone)."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -42,6 +55,11 @@ def first_of(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(keys)
 
 
+def first_ever(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key, however long ago it came; the state holds every key there has been."""
+    return events.dropDuplicates(keys)
+
+
 def within(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, width: str) -> DataFrame:
     """Pairs of one key whose right row comes at most ``width`` after the left one. The bound lets both states be dropped."""
     near = (F.col(f"l.{key}") == F.col(f"r.{key}")) & F.expr(f"r.{right_time} >= l.{left_time} AND r.{right_time} <= l.{left_time} + INTERVAL {width}")

@@ -6,7 +6,7 @@ from collections import Counter
 
 import duckdb
 
-NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+NAMES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps").split()
 
 
 def plain(v, digits=9):

@@ -47,19 +47,6 @@ def test_scan_is_pruned(spark):
     assert "PartitionFilters: [isnotnull(o_orderstatus" in plan_of(read(spark, path, "parquet").filter("o_orderstatus = 'F'"))
 
 
-def test_range_join_has_no_product(spark):
-    p, b = table(spark, SF, "part").select("p_partkey", "p_size"), table(spark, SF, "nation").select(F.col("n_nationkey").alias("lo"), (F.col("n_nationkey") + 3).alias("hi"))
-    assert "NestedLoop" not in plan_of(relational.range_join(p, b, "p_size", "lo", "hi", 4)) and "Cartesian" not in plan_of(relational.range_join(p, b, "p_size", "lo", "hi", 4))
-
-
-def test_asof_ties_and_nulls(spark):
-    at = lambda h: datetime.datetime(2024, 1, 1, h)
-    left = spark.createDataFrame([(1, "a", at(1)), (2, "a", at(5)), (3, "b", at(5)), (4, None, at(5))], "id int, k string, t timestamp_ntz")
-    right = spark.createDataFrame([("a", at(2), 7), ("a", at(2), 9), ("a", at(5), 1), ("b", at(6), 3)], "k string, rt timestamp_ntz, v int")
-    got = relational.asof_join(left, right, "k", "t", "rt", "v", "last").collect()
-    assert {r.id: r.last for r in got} == {1: None, 2: 1, 3: None, 4: None}
-
-
 def _event(i, hour, user=1, kind="view"):
     return (i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=hour), user, kind, 1.0, None)
 
@@ -111,6 +98,24 @@ def test_stream_sliding_dedup_and_join(spark):
     assert seen == [3, 3]
 
 
+def test_stream_distinct_over_batches(spark):
+    """Keys that come again long after the watermark: first_of forgets them, first_ever doesn't."""
+    path = shared.new_path(spark, "again")
+    _feed(spark, path, *([_event(4 * b + i, 100 * b + i, i) for i in range(4)] for b in range(4)))
+    e = streams.events(spark, path)
+    assert sorted(r.user_id for r in streams.finished(streams.first_ever(e, ["user_id"])).collect()) == [0, 1, 2, 3]
+    assert streams.finished(streams.first_of(e, ["user_id"])).count() > 4
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, 5, 1, 2), (1, 4, 3, 4), (2, 9, 5, 6)], "k int, v int, rank int, group int")
+    assert sorted(tuple(r) for r in relational.top_k(df, ["k"], [F.col("v").desc()], 1).collect()) == [(1, 5, 1, 2), (2, 9, 5, 6)]
+    assert sorted(tuple(r) for r in relational.groups_frame_sum(df, ["k"], "v", "v", 1, "s").collect()) == [(1, 4, 3, 4, 4), (1, 5, 1, 2, 9), (2, 9, 5, 6, 9)]
+    many = spark.createDataFrame([(1, 7, 8)] * 50 + [(2, 7, 8), (None, 7, 8)], "k int, salt int, salts int")
+    got = relational.salted_join(many, spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "k int, name string"), "k", 10)
+    assert got.columns == ["k", "salt", "salts", "name"] and got.groupBy("name").count().collect() and {tuple(r) for r in got.groupBy("name").count().collect()} == {("a", 50), ("b", 1)}
+
+
 def test_python_functions_with_nulls(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 2, 4.0), (1, 3, None), (1, 4, 8.0), (1, 5, None), (2, 1, None)], "k int, o int, v double")
     assert sorted((r.k, r.o, r.f) for r in py.interpolated(df, "k", "o", "v", "f").collect() if r.f is not None) == [(1, 2, 4.0), (1, 3, 6.0), (1, 4, 8.0)]
