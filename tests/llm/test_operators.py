@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,20 +374,35 @@ def test_nearest_in_groups(spark):
         assert by[q] == [(i, -s) for s, i in want], q
 
 
-def test_nearest_in_full_shards(spark):
-    """One shard of the default size, normal and clustered vectors: recall against brute force."""
+def _clusters(rng, count, size, dim, noise):
+    centres = rng.normal(size=(count, dim))
+    return np.repeat(centres / np.linalg.norm(centres, axis=1)[:, None], size, 0) + noise * rng.normal(size=(count * size, dim))
+
+
+@pytest.mark.parametrize("shape", [None, (20, 500, 64, 0.05), (10, 500, 256, 0.02), (150, 60, 32, 0.08)], ids=str)
+def test_nearest_in_full_shards(spark, shape):
+    """One shard of normal vectors, or of clusters much larger than the beam: recall against brute force."""
     rng = np.random.default_rng(12)
-    centres = rng.normal(size=(150, 32))
-    for vectors in (rng.normal(size=(10_000, 32)), centres[rng.integers(0, 150, 10_000)] + 0.4 * rng.normal(size=(10_000, 32))):
-        x = vectors.astype(np.float32)
-        table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
-        by = defaultdict(set)
-        for r in o4.nearest(table, "_id % 50 = 0", min_shards=1).collect():
-            by[r.query_id].add(r.vec_id)
-        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
-        s = u[::50] @ u.T
-        s[np.arange(200), np.arange(0, 10_000, 50)] = -9
-        assert np.mean([len(by[50 * q] & {*np.argsort(-s[q])[:5].tolist()}) / 5 for q in range(200)]) >= 0.97
+    x = (rng.normal(size=(10_000, 32)) if shape is None else rng.permutation(_clusters(rng, *shape))).astype(np.float32)
+    flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": flat}))
+    by = defaultdict(set)
+    for r in o4.nearest(table, "_id % 50 = 0", min_shards=1).collect():
+        by[r.query_id].add(r.vec_id)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    queries = np.arange(0, len(x), 50)
+    s = u[queries] @ u.T
+    s[np.arange(len(queries)), queries] = -9
+    assert np.mean([len(by[q] & {*np.argsort(-s[k])[:5].tolist()}) / 5 for k, q in enumerate(queries.tolist())]) >= 0.97
+
+
+def test_small_shards_are_searched():
+    """A graph of few nodes is built by searches from its entries like any other."""
+    x = np.random.default_rng(2).normal(size=(83, 8))
+    graph = o4.Graph(x / np.linalg.norm(x, axis=1)[:, None])
+    assert len(graph.entries) == 18 and (graph.out >= 0).any(1).all()
+    found, _ = graph.search(graph.x, 48)
+    assert np.mean([i in row[:1] for i, row in enumerate(found)]) == 1
 
 
 def test_nearest_cases(spark):
