@@ -2,8 +2,9 @@
 
 Patterns find base spans in every whole text, each kind leftmost and without overlaps; a fourth, broader
 pattern finds opaque strings. Every candidate value is hashed, and the hashes are aggregated over the whole
-corpus by distinct repositories and distinct owners. A value is a copied example where the share ``WIDE`` of
-the corpus' owners (``min_owners`` at least) and of its repositories hold it in passages of their own; any
+corpus by distinct repositories and distinct owners. A value is a copied example where enough owners and enough
+repositories hold it in passages of their own: ``min_owners`` at least, and the base-two logarithm of the corpus' owners, so
+that chance meetings of a growing corpus don't reach it while a value that hundreds of thousands wrote always does; any
 other one that looks live (letters and digits, enough different characters, no placeholder word) is a
 credential of its owners, and its place is added as a span of kind ``live``. Base spans always stay.
 
@@ -42,8 +43,8 @@ KINDS = {
 }
 #: Characters on each side that tell passages apart, and the least of both sides together that do.
 AROUND, LEAST_AROUND = 32, 16
-#: Shares of all owners and all repositories; the second is more than one of four languages has.
-WIDE = (1 / 2, 1 / 3)
+#: Owners, and repositories, that must hold a value in passages of their own before it can be an example.
+MIN_OWNERS = 5
 BASE = ("assign", "access", "hex")
 LIVE = "live"
 #: Distinct values whose frequencies may be broadcast: at about 120 bytes each, 60 MB.
@@ -97,10 +98,11 @@ def candidates(scanned: DataFrame, min_owners: int) -> DataFrame:
     freq = held.groupBy("hash").agg(F.countDistinct("_owner").alias("n_owners"), F.countDistinct("_repo").alias("n_repos"))
     one = held.groupBy("hash", "passage").agg(F.min(F.struct(F.md5(F.concat("passage", "_owner", "_repo")), "_owner", "_repo")).alias("o")).select("hash", "o._owner", "o._repo")
     freq = freq.join(one.groupBy("hash").agg(F.countDistinct("_owner").alias("own_owners"), F.countDistinct("_repo").alias("own_repos")), "hash")
-    owners, repos = scanned.agg(F.countDistinct("_owner"), F.countDistinct("_repo")).head()
+    (owners,) = scanned.agg(F.countDistinct("_owner")).head()
+    least_held = max(min_owners, (owners - 1).bit_length())
     freq = scratch.table(freq, "secret-owners")
     rows = rows.join(F.broadcast(freq) if freq.count() <= BROADCAST_ROWS else freq, "hash", "left")
-    wide = (F.col("own_owners") >= max(min_owners, WIDE[0] * owners)) & (F.col("own_repos") >= WIDE[1] * repos)
+    wide = (F.col("own_owners") >= least_held) & (F.col("own_repos") >= least_held)
     kind = F.when(wide, "example").when(F.col("ok") & looks_live(F.col("value")), LIVE).otherwise("other")
     return rows.select("_rid", "kind", "start", "end", "v_start", "ok", "n_owners", "n_repos", kind.alias("class"))
 
@@ -132,7 +134,7 @@ def _joined(spans: Column) -> Column:
 
 
 def secret_scan(
-    docs: DataFrame, min_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")
+    docs: DataFrame, min_owners: int = MIN_OWNERS, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")
 ) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans; and n_live, n_example, max_owners, max_repos."""
     scanned = scan(docs, id_col, text_col, owner_col, repo_cols)
@@ -146,7 +148,7 @@ def secret_scan(
 
 
 def redact_secrets(
-    docs: DataFrame, mask: str = "[SECRET]", min_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
+    docs: DataFrame, mask: str = "[SECRET]", min_owners: int = MIN_OWNERS, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
     repo_cols: tuple[str, ...] = ("source", "lang"), length_col: str | None = "n_chars",
 ) -> DataFrame:
     """The documents with every live span and every base span that is no copied example (as above) masked, and the
@@ -180,7 +182,7 @@ freq AS (SELECT value, count(DISTINCT own) AS n_owners, count(DISTINCT repo) AS
 one AS (SELECT value, passage, arg_min(own, md5(passage || own || repo)) AS own, arg_min(repo, md5(passage || own || repo)) AS repo FROM held GROUP BY value, passage),
 wide AS (SELECT value, count(DISTINCT own) AS o, count(DISTINCT repo) AS q FROM one GROUP BY value),
 c AS (SELECT p.*, n_owners, n_repos, stop - n AS start, stop - length(p.value) AS v_start,
-    coalesce(o >= greatest(3, {WIDE[0]!r} * (SELECT count(DISTINCT own) FROM t)) AND q >= {WIDE[1]!r} * (SELECT count(DISTINCT repo) FROM t), false) AS example,
+    coalesce(least(o, q) >= greatest({MIN_OWNERS}, ceil(log2(greatest(1, (SELECT count(DISTINCT own) FROM t))))), false) AS example,
     ok AND regexp_matches(p.value, '[0-9]') AND regexp_matches(p.value, '[A-Za-z]') AND len(list_distinct(string_split(p.value, ''))) >= 10 AND NOT regexp_matches(lower(p.value), '{PLACEHOLDERS}') AS looks
     FROM p LEFT JOIN freq USING (value) LEFT JOIN wide USING (value)),
 spans AS (SELECT r, start AS a, ord AS o, stop AS z, kind || ':' || start || ':' || stop AS s, true AS base FROM c WHERE ok AND kind IN ('assign', 'access', 'hex')

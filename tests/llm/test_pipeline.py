@@ -105,12 +105,12 @@ def test_secrets_stage(stages):
                     passage = (left, right) if len(left) + len(right) >= 16 else (r.source, r.lang)
                     holders[v][passage].add((r.source, r.lang))
                     found.append((r.doc_id, k, a, z, v))
-    owners, repos = {r.source for r in before}, {(r.source, r.lang) for r in before}
+    owners = {r.source for r in before}
     assert all(len(h) == 1 for p in holders.values() for h in p.values())  # else which holder counts would go by a digest
 
     def wide(v):
         own = [h for p in holders[v].values() for h in p]
-        return len({o for o, _ in own}) >= max(3, len(owners) / 2) and len({*own}) >= len(repos) / 3
+        return min(len({o for o, _ in own}), len({*own})) >= max(5, (len(owners) - 1).bit_length())
 
     masks = defaultdict(list)
     for doc, k, a, z, v in found:
