@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import scalars
 from sparkloom.operators import relational
 from sparkloom.plans.frames import FRAMES, ORACLE
+from sparkloom.plans.mechanisms import MECHANISMS
+from sparkloom.plans.mechanisms import ORACLE as MECHANISM_SQL
 from sparkloom.plans.ordered import ORACLE as ORDER_SQL
 from sparkloom.plans.ordered import ORDERED
 from sparkloom.plans.sql_texts import TEXTS
@@ -146,10 +148,10 @@ _ORACLE = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     texts = {name: _sql(*q) for name, q in SHARED.items()} | {name: _sql(tables, text) for name, (tables, text, _) in TEXTS.items()}
-    return texts | {f.__name__: f for f in (*_FRAMES, *FRAMES, *ORDERED)}
+    return texts | {f.__name__: f for f in (*_FRAMES, *FRAMES, *ORDERED, *MECHANISMS)}
 
 
 def oracle_sql() -> dict[str, str]:
     shared = {name: text.replace("TIMESTAMP_NTZ", "TIMESTAMP") for name, (_, text) in SHARED.items()} | {name: other or text for name, (_, text, other) in TEXTS.items()}
     streams = {"stream_tumbling": _ORACLE["tumbling_window"], "stream_sessions": _ORACLE["session_windows"], "stream_sliding": shared["sliding_window"]}
-    return shared | _ORACLE | ORACLE | ORDER_SQL | streams
+    return shared | _ORACLE | ORACLE | ORDER_SQL | MECHANISM_SQL | streams

@@ -10,6 +10,13 @@ from pyspark.sql import SparkSession
 _OWN: list[str] = []
 
 
+def store(uri: str):
+    """The pyarrow file system of a full address, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new address below ``spark.checkpoint.dir`` (or the context's checkpoint directory). Only a session of one machine may
     have neither; it uses a folder of this process."""

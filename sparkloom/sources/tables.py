@@ -24,3 +24,11 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str
 def read(spark: SparkSession, path: str, fmt: str, schema=None, **options) -> DataFrame:
     r = spark.read.format(fmt).options(**options)
     return (r.schema(schema) if schema is not None else r).load(path)
+
+
+def bucketed(df: DataFrame, name: str, path: str, buckets: int, keys: list[str]) -> DataFrame:
+    """A table kept in ``buckets`` by ``keys``, sorted within each, at ``path``: joins and aggregates on the keys of tables with
+    the same buckets need no shuffle. Rows are dealt to their buckets first, so each is one file."""
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
