@@ -6,9 +6,11 @@ a link's models for each fold see the other folds only, vocabulary included, so
 earlier one says about texts it hasn't seen. A text's fold is the least hash of its words, so copies and nearly all
 near copies share one. When scoring, the links trained on all of the sample are used.
 
-Training reads a sample of labelled documents of ``sample`` rows at most in expectation (all, where there
-are fewer labels), chosen by a hash of the id; it is the one bounded part, and goes to one task once the scan, which
-keeps its own tasks, has found it. All documents are scored whole.
+Training reads a sample of labelled ids, ``sample`` at most in expectation (all, where there are fewer labels), chosen by
+a hash of the id; it is the one bounded part. The scan, which keeps its own tasks, turns the sampled texts into their
+distinct words, and of several texts of one id one stays (the least digest of its words), before they go to one task.
+A link looks at ``features`` words at most, the most telling ones, and only at words of ``min_rows`` sampled texts and a
+400th of them. All documents are scored whole.
 The flag is raised where the last link's probability reaches a threshold that is set on out-of-fold
 predictions: the lowest one with the wanted precision.
 
@@ -93,11 +95,11 @@ def fit_logistic(x: Csr, dense: np.ndarray, y: np.ndarray, use: np.ndarray, l2:
 class Words:
     """The texts' words as numbers, each word kept once."""
 
-    def __init__(self, texts: list[str | None], folds: int):
+    def __init__(self, texts: list[str | None | list[str]], folds: int):
         number: dict[str, int] = {}
         self.rows, self.fold = [], np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
-            own = words(t)
+            own = set(t) if isinstance(t, (list, np.ndarray)) else words(t)
             self.fold[k] = fold_of(own, folds)
             self.rows.append(np.array(sorted(number.setdefault(w, len(number)) for w in own), np.int32))
         self.names = list(number)
@@ -162,24 +164,33 @@ def predict(model: dict, text: str | None) -> tuple[list[float], bool]:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int, folds: int = 3, features: int = 2000, min_rows: int = 5, l2: float = 1.0, steps: int = 150, precision: float = 0.99) -> dict | None:
-    """``docs``: _id, _text. ``labels``: _id and a 0/1 column per category. One task trains on the bounded sample and
-    gives back the model alone."""
+    """``docs``: _id, _text. ``labels``: _id and a 0/1 column per category. One task trains on the words of the bounded sample,
+    a row for each id, and gives back the model alone."""
     n = labels.count()
     some = labels.filter(F.pmod(F.xxhash64("_id"), F.lit(max(n, 1))) < sample)
     own = docs.join(F.broadcast(some), "_id").select("_id", "_text", *categories)  # ``sample`` labels at most, in expectation
 
+    def to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.starts("op2")
+        for b in batches:
+            sets = pa.array([sorted(words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), sets, *b.columns[2:]], names=["_id", "words", *categories])
+
+    sets = own.mapInArrow(to_words, "_id long, words array<string>, " + ", ".join(f"`{c}` int" for c in categories))
+    one = sets.groupBy("_id").agg(F.min(F.struct(F.xxhash64("words").alias("h"), "words", *categories)).alias("o")).select("_id", "o.words", *(f"o.{c}" for c in categories))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker.starts("op2")
         got = [*frames]
         model = None
         if got:
-            d = pd.concat(got).drop_duplicates().sort_values(["_id", "_text"])
-            model = train_chain(d["_text"].tolist(), d[list(categories)].to_numpy(np.int64), folds, features, min_rows, l2, steps, precision)
+            d = pd.concat(got).sort_values("_id")
+            model = train_chain(d["words"].tolist(), d[list(categories)].to_numpy(np.int64), folds, features, min_rows, l2, steps, precision)
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
         got = d = model = None
         worker.trim()
 
-    rows = own.repartition(1).mapInPandas(run, "model binary").collect()  # the model alone; a shuffle, so that the scan keeps its tasks
+    rows = one.repartition(1).mapInPandas(run, "model binary").collect()  # the model alone
     return pickle.loads(rows[0].model) if rows else None
 
 
