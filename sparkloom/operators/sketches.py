@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: log2 of the slots of hll and of the entries of theta, and kll's width.
 SLOTS, ENTRIES, WIDTH = 12, 14, 200
-#: Two standard errors of each estimate, as a share (of ranks for kll). Below its entries theta is exact.
-HLL_BOUND, THETA_BOUND, KLL_BOUND = 2 * 1.04 / 2 ** (SLOTS / 2), 2 / 2 ** (ENTRIES / 2), 2 * 0.0133
+#: Three standard errors of each estimate, as a share (of ranks for kll). Below its entries theta is exact.
+HLL_BOUND, THETA_BOUND, KLL_BOUND = 3 * 1.04 / 2 ** (SLOTS / 2), 3 / 2 ** (ENTRIES / 2), 0.02
 
 
 def daily(df: DataFrame, by: list[str], time: str, item: str, value: str) -> DataFrame:

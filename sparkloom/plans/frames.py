@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import python_functions as py
+from sparkloom.operators import sampling
 from sparkloom.sources import python_source, shared
 from sparkloom.sources.tables import read, table, write
 from sparkloom.streaming import streams, windows
@@ -101,11 +102,8 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_is_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampling is the feature: the same seed gives the same rows, about the share that was asked for."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
-    a, b = o.sample(0.1, 7), o.sample(0.1, 7)
-    counts = a.exceptAll(b).agg(F.count("*").alias("other")).crossJoin(a.agg(F.count("*").alias("n"))).crossJoin(o.agg(F.count("*").alias("of")))
-    return counts.select("other", F.expr("abs(n - 0.1 * of) < 0.02 * of").alias("near"))
+    """A tenth of the orders, by a hash of the key: the same rows at every run, in any engine."""
+    return table(spark, sf_dir, "orders").select("o_orderkey").filter(sampling.share_of_one(F.col("o_orderkey"), 7) <= 0.1)
 
 
 def fill_and_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,26 +112,17 @@ def fill_and_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pandas_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", py.clipped("p_retailprice", F.lit(920.0), F.lit(980.0)).alias("price"))
+    return table(spark, sf_dir, "clients").select("client_id", "updated_at", py.without_accents("name").alias("plain"))
 
 
-def pandas_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(py.trimmed_mean(F.col("p_size").cast("double")), 6).alias("m"))
+def pandas_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near a client's name is to the mailbox it signs with."""
+    c = table(spark, sf_dir, "clients").select("client_id", "updated_at", F.lower("name").alias("name"), F.substring_index("email", "@", 1).alias("box"))
+    return c.select("client_id", "updated_at", F.round(py.edit_share(py.without_accents("name"), py.without_accents("box")), 9).alias("near"))
 
 
-def pandas_grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 != 1, F.col("event_id").cast("double")).alias("v"))
-    return py.interpolated(e, "user_id", "event_id", "v", "filled").select("event_id", F.round("filled", 6).alias("filled"))
-
-
-def pandas_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.lit(1).alias("v"))
-    return py.cogrouped_gap(c, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.lit(2).alias("v")), "k", "v", "gap")
-
-
-def pandas_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return py.numbered_batches(table(spark, sf_dir, "part"), "p_name")
+def arrow_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return py.resampled(table(spark, sf_dir, "clicks"), 900, "ts", "value", "click_id")
 
 
 def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +139,7 @@ def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAMES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     stream_tumbling, stream_sliding, stream_sessions, stream_distinct, stream_static_join, stream_stream_join, stream_state, files_orc, files_json, files_csv, files_xml, files_text,
-    files_partitioned, files_python_source, union_by_name, sample_is_stable, fill_and_replace, pandas_scalar, pandas_aggregate, pandas_grouped_map, pandas_cogroup, pandas_batches,
+    files_partitioned, files_python_source, union_by_name, sample_is_stable, fill_and_replace, pandas_scalar, pandas_two_columns, arrow_batches,
     table_function, sql_function,
 )
 
@@ -168,16 +157,12 @@ ORACLE = {
     "files_partitioned": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40",
     "files_python_source": "SELECT n_nationkey AS id, n_regionkey AS region FROM nation",
     "union_by_name": "SELECT c_custkey, c_nationkey AS nation, NULL::BIGINT AS s_suppkey FROM customer UNION ALL BY NAME SELECT s_nationkey AS nation, s_suppkey FROM supplier",
-    "sample_is_stable": "SELECT 0::BIGINT AS other, true AS near",
+    "sample_is_stable": "SELECT o_orderkey FROM orders WHERE (CAST('0x' || substr(md5('7:' || o_orderkey), 1, 13) AS BIGINT) + 1) / 4503599627370496.0::DOUBLE <= 0.1::DOUBLE",
     "fill_and_replace": """SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'none' WHEN 'F' THEN 'done' ELSE o_orderstatus END AS status, o_custkey AS cust FROM orders WHERE o_custkey <> 5""",
-    "pandas_scalar": "SELECT p_partkey, least(greatest(p_retailprice, 920.0::DOUBLE), 980.0::DOUBLE) AS price FROM part",
-    "pandas_aggregate": "SELECT p_brand, round(CAST(sum(p_size) - min(p_size) - max(p_size) AS DOUBLE) / (count(*) - 2), 6) AS m FROM part GROUP BY p_brand",
-    "pandas_grouped_map": """SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN after IS NULL OR before IS NULL THEN NULL ELSE before + (after - before) * (i - bi) / (ai - bi) END, 6) AS filled
-        FROM (SELECT *, last_value(v IGNORE NULLS) OVER u AS before, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER u AS bi, first_value(v IGNORE NULLS) OVER d AS after, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER d AS ai
-        FROM (SELECT event_id, user_id, CASE WHEN event_id % 3 <> 1 THEN event_id::DOUBLE END AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
-        WINDOW u AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), d AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
-    "pandas_cogroup": "SELECT k, CAST(sum(v) AS BIGINT) AS gap FROM (SELECT c_nationkey AS k, 1 AS v FROM customer UNION ALL SELECT s_nationkey, -2 FROM supplier) GROUP BY k",
-    "pandas_batches": "SELECT p_name, length(p_name) AS n FROM part",
+    "pandas_scalar": "SELECT client_id, updated_at, strip_accents(name) AS plain FROM clients",
+    "pandas_two_columns": "SELECT client_id, updated_at, round(jaro_similarity(strip_accents(lower(name)), strip_accents(split_part(email, '@', 1))), 9) AS near FROM clients",
+    "arrow_batches": """SELECT click_id, CAST(epoch_us(ts) // 900000000 AS BIGINT) AS step, CASE WHEN value = 0 THEN 0 ELSE value / pow(2, e) END AS fraction, CASE WHEN value = 0 THEN 0 ELSE e END AS exponent
+        FROM (SELECT click_id, ts, value, CAST(floor(log2(nullif(abs(value), 0))) AS INT) + 1 AS e FROM clicks)""",
     "table_function": "SELECT p_partkey, words[i] AS word, CAST(i - 1 AS INT) AS at FROM (SELECT p_partkey, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT p_partkey, [p_brand, 'of', p_type] AS words FROM part))",
     "sql_function": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem",
 }

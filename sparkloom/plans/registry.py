@@ -49,7 +49,9 @@ SHARED: dict[str, tuple[list[str], str]] = {
     "strings": (["customer"], """SELECT c_custkey, upper(c_mktsegment) AS u, substring(c_name, 1, 8) AS s, replace(c_name, '#', '-') AS r,
         trim(c_name) AS t, CAST(length(c_name) AS BIGINT) AS n FROM customer"""),
     "scalar_subquery": (["part"], "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.02 FROM part)"),
-    "recursive_cte": (["region"], "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t"),
+    "recursive_cte": (["clients"], """WITH RECURSIVE up(client_id, above, depth) AS (SELECT client_id, master_id, 1 FROM clients WHERE client_id <> master_id
+        UNION ALL SELECT u.client_id, c.master_id, u.depth + 1 FROM up u JOIN clients c ON u.above = c.client_id WHERE c.client_id <> c.master_id AND u.depth < 20)
+        SELECT client_id, above, depth FROM up"""),
 }
 
 

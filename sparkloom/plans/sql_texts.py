@@ -34,23 +34,23 @@ TEXTS: dict[str, tuple[list[str], str, str | None]] = {
     "window_range_interval": (["events"], """SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM events""", None),
     "window_share": (["part"], """SELECT p_partkey, round(p_retailprice / sum(p_retailprice) OVER (PARTITION BY p_brand), 9) AS share, round(avg(p_size) OVER (PARTITION BY p_type), 6) AS m FROM part""", None),
     # joins and subqueries
-    "join_right": (["orders", "lineitem"], "SELECT l_linenumber, o_orderkey FROM lineitem RIGHT JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 7 = 0", None),
+    "join_right": (["orders", "lineitem"], "SELECT l_linenumber, o_orderkey FROM lineitem RIGHT JOIN orders ON l_orderkey = o_orderkey", None),
     "join_cross": (["region", "nation"], "SELECT r_name, n_name FROM region CROSS JOIN nation", None),
     "join_theta": (["supplier", "nation"], "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_suppkey % 25 < n_nationkey AND s_acctbal > n_nationkey * 300", None),
     "join_using_natural": (["supplier", "nation"], "SELECT n_nationkey, s_suppkey FROM nation JOIN (SELECT s_nationkey AS n_nationkey, s_suppkey FROM supplier) s USING (n_nationkey)", None),
-    "join_lateral": (["customer", "orders"], """SELECT c_custkey, top FROM customer, LATERAL (SELECT max(o_totalprice) AS top FROM orders WHERE o_custkey = c_custkey) t WHERE c_custkey < 200""", None),
+    "join_lateral": (["customer", "orders"], """SELECT c_custkey, top FROM customer, LATERAL (SELECT max(o_totalprice) AS top FROM orders WHERE o_custkey = c_custkey) t""", None),
     "join_null_safe": (["nation", "region"], "SELECT a.n_nationkey, b.r_regionkey FROM (SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation) a JOIN (SELECT r_regionkey, nullif(r_regionkey, 2) AS k FROM region) b ON a.k <=> b.k",
         "SELECT a.n_nationkey, b.r_regionkey FROM (SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation) a JOIN (SELECT r_regionkey, nullif(r_regionkey, 2) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k"),
     "not_in_with_nulls": (["nation", "region"], """SELECT 'a null in the list' AS kind, CAST(count(*) AS BIGINT) AS n FROM nation WHERE n_regionkey NOT IN (SELECT nullif(r_regionkey, 3) FROM region WHERE r_regionkey IN (1, 3))
         UNION ALL SELECT 'none', CAST(count(*) AS BIGINT) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 3)
         UNION ALL SELECT 'a null on the left', CAST(count(*) AS BIGINT) FROM nation WHERE nullif(n_regionkey, 0) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 3)""", None),
-    "correlated_subquery": (["part", "lineitem"], """SELECT p_partkey, (SELECT CAST(count(*) AS BIGINT) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40) AS big FROM part WHERE p_size < 5""", None),
+    "correlated_subquery": (["part", "lineitem"], """SELECT p_partkey, (SELECT CAST(count(*) AS BIGINT) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40) AS big FROM part""", None),
     "common_table_expressions": (["orders"], """WITH y AS (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY o_custkey), z AS (SELECT avg(m) AS a FROM y)
         SELECT o_custkey, m FROM y, z WHERE m > a * 1.05""", None),
     # sets and rows
     "intersect_all": (["customer", "supplier"], "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", None),
     "except_all": (["customer", "supplier"], "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", None),
-    "values_rows": ([], "SELECT a, b FROM VALUES (1, 'x'), (2, NULL), (NULL, 'z') AS t(a, b)", "SELECT a, b FROM (VALUES (1, 'x'), (2, NULL), (NULL, 'z')) AS t(a, b)"),
+    "values_rows": (["part"], "SELECT p_partkey, b FROM part LEFT JOIN (VALUES (1, 'x'), (2, NULL), (NULL, 'z')) AS t(a, b) ON p_size = a", None),
     "sort_nulls": (["orders"], "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders ORDER BY s NULLS LAST, o_orderkey DESC LIMIT 30 OFFSET 10", None),
     "pipe_syntax": (["orders"], """FROM orders |> WHERE o_totalprice > 100000 |> AGGREGATE count(*) AS n GROUP BY o_orderpriority |> WHERE n > 1""",
         "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderpriority HAVING count(*) > 1"),
