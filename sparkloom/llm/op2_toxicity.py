@@ -217,9 +217,10 @@ def toxicity(
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             worker.starts("op2")
             for b in batches:
-                yield b.filter(pa.array([not flag for _, flag in judge(b.column(text_col).to_pylist())], pa.bool_()))
+                yield b.filter(pa.array([not flag for _, flag in judge(b.column(at).to_pylist())], pa.bool_()))
 
-        return docs.mapInArrow(clean, docs.schema)
+        at, plain = docs.columns.index(text_col), docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots can't go into a task
+        return plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.starts("op2")

@@ -164,3 +164,33 @@ def test_run(spark):
     for r in got:
         once[r.doc_id] += r.length
     assert once == pieces and 0 < len(once) < 200
+
+
+def _run_on(spark, tmp_path, docs):
+    folder = f"file://{tmp_path}/sf"
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    return corpus_pipeline.run(spark, folder)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    got = _run_on(spark, tmp_path, empty)
+    assert got.count() == 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(got.columns)
+
+
+def test_pipeline_with_long_texts_and_clashing_names(spark, tmp_path):
+    """Further columns have the names that stages use; a very long text passes whole; null, empty and repeated rows don't."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    long = " ".join(f"w{i % 9000}x{i}" for i in range(60_000))
+    odd = [(30_000, long, "en", "src1", len(long)), (30_000, long, "en", "src1", len(long)), (30_001, None, "en", "src1", 0), (30_002, "", None, None, 0), (None, " ".join(f"n{i}y" for i in range(80)), None, None, 0)]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("doc_id", "text", "lang", "source", "CAST(n_chars AS {}) AS n_chars".format(docs.schema["n_chars"].dataType.simpleString())))
+    docs = docs.selectExpr("*", "1 AS label", "2L AS _rid", "'x' AS `key`", "3 AS n", "true AS toxic", "false AS kept", "4 AS `_id`", "'y' AS `_c.x`", "5 AS sequence_id")
+    got = _run_on(spark, tmp_path, docs).collect()
+    ids = Counter(r.doc_id for r in got)
+    assert not ids.keys() & {30_001, 30_002}
+    tokens = {r.doc_id: r.doc_tokens for r in got}
+    for d in ids:
+        assert sum(r.length for r in got if r.doc_id == d) == tokens[d]
+    if 30_000 in ids:
+        assert tokens[30_000] == len(Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(long, add_special_tokens=False).ids) + 1
