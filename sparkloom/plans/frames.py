@@ -91,8 +91,7 @@ def files_python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     python_source.register(spark)
     path = shared.new_path(spark, "keyvalue")
     table(spark, sf_dir, "nation").select(F.concat_ws(" ", F.concat(F.lit("id="), "n_nationkey"), F.concat(F.lit("region="), "n_regionkey"))).write.text(path)
-    files = [f for f in spark.read.format("binaryFile").load(path).select("path").toPandas()["path"]]  # one name for each file written
-    rows = spark.read.format("keyvalue").schema("id string, region string").option("paths", ",".join(files)).load()
+    rows = spark.read.format("keyvalue").schema("id string, region string").option("path", path).load()
     return rows.select(F.col("id").cast("int").alias("id"), F.col("region").cast("int").alias("region"))
 
 

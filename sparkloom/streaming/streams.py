@@ -66,17 +66,27 @@ def within(left: DataFrame, right: DataFrame, key: str, left_time: str, right_ti
     return left.alias("l").join(right.alias("r"), near)
 
 
-def running_totals(events: DataFrame, key: str) -> DataFrame:
-    """Per key the rows seen so far and the last event, kept in a state of its own."""
+def running_totals(events: DataFrame, key: str, idle: int | None = None) -> DataFrame:
+    """Per key the rows seen so far and the last event, kept in a state of its own. With ``idle``, a number of
+    milliseconds, a key's state goes once the watermark is so far past its last event, and its count begins anew;
+    without, every key stays."""
+    wait = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, last, at = state.get if state.exists else (0, 0, 0)
+        if idle is not None and n and state.getCurrentWatermarkMs() > at + idle:
+            n, last, at = 0, 0, 0
         for f in frames:
-            n, last = n + len(f), max(last, int(f["event_id"].max()))
-        state.update((n, last))
+            n, last, at = n + len(f), max(last, int(f["event_id"].max())), max(at, int(f["ts"].max().timestamp() * 1000))
+        state.update((n, last, at))
+        if idle is not None:
+            state.setTimeoutTimestamp(max(at + idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"k": [key[0]], "n": [n], "last_event": [last]})
 
-    return events.groupBy(key).applyInPandasWithState(run, "k long, n long, last_event long", "n long, last long", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(run, "k long, n long, last_event long", "n long, last long, at long", "update", wait)
 
 
 def each_batch(stream: DataFrame, use: Callable[[DataFrame], None], checkpoint: str) -> None:

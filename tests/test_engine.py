@@ -85,6 +85,14 @@ def test_stream_goes_on_from_its_checkpoint(spark):
     assert {(r.k, r.n, r.last_event) for r in again.collect()} == {(5, 1, 1), (6, 1, 2), (5, 2, 3)}
 
 
+def test_stream_state_goes_when_idle(spark):
+    """A key unseen for longer than ``idle`` behind the watermark leaves the state, and starts from one when it comes again."""
+    path = shared.new_path(spark, "idle")
+    _feed(spark, path, [_event(1, 0, 5), _event(2, 0.1, 5), _event(3, 0.2, 6)], [_event(4, 10, 6)], [_event(5, 20, 6), _event(6, 20.1, 5)], [_event(7, 40, 6)])
+    got = streams.finished(streams.running_totals(streams.events(spark, path), "user_id", 30 * 60_000), "update").collect()
+    assert (5, 2, 2) in {tuple(r) for r in got} and (5, 1, 6) in {tuple(r) for r in got} and (5, 3, 6) not in {tuple(r) for r in got}
+
+
 def test_stream_sliding_dedup_and_join(spark):
     path = shared.new_path(spark, "several")
     _feed(spark, path, [_event(1, 1, 1, "click"), _event(1, 1, 1, "click"), _event(2, 1.5, 2)], [_event(1, 1.2, 1, "click"), _event(3, 1.9, 1, "purchase"), _event(4, 9, 1, "purchase")])
