@@ -6,6 +6,8 @@ stretches that hold it: a running sum of starts and ends, which ``prefix_scan``
 
 Median: rows are numbered by a scan and dealt to slices by number, each slice with the earlier rows that its frames reach;
 a slice keeps one sorted list that follows the frame.
+
+What several of their jobs read is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources import shared
+
 from . import parts
 from .scan import prefix_scan
 
@@ -25,7 +29,7 @@ def _numbered(df: DataFrame, by: list[str], order: list[str], rows_per_part: int
     column = parts.column
     keys, places = [f"k{i}" for i in range(len(by))], [f"o{i}" for i in range(len(order))]
     named = df.select(F.struct(*(column(c) for c in df.columns)).alias("row"), *(column(c).alias(k) for c, k in zip((*by, *order), (*keys, *places), strict=True)))
-    return prefix_scan(named, places[:1], {"at": ("row_number",)}, keys, places[1:], rows_per_part), keys
+    return shared.table(prefix_scan(named, places[:1], {"at": ("row_number",)}, keys, places[1:], rows_per_part), "numbered"), keys
 
 
 def distinct_in_rows(df: DataFrame, by: list[str], order: list[str], value: str, preceding: int, out: str, rows_per_part: int = 500_000) -> DataFrame:
@@ -61,6 +65,7 @@ def _distinct(df: DataFrame, rows: DataFrame, keys: list[str], at: Column, value
     begins = F.struct(F.when(overlaps, F.col("last") + preceding).otherwise(F.col("at")).alias("at"), F.when(overlaps, 2).otherwise(0).alias("turn"), F.lit(1).alias("step"))
     ends = F.struct((F.col("at") + preceding).alias("at"), F.lit(2).alias("turn"), F.lit(-1).alias("step"))
     events = seen.select(*keys, F.explode(F.array(begins, ends)).alias("e")).groupBy(*keys, "e.at", "e.turn").agg(F.sum("e.step").alias("step"))
+    events = shared.table(events, "events")
     whole = rows.select("row", *keys, "at", F.lit(1).alias("turn"), F.lit(0).cast("long").alias("step"), F.xxhash64("row").alias("tie"))
     both = whole.unionByName(events, allowMissingColumns=True)
     counted = prefix_scan(both, ["at", "turn"], {"n": ("sum", "step")}, keys, ["tie"], rows_per_part).filter("turn = 1")
@@ -90,7 +95,8 @@ def median_in_range(df: DataFrame, by: list[str], order: str, value: str, preced
     on = F.col("at") == F.col("_at")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    got = _median(df, numbered.join(other, on).select("row", *keys, "at", "first", "end"), keys, value, out, slice_rows)
+    framed = shared.table(numbered.join(other, on).select("row", *keys, "at", "first", "end"), "framed")
+    got = _median(df, framed, keys, value, out, slice_rows)
     return got.unionByName(df.filter(column(order).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 

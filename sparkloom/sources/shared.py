@@ -29,3 +29,10 @@ def new_path(spark: SparkSession, name: str) -> str:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
         base = _OWN[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def table(df, name: str):
+    """``df`` written once in the shared folder and read again: for what several later jobs read."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
