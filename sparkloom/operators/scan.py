@@ -15,7 +15,7 @@ from . import parts
 _KINDS = ("sum", "count", "min", "max", "last", "lag", "row_number", "rank", "dense_rank")
 
 
-def prefix_scan(df: DataFrame, order: list[str], out: dict[str, tuple[str, ...]], by: list[str] | None = None, ties: list[str] | None = None, rows_per_part: int = 500_000) -> DataFrame:
+def prefix_scan(df: DataFrame, order: list[str], out: dict[str, tuple[str, ...]], by: list[str] | None = None, ties: list[str] | None = None, rows_per_part: int = 10_000) -> DataFrame:
     """All columns of ``df`` and the running values ``out``: name -> (kind, column), with the kinds ``sum count min max
     last lag`` over the rows so far (``ROWS UNBOUNDED PRECEDING``; ``last`` is the last that isn't null, ``lag`` the row before)
     and ``row_number rank dense_rank``, which take no column.
@@ -118,7 +118,7 @@ def _with(rows: DataFrame, carry: DataFrame, b: list[str]) -> DataFrame:
 
 
 def asof_join(
-    left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], tolerance: Column | None = None, rows_per_slice: int = 500_000
+    left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], tolerance: Column | None = None, rows_per_slice: int = 10_000
 ) -> DataFrame:
     """All left rows with ``values`` of the right row whose time is the last not after the left time, per key; null where there
     is none, or where it is further back than ``tolerance`` (an interval, or a number where times are numbers).

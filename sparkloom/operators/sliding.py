@@ -32,14 +32,14 @@ def _numbered(df: DataFrame, by: list[str], order: list[str], rows_per_part: int
     return shared.table(prefix_scan(named, places[:1], {"at": ("row_number",)}, keys, places[1:], rows_per_part), "numbered"), keys
 
 
-def distinct_in_rows(df: DataFrame, by: list[str], order: list[str], value: str, preceding: int, out: str, rows_per_part: int = 500_000) -> DataFrame:
+def distinct_in_rows(df: DataFrame, by: list[str], order: list[str], value: str, preceding: int, out: str, rows_per_part: int = 10_000) -> DataFrame:
     """``out``: COUNT(DISTINCT value) over ROWS BETWEEN ``preceding`` PRECEDING AND CURRENT ROW, by ascending ``order`` (nulls
     first; the first column, then the others), which should tell the rows of a key apart. Null values don't count."""
     numbered, keys = _numbered(df, by, order, rows_per_part)
     return _distinct(df, numbered, keys, F.col("at"), F.col("row")[value], F.lit(preceding), out, rows_per_part)
 
 
-def distinct_in_range(df: DataFrame, by: list[str], order: str, value: str, preceding: Column, out: str, rows_per_part: int = 500_000) -> DataFrame:
+def distinct_in_range(df: DataFrame, by: list[str], order: str, value: str, preceding: Column, out: str, rows_per_part: int = 10_000) -> DataFrame:
     """``out``: COUNT(DISTINCT value) over RANGE BETWEEN ``preceding`` PRECEDING AND CURRENT ROW, peers included. A row whose
     order is null has its null peers as its frame."""
     column = parts.column
@@ -72,14 +72,14 @@ def _distinct(df: DataFrame, rows: DataFrame, keys: list[str], at: Column, value
     return counted.select(*(F.col("row")[c].alias(c) for c in df.columns), F.col("n").alias(out))
 
 
-def median_in_rows(df: DataFrame, by: list[str], order: list[str], value: str, preceding: int, out: str, slice_rows: int = 50_000, rows_per_part: int = 500_000) -> DataFrame:
+def median_in_rows(df: DataFrame, by: list[str], order: list[str], value: str, preceding: int, out: str, slice_rows: int = 10_000, rows_per_part: int = 10_000) -> DataFrame:
     """``out``: the median (double; the mean of the middle two) of ``value`` over ROWS BETWEEN ``preceding`` PRECEDING AND CURRENT
     ROW. Nulls are left out; null where the frame has no value."""
     numbered, keys = _numbered(df, by, order, rows_per_part)
     return _median(df, numbered.withColumns({"first": F.greatest(F.lit(1), F.col("at") - preceding), "end": F.col("at")}), keys, value, out, slice_rows)
 
 
-def median_in_range(df: DataFrame, by: list[str], order: str, value: str, preceding: Column, out: str, slice_rows: int = 50_000, rows_per_part: int = 500_000) -> DataFrame:
+def median_in_range(df: DataFrame, by: list[str], order: str, value: str, preceding: Column, out: str, slice_rows: int = 10_000, rows_per_part: int = 10_000) -> DataFrame:
     """The same over RANGE BETWEEN ``preceding`` PRECEDING AND CURRENT ROW, peers included. Rows whose order is null get null."""
     column = parts.column
     dated = df.filter(column(order).isNotNull())
