@@ -1,16 +1,22 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Each source is a queue of its documents' tokens, one after the other. A window is 64 sequences of 1024 tokens and
-visits all queues in order; a queue's quantum is its target share of a window, and what rounding keeps from it (or
+visits all queues; a queue's quantum is its target share of a window, and what rounding keeps from it (or
 gives it early) stays in its deficit counter for the next window. So every window holds its target proportions to
-the token, all sequences are full, and a document is cut only where its queue's turn or a sequence ends.
+the token, and all sequences are full.
 
-The deficits need no replay: with weights scaled to whole numbers, the tokens that the first q queues
+Within its window a queue waits until its deficit covers its next unit: a document (or what the window holds of it), in
+stretches of a sequence's length where it is longer. The units of all queues so stand in the order in which their queues' served
+shares reach their ends, and at each place of a window every queue is within a unit of its share. A document is cut
+only where its queue's window, a sequence or such a stretch ends.
+
+The deficits between windows need no replay: with weights scaled to whole numbers, the tokens that the first q queues
 have been served after w windows are ``w * cum[q] >> SHIFT``, and a queue's deficit is what its exact
 share has over that. So any partition takes up at any window with the deficits that all earlier
 windows and partitions leave, and a row finds its windows by arithmetic alone. The driver plans *runs*:
 stretches of windows in which the same queues have tokens. When a queue runs dry, the windows at the
-seam are served one by one and the others' shares grow in proportion.
+seam are served one by one and the others' shares grow in proportion. The ids are then shuffled by window, whose groups are all
+of one size, whatever the sources' are.
 
 At most QUEUES queues, those of two tokens a window or more, are planned one by one, so the plan is small at any
 size. All others share one queue, in which each document stands where its source's own deficit lets it end, as
@@ -148,23 +154,27 @@ class Plan:
                 return self.start[run] + w
             w += low.astype(np.int64) - high
 
-    def turn(self, queue: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A queue's turn in a window: its first token, the one after its last, its place in the window."""
+    def turn(self, queue: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A queue's turn in a window: its first token and the one after its last."""
         run = np.searchsorted(self.start, window, "right") - 1
         w, base, lo, hi = window - self.start[run], self.given[run, queue], self.cum[run, queue], self.cum[run, queue + 1]
-        place = ((w + 1) * lo >> SHIFT) - (w * lo >> SHIFT)
-        return base + (w * hi >> SHIFT) - (w * lo >> SHIFT), base + ((w + 1) * hi >> SHIFT) - ((w + 1) * lo >> SHIFT), place
+        return base + (w * hi >> SHIFT) - (w * lo >> SHIFT), base + ((w + 1) * hi >> SHIFT) - ((w + 1) * lo >> SHIFT)
 
-    def pieces(self, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-        """row, start in the row, length, sequence and offset of each piece of rows at ``at`` of their queues."""
+    def units(self, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """row, window, start in the row, length, first and length of the queue's turn for each unit of rows at ``at``."""
         first, last = self.find(queue, at), self.find(queue, at + n - 1)
         row, k = _spread(last - first + 1)
         window = first[row] + k
-        lo, hi, place = self.turn(queue[row], window)
+        lo, hi = self.turn(queue[row], window)
         a, z = np.maximum(lo, at[row]), np.minimum(hi, (at + n)[row])
         some = z > a
-        row, start, length, place = row[some], (a - at[row])[some], (z - a)[some], (window * self.window + place + a - lo)[some]
-        # Cut where sequences end: ``place`` counts all tokens before the piece.
+        row, window, lo, hi, a, z = (x[some] for x in (row, window, lo, hi, a, z))
+        piece, k = _spread(-(-(z - a) // self.size))
+        start = a[piece] + k * self.size
+        return [row[piece], window[piece], start - at[row[piece]], np.minimum(z[piece] - start, self.size), lo[piece], (hi - lo)[piece]]
+
+    def cut(self, place: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+        """piece, start in it, length, sequence and offset: stretches at ``place`` of all tokens, cut where sequences end."""
         full, rest = divmod(self.end, self.size)
         ends = full * self.size + np.cumsum([0, *(1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1)])
         seq = lambda p: np.where(p < ends[0], p // self.size, full + np.searchsorted(ends, p, "right") - 1)
@@ -173,7 +183,17 @@ class Plan:
         piece, k = _spread(seq(place + length - 1) - lowest + 1)
         own = lowest[piece] + k
         a, z = np.maximum(place[piece], begins(own)), np.minimum((place + length)[piece], begins(own + 1))
-        return [row[piece], start[piece] + a - place[piece], z - a, own, a - begins(own)]
+        return [piece, a - place[piece], z - a, own, a - begins(own)]
+
+
+def in_turns(queue: np.ndarray, row_at: np.ndarray, start: np.ndarray, length: np.ndarray, first: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a window's units, each when its queue's deficit covers it, and the number of the stretch each falls into: units
+    of one document that follow each other are one."""
+    at = row_at + start
+    order = np.lexsort((at, queue, (at + length - first) / turn))
+    q, r, a, n = (x[order] for x in (queue, row_at, at, length))
+    new = (q[1:] != q[:-1]) | (r[1:] != r[:-1]) | (a[1:] != a[:-1] + n[:-1])
+    return order, np.cumsum(np.concatenate([[0], new]))
 
 
 def _spread(many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,20 +253,40 @@ def pack_mixture(
         own = own.unionByName(shared.select("doc_id", F.lit(len(names)).alias("k"), "at", "n", "ids", "queue"))
     rows = own
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, ROWS):
                 b = whole.slice(s, ROWS)
                 k, at, n = (b.column(c).to_numpy().astype(np.int64) for c in (1, 2, 3))
-                row, start, length, seq, offset = plan.pieces(k, at, n)
-                ids = [memoryview(np.frombuffer(x, f"<u{len(x) // m}").astype("<u4").tobytes()) for x, m in zip(b.column(4).to_pylist(), n.tolist(), strict=True)]
-                cut = [ids[r][4 * a : 4 * z] for r, a, z in zip(row.tolist(), start.tolist(), (start + length).tolist(), strict=True)]
+                row, window_of, start, length, first, turn = plan.units(k, at, n)
+                ids, width = b.column(4).to_pylist(), [len(x) // m for x, m in zip(b.column(4).to_pylist(), n.tolist(), strict=True)]
+                part = [ids[r][width[r] * a : width[r] * z] for r, a, z in zip(row.tolist(), start.tolist(), (start + length).tolist(), strict=True)]
                 take = pa.array(row)
-                cols = [b.column(0).take(take), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in cut], pa.int64()), b.column(3).take(take), pa.array(seq), pa.array(offset), b.column(5).take(take)]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
-                if with_ids:
-                    cols, names = [*cols, pa.array(map(bytes, cut), pa.binary())], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(window_of), pa.array(k[row]), pa.array(at[row]), pa.array(start), pa.array(length), pa.array(first), pa.array(turn), b.column(0).take(take), b.column(3).take(take), b.column(5).take(take), pa.array(part, pa.binary())],
+                    names=["window", *numbers, "doc_id", "doc_tokens", "queue", "ids"],
+                )
 
+    def filled(w: pa.Table) -> pa.Table:
+        k, row_at, start, length, first, turn = (w.column(c).to_numpy() for c in numbers)
+        order, stretch = in_turns(k, row_at, start, length, first, turn)
+        parts = w.column("ids").to_pylist()
+        ids = np.concatenate([np.frombuffer(parts[u], f"<u{len(parts[u]) // n}").astype("<u4") for u, n in zip(order.tolist(), length[order].tolist(), strict=True)])
+        heads = np.flatnonzero(np.diff(stretch, prepend=-1))
+        lengths, head = np.add.reduceat(length[order], heads), order[heads]
+        place = np.cumsum(lengths) - lengths
+        base = w.column("window")[0].as_py() * window
+        piece, into, n, seq, offset = plan.cut(base + place, lengths)
+        begin = place[piece] + into
+        own = [ids[a:z].tobytes() for a, z in zip(begin.tolist(), (begin + n).tolist(), strict=True)]
+        rows = w.select(["doc_id", "doc_tokens", "queue"]).take(pa.array(head[piece]))
+        cols = [rows.column(0), pa.array(start[head][piece] + into), pa.array(n), pa.array([zlib.crc32(x) for x in own], pa.int64()), rows.column(1), pa.array(seq), pa.array(offset), rows.column(2)]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
+        if with_ids:
+            cols, names = [*cols, pa.array(own, pa.binary())], [*names, "ids"]
+        return pa.table(cols, names=names)
+
+    numbers = ["k", "row_at", "start", "length", "first", "turn"]
+    with_windows = rows.mapInArrow(units, "window long, " + ", ".join(f"{c} long" for c in numbers) + ", doc_id long, doc_tokens long, queue string, ids binary")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
-    return rows.mapInArrow(run, schema + (", ids binary" if with_ids else ""))
+    return with_windows.groupBy("window").applyInArrow(filled, schema + (", ids binary" if with_ids else ""))

@@ -247,15 +247,23 @@ def test_plan_against_replay():
     dry leave their share to the others in proportion."""
     totals, weights, window, size = [100_003, 50_021, 7_919, 2_500], [0.5, 0.3, 0.15, 0.05], 4096, 1024
     plan = o3.Plan(totals, weights, window, size)
-    row, start, length, seq, offset = plan.pieces(np.arange(4), np.zeros(4, np.int64), np.array(totals))
-    place = seq * size + offset
+    row, of, start, length, first, turn = plan.units(np.arange(4), np.zeros(4, np.int64), np.array(totals))
+    order = []  # place, queue, start, length
+    for w in range(of.max() + 1):
+        own = np.flatnonzero(of == w)
+        o, _ = o3.in_turns(row[own], np.zeros(len(own), np.int64), *(x[own] for x in (start, length, first, turn)))
+        own = own[o]
+        order += zip((w * window + np.cumsum(length[own]) - length[own]).tolist(), row[own].tolist(), start[own].tolist(), length[own].tolist())
+        done = np.zeros(4)
+        for u in own:  # at each place every queue is within a unit of its share of the window
+            done[row[u]] += length[u]
+            share = sum(done) / sum(length[own])
+            assert all(abs(done[q] - share * sum(length[own][row[own] == q])) <= 2 * size for q in range(4))
     served, deficit, left, at = [0] * 4, [0.0] * 4, list(totals), 0
-    order = sorted(zip(place.tolist(), row.tolist(), start.tolist(), length.tolist()))
     turns = defaultdict(lambda: [0] * 4)
     for p, q, s, n in order:
-        if p < sum(totals) // size * size:
-            assert p == at and s == served[q]  # no gap, and each queue in its own order
-            at += n
+        assert p == at and s == served[q]  # no gap, and each queue in its own order
+        at += n
         served[q] += n
         turns[p // window][q] += n
     assert served == totals
