@@ -7,7 +7,7 @@ the token, and all sequences are full.
 
 Within its window a queue waits until its deficit covers its next unit: a document (or what the window holds of it), in
 stretches of a sequence's length where it is longer. The units of all queues so stand in the order in which their queues' served
-shares reach their ends, and at each place of a window every queue is within a unit of its share. A document is cut
+shares reach their ends: at each place of a window a queue waits for one unit at most, beside its share of what others wait for. A document is cut
 only where its queue's window, a sequence or such a stretch ends.
 
 The deficits between windows need no replay: with weights scaled to whole numbers, the tokens that the first q queues

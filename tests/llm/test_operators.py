@@ -308,6 +308,25 @@ def test_packing_tail_of_sources(spark, monkeypatch):
     assert abs(first["s0"] / (8 * 256) - 0.9 / (0.95 + sum(w for q, w in natural.items() if q not in ("s0", "s1")))) < 0.02
 
 
+def test_packing_mixes_within_windows(spark):
+    """At each place every source is near its share, though a window holds some hundred documents; a text longer than
+    a sequence goes in stretches between the others."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["word"] * int(rng.integers(5, 60))), "abbc"[i % 4]) for i in range(1200)] + [(5000, " ".join(["word"] * 5000), "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = sorted(o3.pack_mixture(docs, JSON, size=256, sequences=32).collect(), key=lambda r: (r.sequence_id, r.offset))
+    total, done, at = Counter(), Counter(), 0
+    for r in got:
+        total[r.queue] += r.length
+    for r in got:
+        done[r.queue] += r.length
+        at += r.length
+        # a queue waits for a unit of its own at most, and takes its share of what the others wait for
+        units = {q: 256 if q == "long" else 60 for q in total}
+        assert all(abs(done[q] - at * t / sum(total.values())) <= units[q] + 1 + t / sum(total.values()) * sum(units.values()) for q, t in total.items())
+    assert max(r.length for r in got) <= 256 and total["long"] == 5001
+
+
 def test_best_fit():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 101, 2000).tolist()
