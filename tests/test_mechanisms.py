@@ -177,3 +177,18 @@ def test_timed_sessions_forget(spark, files):
     assert sorted(seen) == [(1, 0.0, 3), (1, 9.0, 2), (1, 30.0, 1), (2, 0.1, 1), (2, 5.0, 1), (2, 20.0, 2)]
     states = [op.numRowsTotal for p in query.recentProgress for op in p.stateOperators]
     assert states and states[-1] <= 12  # two keys with an open session each, their lists and timers
+
+
+def test_timed_sessions_of_many_keys(spark):
+    """State and timers grow with buckets, not with keys; any key comes back, and a session whose time is up at the watermark is over."""
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda **d: start + datetime.timedelta(**d)
+    keys = [*range(2000), None, 2**60 + 1]
+    rows = [(at(milliseconds=i), u) for i, u in enumerate(keys)] + [(at(hours=8) - datetime.timedelta(milliseconds=1), 6000), (at(hours=8), 6001), (at(hours=10), 5000), (None, 5001)]
+    events = spark.createDataFrame([(i, t, u, "x", 1.0, None) for i, (t, u) in enumerate(rows)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    seen = []
+    query = timed.closed_sessions(streams.events(spark, streams.in_files(events, "ts", 1)), "user_id", "ts", 3600).writeStream.foreachBatch(lambda batch, _: seen.extend((r.k, r.begin.replace(tzinfo=None), r.n) for r in batch.collect()))
+    query = query.option("checkpointLocation", shared.new_path(spark, "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(seen) == len(keys) + 1 and set(seen) == {(u, t, 1) for t, u in rows[:-3]}
+    assert max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators) <= 3 * 256
