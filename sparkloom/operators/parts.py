@@ -1,8 +1,8 @@
 """Parts of a table in its sort order: the common ground of scans, as-of joins and sliding frames.
 
 Rows go to parts by cuts that a sample of the order gives, so a part holds about as many rows as was asked for whatever
-the keys are; one key may span many parts. Cuts are one row of a table in the shared folder, so that every job that
-reads them sees the same ones.
+the keys are; one key may span many parts. ``dealt`` leaves the cuts to a range partitioning, whose parts are a table in the
+shared folder so that every job sees the same ones; ``cuts`` are a constant of the plan, for tables that share them.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources import shared
 
-#: Most parts (the cuts travel with each task), and rows of the sample for each.
-MOST, EACH = 4096, 64
+#: Most parts (the cuts travel with each task), and rows of the sample for each; files of a table of parts, or parts of a file.
+MOST, EACH, FILES = 4096, 64, 64
 
 
 def column(name: str) -> Column:
@@ -29,29 +29,36 @@ def fresh(name: str, *taken: DataFrame) -> str:
     return name
 
 
+def dealt(df: DataFrame, order: list[str], rows_per_part: int, out: str) -> DataFrame:
+    """``df`` with ``out``, the number of each row's part in ascending ``order`` (nulls first), as a table in the shared folder."""
+    parts = min(MOST, max(1, -(-df.count() // rows_per_part)))
+    spread = df.repartitionByRange(parts, *(column(c) for c in order)).withColumn(out, F.spark_partition_id())
+    return shared.table(spread.coalesce(max(min(parts, FILES), parts // 16)), "parts")
+
+
 def cuts(df: DataFrame, key: Column, rows_per_part: int) -> Column:
-    """The cuts of ``key`` as a column that holds their array; none for a table of one part."""
-    spark = df.sparkSession
+    """The cuts of ``key`` as a constant array; none for a table of one part. They pass through JSON, which may round a cut: any
+    cuts do, as long as all rows see the same ones, in order."""
     keys = df.select(key.alias("x"))
     rows = keys.count()
     parts = min(MOST, -(-rows // rows_per_part)) if rows else 1
     if parts > 1:
         keys = keys.sample(min(1.0, EACH * parts / rows), 7)
-    found = F.array_sort(F.collect_list("x"))
+    found = F.sort_array(F.collect_list("x"))
     picked = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda k: F.get(F.col("a"), F.floor(k * F.size("a") / parts).cast("int"))))
-    one = keys.agg(found.alias("a")).select((picked if parts > 1 else F.slice("a", 1, 0)).alias("cuts"))
-    path = shared.new_path(spark, "cuts")
-    one.write.parquet(path)
-    return spark.read.schema(one.schema).parquet(path).select(F.array_compact("cuts")).scalar()
+    one = keys.agg(found.alias("a")).select(F.array_compact(picked if parts > 1 else F.slice("a", 1, 0)).alias("cuts"))
+    text = one.select(F.to_json("cuts")).head()[0] if parts > 1 else "[]"
+    return F.sort_array(F.from_json(F.lit(text), one.schema["cuts"].dataType))
 
 
 def number(df: DataFrame, key: Column, at: Column, out: str) -> DataFrame:
-    """``out``: the number of cuts not above ``key``, by halving."""
-    x, c = fresh("x", df), fresh("c", df)
+    """``out``: the number of cuts not above ``key``, by halving. ``at`` is a constant: as a column, each row would carry all cuts
+    and be as large as the number of parts."""
+    x = fresh("x", df)
     halves = F.array(*(F.lit(1 << k) for k in reversed(range(MOST.bit_length()))))
 
     def step(low: Column, half: Column) -> Column:
-        fits = (low + half <= F.size(c)) & (F.get(F.col(c), low + half - 1) <= F.col(x))
+        fits = (low + half <= F.size(at)) & (F.get(at, low + half - 1) <= F.col(x))
         return F.when(fits, low + half).otherwise(low)
 
-    return df.withColumns({x: key, c: at}).withColumn(out, F.aggregate(halves, F.lit(0), step)).drop(x, c)
+    return df.withColumn(x, key).withColumn(out, F.aggregate(halves, F.lit(0), step)).drop(x)

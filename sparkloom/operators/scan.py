@@ -2,7 +2,7 @@
 
 A window without PARTITION BY, or one whose key holds much of the table, is one task. Here each part of the sort order
 is its own window; what comes before a part (one row for each part, for only its first key can have begun earlier) is
-added up over the parts and joined back. Rows are shuffled once.
+added up over the parts and joined back. Rows are shuffled by range, kept, and shuffled by part.
 """
 
 from __future__ import annotations
@@ -37,8 +37,7 @@ def prefix_scan(df: DataFrame, order: list[str], out: dict[str, tuple[str, ...]]
         F.struct(*(column(c) for c in df.columns)).alias("row"), *(column(c).alias(a) for names, aliases in ((by, b), (order, o), (ties, t)) for c, a in zip(names, aliases, strict=True)),
         *(args[name].alias(v) for name, v in values.items()),
     )
-    place = F.struct(*b, *o, *t)
-    work = parts.number(work, place, parts.cuts(work, place, rows_per_part), "part")
+    work = parts.dealt(work, [*b, *o, *t], rows_per_part, "part")
 
     spot = F.struct(*o, *t)
     own = Window.partitionBy("part", *b).orderBy(*o, *t)

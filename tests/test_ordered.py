@@ -140,3 +140,14 @@ def test_sliding_frames(spark, hot, rows=60):
 
 def test_ordered_queries_read_whole_tables():
     assert {f.__name__ for f in ordered.ORDERED} == set(ordered.ORACLE)
+
+
+def test_rows_do_not_carry_the_cuts(spark):
+    """What goes to the shuffle grows with rows, not with rows times parts: the scan has no cuts in its plan, joins have them as a constant."""
+    df = spark.range(20_000).select((F.col("id") * 7 % 20_000).alias("x"), F.col("id").alias("v"))
+    scanned = scan.prefix_scan(df, ["x"], {"n": ("row_number",)}, None, None, 10)
+    assert "scalar-subquery" not in plan_of(scanned) and scanned.filter("n <> x + 1").count() == 0
+    numbered = parts.number(df, F.col("x"), parts.cuts(df, F.col("x"), 10), "part")
+    assert "scalar-subquery" not in plan_of(numbered) and "Project [x" in plan_of(numbered).split("Optimized Logical Plan")[1]
+    sizes = {r["part"]: r["count"] for r in numbered.groupBy("part").count().collect()}
+    assert len(sizes) == 2000 and max(sizes.values()) < 60
