@@ -192,3 +192,12 @@ def test_timed_sessions_of_many_keys(spark):
     query.awaitTermination()
     assert len(seen) == len(keys) + 1 and set(seen) == {(u, t, 1) for t, u in rows[:-3]}
     assert max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators) <= 3 * 256
+
+
+def test_closure_walks_an_edge_once_for_many_sources(spark):
+    """Seventy sources, one hub, a thousand targets: a round has two blocks of rows for each target, not a row for each pair."""
+    edges = spark.range(70).select((-1 - F.col("id")).alias("a"), F.lit(0).cast("long").alias("b")).unionByName(spark.range(1, 1001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")))
+    got = closure.closure(edges, "a", "b", edges.filter("a < 0").select("a"))
+    assert got.filter("depth = 2").count() == 70_000 and got.distinct().count() == 70_070 == got.count()
+    last = max(glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/closure-*"), key=os.path.getmtime)
+    assert spark.read.parquet(f"{last}/round-2").count() == 2000
