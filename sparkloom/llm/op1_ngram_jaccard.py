@@ -54,6 +54,8 @@ HOT, SALTS = 50_000, 64
 PART = 2_000
 #: Rows of a table that may be broadcast: at about 100 bytes each, 30 MB.
 BROADCAST_ROWS = 300_000
+#: Documents that a bitmap tells of (fixed by Spark: 4 KB).
+BITMAP = 1 << 15
 #: A cell's block: sets, or a 64th of its group up to the second number, and shingles, about.
 SETS, MOST_SETS, WEIGHT = 256, 2048, 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -218,6 +220,11 @@ def _lead(percent: int) -> Column:
     return F.col("pos") <= F.col("n") - F.ceil(F.lit(2.0 * percent) * F.col("n") / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
+def _reach(percent: int) -> Column:
+    """The size of the largest set of which the positional filter lets this row be the smaller partner; at least n on the lead."""
+    return F.floor((F.col("n") - F.col("pos")) * F.lit(100 + percent) / F.lit(percent)).cast("long") - F.col("n")
+
+
 def _need(percent: int) -> Column:
     return F.ceil((F.lit(percent) * (F.col("n") + F.col("n2"))) / F.lit(100.0 + percent) - F.lit(1e-9))
 
@@ -247,30 +254,36 @@ def _looks_near(percent: int) -> Column:
     return _parity_passes(percent) & ((may > 700) | (apart <= F.lit(1.1) * may))
 
 
+def _paired(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of prefixes in whose list another row may pass the length and positional filter with them: by size, one before
+    reaches them or they reach the next. Long lists stay whole. What is derived of a row comes after the exchange."""
+    dealt = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("_rid"), F.lit(SALTS))).otherwise(0)).repartition("g", "salt").withColumn("reach", _reach(percent))
+    w = Window.partitionBy("g", "salt").orderBy("n", "_rid")
+    seen = dealt.withColumns({"earlier": F.max("reach").over(w.rowsBetween(Window.unboundedPreceding, -1)), "later": F.lead("n").over(w)})
+    return seen.filter(F.col("hot") | (F.col("earlier") >= F.col("n")) | (F.col("reach") >= F.col("later"))).select(*rows.columns)
+
+
 #: Partners by which a class may come into a group.
 PARTNERS = 3
 
 
-def _neighbours(lists: DataFrame, turn: int) -> DataFrame:
-    """Directed pairs (rep, rep2): each class with the one before it, and in turn 0 with the head of its list. Turn 0
-    goes by size; later ones shuffle classes of like size."""
-    like = F.floor(F.log("n") * 20) if turn else F.lit(0).cast("long")
-    cut = lists.withColumns({
-        "salt": F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0),
-        "like": like, "place": F.xxhash64("rep", F.lit(turn)) if turn else F.col("n"),
-    })
-    w = Window.partitionBy("g", "salt", "like").orderBy("place", "rep")
-    head = F.first("rep").over(w.rowsBetween(Window.unboundedPreceding, 0)) if turn == 0 else F.lit(None).cast("long")
-    seen = cut.select("g", "salt", "hot", "rep", "like", "place", F.lag("rep").over(w).alias("prev"), head.alias("head"))
+def _neighbours(lists: DataFrame) -> DataFrame:
+    """Directed pairs (rep, rep2): each class with the one before it in its list by size and with the head of the list,
+    and with the one before it where classes of like size are shuffled. One exchange serves both orders."""
+    cut = lists.withColumns({"salt": F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0), "like": F.floor(F.log("n") * 20), "place": F.xxhash64("rep", F.lit(1))})
+    by_size, by_hash = Window.partitionBy("g", "salt").orderBy("n", "rep"), Window.partitionBy("g", "salt", "like").orderBy("place", "rep")
+    prev, head = F.lag("rep").over(by_size), F.first("rep").over(by_size.rowsBetween(Window.unboundedPreceding, 0))
+    seen = cut.withColumns({"prev": prev, "head": head}).withColumn("beside", F.lag("rep").over(by_hash)).select("rep", F.concat(F.array_distinct(F.array("prev", "head")), F.array("beside")).alias("to"))
     # The heads of a long list's parts meet each other.
-    heads = seen.filter("hot AND prev IS NULL").withColumn("prev", F.lag("rep").over(Window.partitionBy("g", "like").orderBy("place", "rep")))
-    both = seen.filter("prev IS NOT NULL").select("rep", "prev", "head").union(heads.filter("prev IS NOT NULL").select("rep", "prev", F.col("prev").alias("head")))
-    return both.select("rep", F.explode(F.filter(F.array_distinct(F.array("prev", "head")), lambda x: x.isNotNull())).alias("rep2")).filter("rep != rep2")
+    parts = cut.filter("hot").withColumns({"lowest": prev.isNull(), "first_alike": F.lag("rep").over(by_hash).isNull()})
+    heads = parts.filter("lowest").select("rep", F.array(F.lag("rep").over(Window.partitionBy("g").orderBy("n", "rep"))).alias("to"))
+    alike = parts.filter("first_alike").select("rep", F.array(F.lag("rep").over(Window.partitionBy("g", "like").orderBy("place", "rep"))).alias("to"))
+    return seen.union(heads).union(alike).select("rep", F.explode("to").alias("rep2")).filter("rep != rep2")
 
 
 def _groups(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """node, label: classes that are verified against each other, all with all. Any choice is right."""
-    hits = _neighbours(lists, 0).union(_neighbours(lists, 1)).groupBy("rep", "rep2").agg(F.count("*").alias("hits"))
+    hits = _neighbours(lists).groupBy("rep", "rep2").agg(F.count("*").alias("hits"))
     best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("hits"), "rep2"))
     pairs = hits.withColumn("k", best).filter(F.col("k") <= PARTNERS).select(F.greatest("rep", "rep2").alias("rep"), F.least("rep", "rep2").alias("rep2")).distinct()
     own = sizes.select("rep", "n", "parity")
@@ -283,6 +296,21 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _sets_of(sets: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """_rid and data of the wanted sets (column rep). Beyond what is broadcast as rows the sets are told by bitmaps, a bit a document, so
+    those that nobody wants are never shuffled."""
+    held = sets.filter("data IS NOT NULL").select("_rid", "data")
+    wanted = wanted.select(F.col("rep").alias("_rid"))
+    if rows <= BROADCAST_ROWS:
+        return held.join(F.broadcast(wanted), "_rid", "left_semi")
+    bit = F.col("_rid").bitwiseAND(F.lit(BITMAP - 1))
+    bits = wanted.groupBy(F.shiftright("_rid", 15).alias("_map")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    bits = scratch.table(bits, "jaccard-bits")
+    told = held.withColumn("_map", F.shiftright("_rid", 15)).join(_small(bits, 41 * bits.count()), "_map")  # 4 KB a row
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return told.filter(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select("_rid", "data")
+
+
 def _joined_to(rows: DataFrame, each: DataFrame, key: str) -> DataFrame:
     """Rows with what was aggregated by their key. As a table, that side is broadcast where it is small; else both sides are
     plain shuffles, of which Spark splits a partition that one key fills."""
@@ -380,7 +408,8 @@ def _linked(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 
 def _verified(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     entries = placed.agg(F.sum(F.size("cells") + 1)).head()[0] or 0
-    rows = sets.filter("data IS NOT NULL").select(F.col("_rid").alias("rep"), "data").join(_small(placed, entries), "rep")
+    held = sets.filter("data IS NOT NULL").select("_rid", "data") if entries <= BROADCAST_ROWS else _sets_of(sets, placed, entries)
+    rows = held.withColumnRenamed("_rid", "rep").join(_small(placed, entries), "rep")
     rows = rows.select("label", F.explode("cells").alias("at"), "rep", "n", "copies", "data").select("label", "at.*", "rep", "n", "copies", "data")
     key = ["label", "c1", "b1", "c2", "b2"]
     dealt = rows.repartition(*key).sortWithinPartitions(*key, "side", "rep")
@@ -408,10 +437,17 @@ def _verified(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _between(lists: DataFrame, groups: DataFrame, n_groups: int, sizes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) between groups that pass all filters but the counts by range."""
-    tagged = lists.join(_small(groups.withColumnRenamed("node", "rep"), n_groups), "rep", "left").select("g", "rep", "n", "pos", F.coalesce("label", "rep").alias("label"))
-    mixed = tagged.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.max(_lead(percent)).alias("some"))
-    parts = F.ceil(F.col("m") / F.lit(float(PART)))
-    tagged = _joined_to(tagged, mixed.filter("lo != hi AND some").select("g", parts.alias("parts")), "g").join(sizes.select("rep", "parity"), "rep")
+    tagged = lists.join(_small(groups.withColumnRenamed("node", "rep"), n_groups), "rep", "left").select("g", "hot", "rep", "n", "pos", F.coalesce("label", "rep").alias("label"))
+    mixed = {"lo": F.min("label"), "hi": F.max("label"), "m": F.count("*"), "some": F.max(_lead(percent))}
+    parts = F.ceil(F.col("m") / F.lit(float(PART))).alias("parts")
+    row = [F.col(c) for c in ("g", "rep", "n", "pos", "label")]
+    # What a list holds goes to its rows within the one exchange; long lists, which one task should not take, by a join.
+    whole = Window.partitionBy("g")
+    short = tagged.filter(~F.col("hot")).withColumns({c: x.over(whole) for c, x in mixed.items()}).filter("lo != hi AND some").select(*row, parts)
+    long = tagged.filter("hot")
+    each = long.groupBy("g").agg(*(x.alias(c) for c, x in mixed.items())).filter("lo != hi AND some").select("g", parts)
+    tagged = scratch.table(short.union(_joined_to(long, each, "g").select(*row, "parts")), "jaccard-mixed")
+    tagged = tagged.join(sizes.select("rep", "parity"), "rep")
     own, number = F.pmod(F.xxhash64("rep"), "parts"), F.lit(0).cast("long")
     probe = tagged.withColumns({"i": own, "j": F.explode(F.sequence(number, F.col("parts") - 1))}).drop("parts")
     index = tagged.filter(_lead(percent)).withColumns({"j": own, "i": F.explode(F.sequence(number, F.col("parts") - 1))})
@@ -440,9 +476,8 @@ def _suffix_filter(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFram
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets reach the threshold. ``pairs`` is a table."""
-    wanted = pairs.select(F.col("a").alias("_rid")).union(pairs.select("b")).distinct()
-    held = sets.filter("data IS NOT NULL").select("_rid", "data").join(_small(wanted, 2 * pairs.count()), "_rid", "left_semi")
-    data = scratch.table(held, "jaccard-wanted", codec="none")
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    data = scratch.table(_sets_of(sets, wanted, 2 * pairs.count()), "jaccard-wanted", codec="none")
     rows = pairs.join(data.select(F.col("_rid").alias("b"), F.col("data").alias("y")), "b").join(data.select(F.col("_rid").alias("a"), F.col("data").alias("x")), "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,10 +564,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, k
 
     # Lists that hold a pair, by class: first within what the tasks gave, then with copies of other tasks put together.
     sketch = spark.sparkContext.broadcast(rarity(sets))  # 2**BITS bytes at most
-    w = Window.partitionBy("g", F.when(F.col("hot"), F.pmod(F.xxhash64("_rid"), F.lit(SALTS))).otherwise(0)).orderBy("n", "_rid")
-    earlier, later = F.max(_lead(percent)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("_rid").over(w).isNotNull()
-    some = prefixes(sets, sketch, percent).withColumns({"earlier": earlier, "later": later})
-    some = some.filter(F.col("hot") | F.col("earlier") | (_lead(percent) & F.col("later"))).drop("earlier", "later")
+    some = _paired(prefixes(sets, sketch, percent), percent)
     some = scratch.table(some, "jaccard-lists", batch=256)
     sketch.destroy()
     lists = some.join(_small(moved, moved.count()), "_rid", "left").select("g", F.coalesce("rep", "_rid").alias("rep"), "n", "pos", "hot")

@@ -126,6 +126,32 @@ def test_jaccard_paths(spark, monkeypatch, settings):
     assert sorted(r.doc_id for r in o1.one_of_each(docs).collect()) == sorted({*label})
 
 
+def test_jaccard_lists_and_exchanges(spark):
+    """Lists keep the rows of pairs that pass length and position, and of sizes far apart none; both orders of neighbours take one exchange."""
+    rng = np.random.default_rng(3)
+    made = [(int(g), i, int(n), int(rng.integers(0, n // 5 + 1))) for i, (g, n) in enumerate(zip(rng.integers(0, 150, 500), rng.integers(1, 90, 500), strict=True))]
+    rows = spark.createDataFrame([(*r, False) for r in made + [(1000, 600, 10, 0), (1000, 601, 99, 0)]], "g long, _rid long, n long, pos long, hot boolean")
+    kept = o1._paired(rows, 80)
+    got = {r._rid for r in kept.collect()}
+    passes = lambda x, y: 100 * min(x[2], y[2]) >= 80 * max(x[2], y[2]) and min(x[2] - x[3], y[2] - y[3]) >= o1.overlap_needed(x[2], y[2], 80)
+    want = {x[1] for x in made for y in made if x[0] == y[0] and x[1] != y[1] and passes(x, y)}
+    assert want <= got and len(got) < 0.7 * len(made) and not got & {600, 601}
+    lists = spark.createDataFrame([(g, False, r, n, p) for g, r, n, p in made], "g long, hot boolean, rep long, n long, pos long")
+    plan = o1._neighbours(lists.filter("not hot"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_jaccard_wanted_sets(spark, monkeypatch):
+    """Bitmaps tell exactly the wanted sets, so no other set meets an exchange."""
+    ids = [(p << 36) + r for p in range(3) for r in (0, 1, 7, 8, 9, 32767, 32768, 70001)]
+    sets = spark.createDataFrame([(i, b"x") for i in ids] + [(5, None)], "_rid long, data binary")
+    wanted = ids[::3]
+    for rows in (300_000, 0):
+        monkeypatch.setattr(o1, "BROADCAST_ROWS", rows)
+        got = o1._sets_of(sets, spark.createDataFrame([(i,) for i in wanted], "rep long"), len(wanted))
+        assert sorted(r._rid for r in got.collect()) == wanted
+
+
 def test_jaccard_columns(spark):
     """Columns named like working columns, rows repeated, texts without words: one of each group stays, whole."""
     rows = [(1, "a b c d e f g", "x", 1, 2), (2, "A b c d e f g", "y", 3, 4), (2, "A b c d e f g", "y", 3, 4), (3, None, "z", 5, 6), (3, None, "z", 5, 6), (4, "other text", "q", 7, 8), (4, "other text", "q", 7, 8), (None, "a b c d e f g", "n", 0, 0)]
