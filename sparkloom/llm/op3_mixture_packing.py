@@ -35,6 +35,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,17 +64,17 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
         worker.starts("ids", library.cache_clear)
         own, part, served = library(path), TaskContext.get().partitionId(), {}
         wide = own.own.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
-        end = array("I", [end_id]).tobytes()
+        end = array("I" if wide else "H", [end_id]).tobytes()
         for whole in batches:
+            found = own.many(whole.column(2))
             for k in range(0, whole.num_rows, ROWS):
                 b = whole.slice(k, ROWS)
                 queues, n, at, ids = b.column(1).to_pylist(), [], [], []
-                for q, text in zip(queues, b.column(2).to_pylist(), strict=True):
-                    got = np.frombuffer(own.ids(text or "") + end, "<u4")
-                    ids.append((got if wide else got.astype("<u2")).tobytes())
-                    n.append(len(got))
+                for q, got in zip(queues, islice(found, len(queues)), strict=True):
+                    ids.append((got if wide else got.astype("<u2")).tobytes() + end)
+                    n.append(len(got) + 1)
                     at.append(served.get(q, 0))
-                    served[q] = at[-1] + len(got)
+                    served[q] = at[-1] + n[-1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(n), pa.int32()), b.column(1), b.column(0), pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())],
                     names=["part", "queue", "doc_id", "n", "at", "ids"],

@@ -753,3 +753,17 @@ def test_warc(spark):
     assert block.endswith(b"long " * 100) and o10.target_uri(fields) == "é"
 
 
+def test_ids_of_many_texts(monkeypatch):
+    """The distinct words of some texts go to the merger in one call; ids are those of each text alone, whatever stands between words."""
+    own = library_ids.LibraryIds(P.path("byte_bpe_50k.json"))
+    odd = ["", None, " ", "a", " a", "a ", "a  b", "a\n\nb", "a \nb", "a\nb c", "a\t b", "a b\t c", "a\xa0 b", "a \xa0b", "\n", "x\n", "\u00e9 \u00e0\n\u00fc", "<|endoftext|> x", "a\u3000 b", "a b\x85", "it's 1234 a1_b--c"]
+    plain = [" ".join(f"word{i * j % 97} w{j}" for j in range(50)) for i in range(100)]
+    calls, merge = [], own.merge
+    own.merge = lambda text: calls.append(text) or merge(text)
+    assert len([*own.many(pa.array(plain))]) == 100 and len(calls) < 5
+    for together in (1 << 23, 40):
+        monkeypatch.setattr(library_ids, "TOGETHER", together)
+        assert [x.tobytes() for x in own.many(pa.array(odd + plain))] == [own.by_library(x or "") for x in odd + plain]
+    own.merge = None
+    assert [x.tobytes() for x in own.many(pa.array(odd))] == [own.by_library(x or "") for x in odd]
+    assert [*own.many(pa.array([], pa.string()))] == []
